@@ -48,33 +48,61 @@ def range_of(value: Column, limits: Sequence) -> Column:
     return F.size(F.filter(F.array(*[F.lit(x) for x in limits]), lambda limit: limit < value))
 
 
+def stack(df: DataFrame, names: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
+    """One row per known value: ``feature`` (index into ``names``), ``value`` and the kept columns."""
+    entries = [
+        F.struct(F.lit(i).alias("feature"), F.col(n).cast("double").alias("value")) for i, n in enumerate(names)
+    ]
+    return df.select(*keep, F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+
+
+def stacked_range(limits: dict[str, list[float]], names: Sequence[str]) -> Column:
+    """Range index of stacked values, by the limits of their own feature."""
+    table = F.array(*[F.array(*[F.lit(x) for x in limits[n]]).cast("array<double>") for n in names])
+    return F.size(F.filter(F.element_at(table, F.col("feature") + 1), lambda limit: limit < F.col("value")))
+
+
 def running_totals(
-    counts: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], bucket: Column
+    counts: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    measures: Sequence[str],
+    bucket: Column,
+    following: bool = False,
 ) -> DataFrame:
     """Add ``<measure>_before`` (sum over smaller rows of the same keys) and ``<measure>_all`` (sum over all of them).
 
-    ``counts`` must hold distinct (keys, order) rows; ``bucket`` must grow with ``order``.
+    ``counts`` must hold distinct (keys, order) rows; ``bucket`` must grow with ``order``. With ``following``, the
+    next larger value of the same keys is added as ``<order>_next``, null for the largest.
     """
     keys = list(keys)
     placed = counts.withColumn("_range", bucket)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
     starts = (
         placed.groupBy(*keys, "_range")
-        .agg(*[F.sum(m).alias(m) for m in measures])
+        .agg(F.min(order).alias("_first"), *[F.sum(m).alias(m) for m in measures])
         .select(
             *keys,
             "_range",
+            F.lead("_first").over(by_range).alias("_next_first"),
             *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_start") for m in measures],
             *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
         )
     )
-    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_in") for m in measures])
+    in_order = Window.partitionBy(*keys, "_range").orderBy(order)
+    inside = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.select(
+        "*",
+        *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_in") for m in measures],
+        *([F.lead(order).over(in_order).alias("_next")] if following else []),
+    )
     return local.join(starts, [*keys, "_range"]).select(
         *counts.columns,
         *[(F.col(f"_{m}_start") + F.col(f"_{m}_in")).alias(f"{m}_before") for m in measures],
         *[f"{m}_all" for m in measures],
+        *([F.coalesce("_next", "_next_first").alias(f"{order}_next")] if following else []),
     )
 
 
