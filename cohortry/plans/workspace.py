@@ -1,4 +1,4 @@
-"""Inputs that many analyses share: computed once per session and location, then read by all."""
+"""Inputs that many analyses share: computed once per session and location, then read by all of them."""
 
 from __future__ import annotations
 
@@ -7,16 +7,17 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.operators import features, segments
+from cohortry.operators import classify, features, regression, segments, splits, tree
 from cohortry.sources.star import star_tables
 from cohortry.sources.tables import Tables
 
 
 class Workspace:
-    """The customer feature table and the frequency/monetary table over one set of base tables.
+    """Everything derived from one set of base tables that more than one analysis reads.
 
-    Both are far smaller than the base tables (one row per customer). They are persisted on the executors, in memory
-    and on disk; blocks lost with an executor are recomputed from the base tables.
+    The persisted tables are far smaller than the base tables (one row per customer). They are kept on the executors,
+    in memory and on disk; blocks lost with an executor are recomputed from the base tables. Fitted models are a few
+    numbers each.
     """
 
     def __init__(self, tables: Tables):
@@ -40,12 +41,44 @@ class Workspace:
     def segmented(self) -> DataFrame:
         return segments.fm_segments(self.fm)
 
+    @cached_property
+    def linear(self) -> regression.LinearFit:
+        return regression.fit_linear(self.features)
+
+    @cached_property
+    def residuals(self) -> DataFrame:
+        return regression.with_residuals(self.features, self.linear)
+
+    @cached_property
+    def logit(self) -> classify.LogitFit:
+        return classify.fit_logit(self.features)
+
+    @cached_property
+    def class_split(self) -> DataFrame:
+        """Complete rows of the classifier with their stratified hold-out mark."""
+        return self._hold(splits.holdout(classify.complete_rows(self.features), label=classify.LABEL))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Held-out rows scored by the classifier trained on the others."""
+        scale = classify.population_scale(self.class_split)
+        model = classify.fit_classifier(self.class_split.filter("is_test = 0"), scale)
+        return classify.score_rows(self.class_split.filter("is_test = 1"), model)
+
+    @cached_property
+    def tree_split(self) -> DataFrame:
+        return self._hold(splits.holdout(self.features, label=classify.LABEL))
+
+    @cached_property
+    def tree(self) -> tree.Tree:
+        return tree.grow_tree(self.tree_split.filter("is_test = 0"))
+
     def release(self) -> None:
         for df in self._held:
             df.unpersist()
-        self._held.clear()
-        for name in ("features", "fm", "segmented"):
-            self.__dict__.pop(name, None)
+        tables = self.tables
+        self.__dict__.clear()
+        self.__init__(tables)
 
 
 _open: dict[tuple[str, str], Workspace] = {}
