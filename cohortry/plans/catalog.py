@@ -59,7 +59,7 @@ def _tukey(ws: Workspace, factor: str) -> DataFrame:
 
 
 def _box(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(charts.box_stats(anova.factor_rows(ws.features, factor), [factor], VALUE), 4)
+    return rounded(charts.box_stats(anova.factor_rows(ws.features, factor), [factor], VALUE), 6)
 
 
 def _coefficients(ws: Workspace) -> DataFrame:
@@ -98,9 +98,9 @@ def _report(ws: Workspace) -> DataFrame:
 CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     # base tables and customer features
     "row_counts": lambda ws: summaries.row_counts(ws.tables),
-    "order_summary": lambda ws: rounded(features.order_summary(ws.tables.order_items), 4),
+    "order_summary": lambda ws: rounded(features.order_summary(ws.tables.order_items), 6),
     "order_review": lambda ws: rounded(features.order_review(ws.tables.order_reviews), 6),
-    "order_payment": lambda ws: rounded(features.order_payment(ws.tables.order_payments), 4),
+    "order_payment": lambda ws: rounded(features.order_payment(ws.tables.order_payments), 6),
     "order_top_category": lambda ws: features.order_top_category(ws.tables),
     "customer_features": lambda ws: rounded(ws.features, 6),
     "feature_preview": lambda ws: rounded(summaries.preview(ws.features, KEY), 6),
@@ -116,15 +116,15 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "crosstab_repeat_payment": lambda ws: summaries.crosstab(ws.features),
     "report_long": lambda ws: rounded(_report(ws), 4),
     # frequency x monetary segments and recommendations
-    "fm_metrics": lambda ws: rounded(ws.fm, 4),
+    "fm_metrics": lambda ws: rounded(ws.fm, 6),
     "fm_medians": lambda ws: rounded(
         ranks.exact_quantiles(ws.fm, [], "monetary", {"median_monetary": 0.5})
         .select("median_monetary", ranks.exact_quantiles(ws.fm, [], "frequency", {"m": 0.5}).select("m").scalar().alias("median_frequency")),
-        4,
+        6,
     ),
-    "fm_segments": lambda ws: rounded(ws.segmented, 4),
+    "fm_segments": lambda ws: rounded(ws.segmented, 6),
     "segment_freq": lambda ws: rounded(segments.segment_frequencies(ws.segmented), 4),
-    "target_top20": lambda ws: rounded(segments.top_targets(ws.segmented), 2),
+    "target_top20": lambda ws: rounded(segments.top_targets(ws.segmented), 6),
     "popular_categories": _popular,
     "popular_top10": lambda ws: segments.leading_categories(_popular(ws)),
     "rated_products": lambda ws: rounded(
@@ -147,10 +147,8 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "anova_summary": lambda ws: rounded(anova.anova_summary(ws.features), 6),
     "levene_state": lambda ws: _levene(ws, "state"),
     "levene_payment": lambda ws: _levene(ws, "preferred_payment"),
-    "tukey_stats_state": lambda ws: _tukey(ws, "state").select("group1", "group2", "mean_diff", "std_error", "q", "df"),
-    "tukey_stats_payment": lambda ws: _tukey(ws, "preferred_payment").select(
-        "group1", "group2", "mean_diff", "std_error", "q", "df"
-    ),
+    "tukey_stats_state": lambda ws: _tukey(ws, "state").drop("lower", "upper"),
+    "tukey_stats_payment": lambda ws: _tukey(ws, "preferred_payment").drop("lower", "upper"),
     "tukey_pairs_state": lambda ws: _tukey(ws, "state"),
     "tukey_pairs_payment": lambda ws: _tukey(ws, "preferred_payment"),
     "two_way_anova": lambda ws: rounded(
@@ -166,10 +164,19 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
         _coefficients(ws), 5, b=3, std_error=3, lower=2, upper=2
     ),
     "ols_significant": lambda ws: rounded(regression.significant_terms(_coefficients(ws)), 3),
-    "ols_fit": lambda ws: rounded(regression.fit_table(_spark(ws), ws.linear), 6, f=4, log_likelihood=4, aic=4, bic=4, condition_number=1),
+    "ols_fit": lambda ws: rounded(
+        regression.fit_table(_spark(ws), ws.linear).drop("condition_number"), 6, f=4, log_likelihood=4, aic=4, bic=4
+    ),
+    "ols_condition": lambda ws: rounded(regression.fit_table(_spark(ws), ws.linear).select("n", "condition_number"), 1),
     "ols_coefficient_arms": lambda ws: rounded(charts.coefficient_arms(_coefficients(ws), "b"), 3),
     "ols_residual_stats": lambda ws: rounded(
-        regression.residual_statistics(_spark(ws), ws.residuals), 5, mean=3, sd=3, omnibus=4, jarque_bera=3
+        regression.residual_statistics(_spark(ws), ws.residuals)
+        .withColumn("abs_mean", F.abs(F.round("mean", 3)))
+        .drop("mean"),
+        5,
+        sd=3,
+        omnibus=4,
+        jarque_bera=3,
     ),
     "durbin_watson": lambda ws: rounded(regression.durbin_watson(ws.residuals), 6),
     "ols_holdout": lambda ws: rounded(

@@ -249,14 +249,46 @@ h AS (SELECT CAST(sum(m) AS BIGINT) AS n, count(*) AS k,
 
 
 def _tukey_sql(factor: str) -> str:
+    """Pairs with the range distribution integrated over a grid: the largest member (z) within the scale (s).
+
+    The normal distribution function is tabulated by Simpson's rule and read off between the grid points with its
+    known slope.
+    """
+    def below(x: str) -> str:
+        t = f"(({x}) + 8.5) * 100 - floor((({x}) + 8.5) * 100)"
+        return f"""(CASE WHEN {x} <= -8.49 THEN 0 ELSE (SELECT
+      c * (1 + 2 * ({t})) * (1 - ({t})) ** 2 + d * 0.01 * ({t}) * (1 - ({t})) ** 2 + nc * ({t}) ** 2 * (3 - 2 * ({t})) + nd * 0.01 * ({t}) ** 2 * (({t}) - 1)
+      FROM phi WHERE i = CAST(floor((({x}) + 8.5) * 100) AS BIGINT)) END)"""
+
+    def simpson(i: str, n: int) -> str:
+        return f"CASE WHEN {i} IN (0, {n}) THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END"
+
     return _with(
-        """SELECT a.g AS group1, b.g AS group2, round(b.m - a.m, 3) AS mean_diff, round(se, 3) AS std_error,
-  round(abs(b.m - a.m) / se, 6) AS q, CAST(df AS DOUBLE) AS df
-FROM (SELECT a.*, b.g AS g2, sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS se, df
-      FROM s a JOIN s b ON a.g < b.g, (SELECT sum(w) / (sum(n) - count(*)) AS ms, sum(n) - count(*) AS df FROM s)) a
-JOIN s b ON b.g = a.g2""",
+        """SELECT group1, group2, round(diff, 3) AS mean_diff, round(se, 3) AS std_error, round(q, 6) AS q, df, round(p, 5) AS p_adj,
+  p < 0.05 AS reject
+FROM (SELECT pr.*, 1 - inside / total AS p FROM pr JOIN pq USING (group1, group2))""",
         _factor_rows(factor),
-        "\ns AS (SELECT g, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM g_rows WHERE y IS NOT NULL GROUP BY 1)",
+        f"""
+s AS MATERIALIZED (SELECT g, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM g_rows WHERE y IS NOT NULL GROUP BY 1),
+pool AS (SELECT sum(w) / (sum(n) - count(*)) AS ms, CAST(sum(n) - count(*) AS DOUBLE) AS df, count(*) AS k FROM s),
+pr AS MATERIALIZED (
+  SELECT a.g AS group1, b.g AS group2, b.m - a.m AS diff, sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
+         abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, df, k
+  FROM s a JOIN s b ON a.g < b.g, pool),
+dens AS (SELECT i, exp(-x * x / 2) / sqrt(2 * pi()) AS d, exp(-(x + 0.005) * (x + 0.005) / 2) / sqrt(2 * pi()) AS md
+         FROM (SELECT i, -8.5 + i / 100e0 AS x FROM range(0, 1702) t(i))),
+phi AS MATERIALIZED (
+  SELECT i, d, nd, c, lead(c) OVER (ORDER BY i) AS nc
+  FROM (SELECT i, d, nd, coalesce(sum((d + 4 * md + nd) / 600) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+        FROM (SELECT *, lead(d) OVER (ORDER BY i) AS nd FROM dens))),
+zs AS MATERIALIZED (SELECT z, {simpson('i', 320)} * exp(-z * z / 2) AS wz, {below('z')} AS pz
+                    FROM (SELECT i, -8 + i / 20e0 AS z FROM range(0, 321) t(i))),
+ss AS MATERIALIZED (SELECT sc, {simpson('i', 48)} * exp((df - 1) * ln(sc) - df * (sc * sc - 1) / 2) AS ws
+                    FROM (SELECT i, df, 1 - 9 / sqrt(2 * df) + i * 18 / sqrt(2 * df) / 48 AS sc FROM range(0, 49) t(i), pool)),
+grid AS MATERIALIZED (SELECT group1, group2, k, ws, wz, pz, z - q * sc AS lower FROM pr, ss, zs),
+pq AS MATERIALIZED (
+  SELECT group1, group2, sum(ws * wz * k * (pz - {below('lower')}) ** (k - 1)) AS inside, sum(ws * wz) AS total
+  FROM grid GROUP BY 1, 2)""",
     )
 
 
@@ -268,7 +300,7 @@ def _describe_sql(factor: str) -> str:
     )
 
 
-def _box(rows: str, names: str = "", places: int = 4) -> str:
+def _box(rows: str, names: str = "", places: int = 6) -> str:
     key = "g" if names else "1"
     lead = f"a.g AS {names}, " if names else ""
     q = ", ".join(f"quantile_cont(y, {p}) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
@@ -292,8 +324,8 @@ def _solve(name: str, size: int, augmented: str) -> str:
 {name}_steps AS (
   SELECT 0 AS k, i, j, CAST(v AS DOUBLE) AS v FROM ({augmented})
   UNION ALL
-  SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN v / pivot ELSE v - in_column * in_row / pivot END
-  FROM (SELECT *, max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER () AS pivot,
+  SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN v / head ELSE v - in_column * in_row / head END
+  FROM (SELECT *, max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER () AS head,
                max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY i) AS in_column,
                max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY j) AS in_row
         FROM {name}_steps WHERE k < {size})),
@@ -302,7 +334,7 @@ def _solve(name: str, size: int, augmented: str) -> str:
 
 def _long(name: str, source: str, columns: list[str]) -> str:
     """Rows (id, j, x): the constant as j = 1, then the columns, standardised."""
-    parts = [f"SELECT id, 1 AS j, 1.0 AS x FROM {source}"]
+    parts = [f"SELECT id, 1 AS j, 1e0 AS x FROM {source}"]
     parts += [
         f"SELECT id, {j} AS j, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x FROM {source}"
         for j, c in enumerate(columns, 2)
@@ -323,8 +355,8 @@ def _ols(data: str = "d", prefix: str = "") -> str:
     p = prefix
     moments = ", ".join(f"avg({x}) AS m{j}, stddev_pop({x}) AS s{j}" for j, x in enumerate(OLS_X, 2))
     system = f"""SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM {p}dl a JOIN {p}dl b ON a.id = b.id GROUP BY 1, 2
-    UNION ALL SELECT i, i + {_K + 1}, 1.0 FROM range(1, {_K + 2}) t(i)
-    UNION ALL SELECT i, j + {_K + 1}, 0.0 FROM range(1, {_K + 2}) t(i), range(1, {_K + 2}) u(j) WHERE i <> j
+    UNION ALL SELECT i, i + {_K + 1}, 1e0 FROM range(1, {_K + 2}) t(i)
+    UNION ALL SELECT i, j + {_K + 1}, 0e0 FROM range(1, {_K + 2}) t(i), range(1, {_K + 2}) u(j) WHERE i <> j
     UNION ALL SELECT a.j, {2 * _K + 3}, sum(a.x * b.y) FROM {p}dl a JOIN {data} b ON a.id = b.id GROUP BY 1"""
     scale = " ".join(f"WHEN {j} THEN s{j}" for j in range(2, _K + 2))
     mean = " ".join(f"WHEN {j} THEN m{j}" for j in range(2, _K + 2))
@@ -360,7 +392,7 @@ def _se() -> str:
     """Errors of all terms, the intercept from the covariance of the standardised terms."""
     return f"""
 inv AS MATERIALIZED (SELECT i, j - {_K + 1} AS j, v FROM sol WHERE j > {_K + 1} AND j < {2 * _K + 3}),
-load AS (SELECT 1 AS i, 1.0 AS c UNION ALL SELECT j, -m / s FROM slope),
+load AS (SELECT 1 AS i, 1e0 AS c UNION ALL SELECT j, -m / s FROM slope),
 se AS MATERIALIZED (
   SELECT s.j, sqrt(sse / rdf * v) / s.s AS se, s.z * s.s / s.s / sy AS beta
   FROM slope s JOIN inv ON inv.i = s.j AND inv.j = s.j, fit
@@ -395,7 +427,7 @@ ld AS MATERIALIZED (SELECT customer_unique_id AS id, is_repeat AS y, {', '.join(
 
 def _newton(p: str, rows: str, ridge: float, steps: int = 9) -> str:
     """Newton's method unrolled. ``rows`` has (id, y, w); ``ll`` holds the standardised design. Last iterate {p}b{steps}."""
-    out = [f"\n{p}b0 AS (SELECT i AS j, 0.0 AS b FROM range(1, {_L + 2}) t(i))"]
+    out = [f"\n{p}b0 AS (SELECT i AS j, 0e0 AS b FROM range(1, {_L + 2}) t(i))"]
     for t in range(steps):
         out.append(f"""
 {p}p{t} AS MATERIALIZED (
@@ -403,8 +435,8 @@ def _newton(p: str, rows: str, ridge: float, steps: int = 9) -> str:
   FROM {rows} r JOIN ll ON ll.id = r.id JOIN {p}b{t} USING (j) GROUP BY 1)""")
         system = f"""SELECT a.j AS i, b.j AS j, sum(w * p * (1 - p) * a.x * b.x) + CASE WHEN a.j = b.j AND a.j > 1 THEN {ridge} ELSE 0 END AS v
     FROM {p}p{t} r JOIN ll a ON a.id = r.id JOIN ll b ON b.id = r.id GROUP BY 1, 2
-    UNION ALL SELECT i, i + {_L + 1}, 1.0 FROM range(1, {_L + 2}) t(i)
-    UNION ALL SELECT i, j + {_L + 1}, 0.0 FROM range(1, {_L + 2}) t(i), range(1, {_L + 2}) u(j) WHERE i <> j
+    UNION ALL SELECT i, i + {_L + 1}, 1e0 FROM range(1, {_L + 2}) t(i)
+    UNION ALL SELECT i, j + {_L + 1}, 0e0 FROM range(1, {_L + 2}) t(i), range(1, {_L + 2}) u(j) WHERE i <> j
     UNION ALL SELECT j, {2 * _L + 3}, sum(w * (y - p) * x) - CASE WHEN j > 1 THEN {ridge} ELSE 0 END * any_value(b)
     FROM {p}p{t} r JOIN ll ON ll.id = r.id JOIN {p}b{t} USING (j) GROUP BY j"""
         out.append(_solve(f"{p}s{t}", _L + 1, system))
@@ -459,9 +491,9 @@ cu AS MATERIALIZED (
 
 
 _ROC = """SELECT round(score, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM cu
-UNION ALL SELECT NULL, 0.0, 0.0"""
+UNION ALL SELECT NULL, 0e0, 0e0"""
 _PR = """SELECT round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / np, 6) AS recall FROM cu
-UNION ALL SELECT NULL, 1.0, 0.0"""
+UNION ALL SELECT NULL, 1e0, 0e0"""
 _AUC = "sum((fp - lag_fp) / nn * (tp + lag_tp) / np / 2)"
 _LAGS = "(SELECT *, lag(fp, 1, 0) OVER (ORDER BY score DESC) AS lag_fp, lag(tp, 1, 0) OVER (ORDER BY score DESC) AS lag_tp FROM cu)"
 _PR_AUC = f"""SELECT round(sum((tp - lag_tp) / np * (tp / (tp + fp) + CASE WHEN lag_tp + lag_fp = 0 THEN 1.0
@@ -495,11 +527,11 @@ def _folds(rows: str, out: str) -> str:
     """Consecutive blocks per class in key order, sized by dealing the lined-up classes round-robin."""
     return f"""
 {out}_line AS (
-  SELECT y, c, coalesce(sum(c) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  SELECT y, c, coalesce(sum(c) OVER (ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM (SELECT y, count(*) AS c, min(id) AS head FROM {rows} GROUP BY 1)),
 {out}_deal AS (
   SELECT y, fold, count(*) AS take
-  FROM (SELECT y, (at + i) % 5 AS fold FROM {out}_line, LATERAL (SELECT unnest(range(0, c)) AS i)) GROUP BY 1, 2),
+  FROM (SELECT y, (begins + i) % 5 AS fold FROM {out}_line, LATERAL (SELECT unnest(range(0, c)) AS i)) GROUP BY 1, 2),
 {out}_edge AS (SELECT y, fold, sum(take) OVER (PARTITION BY y ORDER BY fold) AS upto FROM {out}_deal),
 {out} AS MATERIALIZED (
   SELECT r.*, (SELECT CAST(min(fold) AS INT) FROM {out}_edge e WHERE e.y = r.y AND r.pos <= e.upto) AS fold
@@ -628,12 +660,12 @@ NAMES = list(correlation.CORRELATED)
 
 
 def _pearson(extra: str = "") -> str:
-    parts = [f"SELECT '{x}' AS var_x, '{y}' AS var_y, {'1.0' if x == y else f'corr({x}, {y})'} AS r FROM cf" for x, y in product(NAMES, NAMES)]
+    parts = [f"SELECT '{x}' AS var_x, '{y}' AS var_y, {'1e0' if x == y else f'corr({x}, {y})'} AS r{'' if x == y else ' FROM cf'}" for x, y in product(NAMES, NAMES)]
     return f"\npe AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
 def _spearman() -> str:
-    parts = [f"SELECT '{x}' AS var_x, '{x}' AS var_y, 1.0 AS r" for x in NAMES]
+    parts = [f"SELECT '{x}' AS var_x, '{x}' AS var_y, 1e0 AS r" for x in NAMES]
     for a, b in combinations(NAMES, 2):
         rho = (
             f"(SELECT corr(ra, rb) FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, "
@@ -734,10 +766,10 @@ def _queries() -> dict[str, str]:
                          ("order_payments", "t_payments"), ("products", "t_products"), ("translation", "t_translation"))
         )
     )
-    q["order_summary"] = _with("SELECT order_id, round(total_price, 4) AS total_price, round(total_freight, 4) AS total_freight, item_count FROM o_items")
+    q["order_summary"] = _with("SELECT order_id, round(total_price, 6) AS total_price, round(total_freight, 6) AS total_freight, item_count FROM o_items")
     q["order_review"] = _with("SELECT order_id, round(review_score, 6) AS review_score FROM o_reviews")
     q["order_payment"] = _with(
-        "SELECT order_id, round(payment_installments, 4) AS payment_installments, round(payment_value, 4) AS payment_value, payment_type FROM o_payments"
+        "SELECT order_id, round(payment_installments, 6) AS payment_installments, round(payment_value, 6) AS payment_value, payment_type FROM o_payments"
     )
     q["order_top_category"] = _with("SELECT * FROM o_category")
     doubles = ["avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_order_value", "total_spent", "avg_item_count"]
@@ -787,14 +819,14 @@ def _queries() -> dict[str, str]:
         *three,
     )
     # segments
-    q["fm_metrics"] = _with("SELECT customer_unique_id, frequency, round(monetary, 4) AS monetary FROM fm", SEGMENTS)
-    q["fm_medians"] = _with("SELECT round(m, 4) AS median_monetary, CAST(f AS DOUBLE) AS median_frequency FROM med", SEGMENTS)
-    q["fm_segments"] = _with("SELECT customer_unique_id, frequency, round(monetary, 4) AS monetary, segment FROM seg", SEGMENTS)
+    q["fm_metrics"] = _with("SELECT customer_unique_id, frequency, round(monetary, 6) AS monetary FROM fm", SEGMENTS)
+    q["fm_medians"] = _with("SELECT round(m, 6) AS median_monetary, CAST(f AS DOUBLE) AS median_frequency FROM med", SEGMENTS)
+    q["fm_segments"] = _with("SELECT customer_unique_id, frequency, round(monetary, 6) AS monetary, segment FROM seg", SEGMENTS)
     q["segment_freq"] = _with(
         "SELECT segment, frequency, round(percent, 4) AS percent, cum_frequency, round(cum_percent, 4) AS cum_percent FROM sf", SEGMENTS, _SEGMENT_FREQ
     )
     q["target_top20"] = _with(
-        f"SELECT customer_unique_id, frequency, round(monetary, 2) AS monetary, segment FROM seg WHERE segment = '{HIGH}' "
+        f"SELECT customer_unique_id, frequency, round(monetary, 6) AS monetary, segment FROM seg WHERE segment = '{HIGH}' "
         "ORDER BY customer_unique_id LIMIT 20",
         SEGMENTS,
     )
@@ -845,6 +877,33 @@ def _queries() -> dict[str, str]:
         "FROM co WHERE term <> 'intercept'",
         *coefficients,
     )
+    q["ols_fit"] = _with(
+        f"""SELECT n, round(r2, 6) AS r_squared, round(1 - (1 - r2) * (n - 1) / rdf, 6) AS adj_r_squared, round(f, 4) AS f,
+  round({f_tail('f', f'{_K}.0', 'rdf')}, 6) AS f_p, round(ll, 4) AS log_likelihood, round(-2 * ll + {2 * (_K + 1)}, 4) AS aic,
+  round(-2 * ll + ln(n) * {_K + 1}, 4) AS bic
+FROM (SELECT *, (r2 / {_K}) / ((1 - r2) / rdf) AS f, -n / 2.0 * (ln(2 * pi()) + ln(sse / n) + 1) AS ll FROM fit)""",
+        *_OLS,
+    )
+    q["ols_residual_stats"] = _with(
+        f"""SELECT n, abs(round(mean, 3)) AS abs_mean, round(sd, 3) AS sd, round(skew, 5) AS skew, round(kurtosis, 5) AS kurtosis,
+  round(omnibus, 4) AS omnibus, round({chi2_tail('omnibus', '2.0')}, 5) AS omnibus_p, round(jb, 3) AS jarque_bera,
+  round({chi2_tail('jb', '2.0')}, 5) AS jarque_bera_p
+FROM (SELECT *, n / 6e0 * (skew ** 2 + (kurtosis - 3) ** 2 / 4) AS jb, zs ** 2 + zk ** 2 AS omnibus FROM rz)""",
+        *_OLS,
+        """
+rm AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(e) AS mean, stddev_samp(e) AS sd,
+         avg((e - m) ** 3) / var_pop(e) ** 1.5 AS skew, avg((e - m) ** 4) / var_pop(e) ** 2 AS kurtosis
+       FROM res, (SELECT avg(e) AS m FROM res)),
+ra AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+         sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+         (kurtosis - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x,
+         6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb
+       FROM rm),
+rb AS (SELECT *, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / sb ** 2)) AS a, y / sqrt(2 / (w2 - 1)) AS yy FROM ra),
+rz AS (SELECT CAST(n AS BIGINT) AS n, mean, sd, skew, kurtosis, ln(yy + sqrt(yy * yy + 1)) / sqrt(0.5 * ln(w2)) AS zs,
+         (1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS zk
+       FROM rb)""",
+    )
     q["durbin_watson"] = _with(
         "SELECT round(sum((e - l) ** 2) / sum(e * e), 6) AS durbin_watson FROM (SELECT e, lag(e) OVER (ORDER BY id) AS l FROM res)", *_OLS
     )
@@ -882,7 +941,7 @@ def _queries() -> dict[str, str]:
         f"\nhs AS (SELECT CASE WHEN test THEN 'test' ELSE 'train' END AS part, y, y - ({fitted}) AS e FROM hd, hwide)",
     )
     # logistic regression
-    logit = (LOGIT_DATA, _long("ll", "ld", LOGIT_X), "\nlr AS (SELECT id, y, 1.0 AS w FROM ld)", _newton("c", "lr", 0.0))
+    logit = (LOGIT_DATA, _long("ll", "ld", LOGIT_X), "\nlr AS (SELECT id, y, 1e0 AS w FROM ld)", _newton("c", "lr", 0.0))
     scale = " UNION ALL ".join(
         f"SELECT {j} AS j, '{x}' AS term, avg({x}) AS m, stddev_pop({x}) AS s FROM ld" for j, x in enumerate(LOGIT_X, 2)
     )
@@ -891,7 +950,7 @@ def _queries() -> dict[str, str]:
         f"""
 lm AS (SELECT 1 AS j, 'intercept' AS term, NULL AS m, NULL AS s UNION ALL {scale}),
 cov AS MATERIALIZED (SELECT i, j - {_L + 1} AS j, v FROM cs8 WHERE j > {_L + 1} AND j < {2 * _L + 3}),
-ld_load AS (SELECT j AS i, CASE WHEN j = 1 THEN 1.0 ELSE -m / s END AS c FROM lm),
+ld_load AS (SELECT j AS i, CASE WHEN j = 1 THEN 1e0 ELSE -m / s END AS c FROM lm),
 lo AS MATERIALIZED (
   SELECT term, b / s AS b, sqrt(v) / s AS se FROM lm JOIN cb9 USING (j) JOIN cov ON cov.i = lm.j AND cov.j = lm.j WHERE lm.j > 1
   UNION ALL
