@@ -21,7 +21,7 @@ from cohortry.functions.tails import (
     studentized_range_critical_of,
     studentized_range_tail_of,
 )
-from cohortry.operators.ranks import average_rank, exact_quantiles, value_positions
+from cohortry.operators.ranks import average_rank, exact_quantiles, per_level, value_positions
 from cohortry.operators.summaries import restrict_to_top
 
 
@@ -89,7 +89,7 @@ def levene(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFra
     """Homogeneity of variance: one-way analysis of the distances from the exact group medians."""
     known = df.dropna(subset=[group, value]).select(group, value)
     medians = exact_quantiles(known, [group], value, {"median": 0.5}).select(group, "median")
-    spread = known.join(medians, group).select(group, F.abs(F.col(value) - F.col("median")).alias("spread"))
+    spread = known.join(per_level(medians, known, [group]), group).select(group, F.abs(F.col(value) - F.col("median")).alias("spread"))
     return one_way(spread, group, "spread").select(
         F.col("f").alias("w"), "df_between", "df_within", "p", (F.col("p") > ALPHA).alias("homogeneous")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.ranks import quantiles_of, value_positions
+from cohortry.operators.ranks import per_level, quantiles_of, value_positions
 from cohortry.operators.regression import INTERCEPT
 from cohortry.operators.splits import SEED, shuffle_key
 
@@ -24,9 +24,11 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     placed = value_positions(df.select(*keys, value), keys, value)
     quartiles = quantiles_of(placed, keys, value, QUARTILES).drop("n")
-    with_quartiles = placed.join(quartiles, keys) if keys else placed.select(
-        "*", *[quartiles.select(q).scalar().alias(q) for q in QUARTILES]
-    )
+    if keys:
+        with_quartiles = placed.join(per_level(quartiles, df, keys), keys)
+    else:
+        row = quartiles.select(F.struct(*QUARTILES)).scalar()
+        with_quartiles = placed.select("*", *[row[q].alias(q) for q in QUARTILES])
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return with_quartiles.groupBy(*keys).agg(

@@ -140,5 +140,17 @@ def quantiles_of(positions: DataFrame, keys: Sequence[str], value: str, shares:
     return rows.select(*keys, "n", *[between(name, share) for name, share in shares.items()])
 
 
+FEW_LEVELS = 10_000
+
+
+def per_level(summary: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table with one row per level of ``rows``' keys, marked for broadcast if the levels are few.
+
+    The check reads distinct levels only and stops at the limit. With more levels, the join is left to shuffle.
+    """
+    levels = rows.select(*keys).distinct().limit(FEW_LEVELS + 1).count()
+    return F.broadcast(summary) if levels <= FEW_LEVELS else summary
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     return quantiles_of(value_positions(df, keys, value), keys, value, shares)

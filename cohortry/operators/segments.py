@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortry.functions.columns import on_grid
-from cohortry.operators.features import delivered, items_with_category
+from cohortry.operators.features import delivered, named_products
 from cohortry.operators.ranks import exact_quantiles
 from cohortry.sources.tables import Tables
 
@@ -101,12 +101,11 @@ def popular_categories(t: Tables, segmented: DataFrame) -> DataFrame:
         .join(target_customers(segmented).select("customer_unique_id"), "customer_unique_id", "left_semi")
         .select("order_id")
     )
-    named = t.translation.filter(F.col("product_category_name_english") != "")
+    named = named_products(t).filter(F.col("product_category_name_english") != "")
     return (
         t.order_items.select("order_id", "product_id")
         .join(target_orders, "order_id")
-        .join(t.products, "product_id")
-        .join(named, "product_category_name")
+        .join(named, "product_id")
         .groupBy(F.col("product_category_name_english").alias("category"))
         .agg(F.count(F.lit(1)).alias("buy_count"))
     )

@@ -168,7 +168,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
         regression.fit_table(_spark(ws), ws.linear).drop("condition_number"), 6, f=4, log_likelihood=4, aic=4, bic=4
     ),
     "ols_condition": lambda ws: rounded(regression.fit_table(_spark(ws), ws.linear).select("n", "condition_number"), 1),
-    "ols_coefficient_arms": lambda ws: rounded(charts.coefficient_arms(_coefficients(ws), "b"), 3),
+    "ols_coefficient_arms": lambda ws: rounded(charts.coefficient_arms(_coefficients(ws), "b"), 1, b=3),
     "ols_residual_stats": lambda ws: rounded(
         regression.residual_statistics(_spark(ws), ws.residuals)
         .withColumn("abs_mean", F.abs(F.round("mean", 3)))

@@ -873,7 +873,7 @@ def _queries() -> dict[str, str]:
         *coefficients,
     )
     q["ols_coefficient_arms"] = _with(
-        f"SELECT term, round(b, 3) AS b, round(b - lower, 3) AS arm_low, round(upper - b, 3) AS arm_high, {_mark('p')} AS mark "
+        f"SELECT term, round(b, 3) AS b, round(b - lower, 1) AS arm_low, round(upper - b, 1) AS arm_high, {_mark('p')} AS mark "
         "FROM co WHERE term <> 'intercept'",
         *coefficients,
     )
@@ -1016,8 +1016,8 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
     )
     q["tree_importance"] = _with(
         "SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 6) AS importance FROM ("
-        "SELECT x AS feature, coalesce(sum(gain), 0) / (SELECT sum(p.w * p.gini - l.w * l.gini - r.w * r.gini) FROM tree p "
-        "JOIN tree l ON l.node = 2 * p.node JOIN tree r ON r.node = 2 * p.node + 1) AS importance "
+        "SELECT x AS feature, coalesce(sum(gain) / (SELECT sum(p.w * p.gini - l.w * l.gini - r.w * r.gini) FROM tree p "
+        "JOIN tree l ON l.node = 2 * p.node JOIN tree r ON r.node = 2 * p.node + 1), 0) AS importance "
         f"FROM (SELECT unnest({list(tree.PREDICTORS)}) AS x) LEFT JOIN (SELECT p.feature AS f, p.w * p.gini - l.w * l.gini - r.w * r.gini AS gain "
         "FROM tree p JOIN tree l ON l.node = 2 * p.node JOIN tree r ON r.node = 2 * p.node + 1) ON f = x GROUP BY 1)",
         *grown,

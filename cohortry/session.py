@@ -26,6 +26,13 @@ def local_session(cores: int | None = None, app: str = "cohortry") -> SparkSessi
     )
 
 
+MOST_RANGES = 1024
+
+
 def shuffle_width(spark: SparkSession) -> int:
-    """How many ranges the ordered operators cut their data into: the session's own shuffle width."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """How many ranges the ordered operators cut their data into: the session's shuffle width, within reason.
+
+    Every row is compared with the range limits, so their number stays moderate; a range may be large, since it is
+    only ever sorted, and sorting spills.
+    """
+    return min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))

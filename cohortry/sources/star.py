@@ -33,7 +33,10 @@ def star_tables(spark: SparkSession, base: str) -> Tables:
     last_ship = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
         F.max("l_shipdate").alias("order_delivered_customer_date")
     )
-    status = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("o_orderstatus"))
+    # nested conditions, so that a filter on the name becomes a filter on the code at the scan
+    status = F.lit(None)
+    for code, name in reversed(STATUS.items()):
+        status = F.when(F.col("o_orderstatus") == code, name).otherwise(status)
     orders = (
         scan("orders")
         .select(
