@@ -5,10 +5,12 @@ Each test first folds the rows into per-group moments or counts. What follows wo
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,6 +154,9 @@ def rejected_pairs(pairs: DataFrame, rows: int = 10) -> DataFrame:
     return pairs.filter("reject").orderBy("group1", "group2").limit(rows)
 
 
+# The function for the cell table goes to its task by value, see the tails.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TWO_WAY_SCHEMA = "effect string, sum_sq double, df double, f double, p double"
 
 

@@ -17,6 +17,7 @@ from cohortry.functions.columns import ALPHA
 from cohortry.operators.ranks import numeric_limits, range_of, running_totals
 from cohortry.operators.regression import INTERCEPT, mark_of
 from cohortry.operators.splits import FOLDS, stratified_folds
+from cohortry.sources.scratch import keep
 
 LABEL = "is_repeat"
 PREDICTORS = [
@@ -410,9 +411,7 @@ def fold_auc(
     """
     rows = complete_rows(df, predictors, label)
     scale = population_scale(rows, predictors)
-    folded = stratified_folds(rows.select("customer_unique_id", label, *predictors), label, folds=folds).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    folded = keep(stratified_folds(rows.select("customer_unique_id", label, *predictors), label, folds=folds))
     sizes = {(r["fold"], r[label]): r["n"] for r in folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n")).collect()}
     classes = sorted({c for _, c in sizes})
     train_sizes = [{c: sum(n for (f, k), n in sizes.items() if f != i and k == c) for c in classes} for i in range(folds)]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.operators import classify, features, regression, segments, splits, tree
+from cohortry.sources.scratch import keep
 from cohortry.sources.star import star_tables
 from cohortry.sources.tables import Tables
 
@@ -15,27 +15,21 @@ from cohortry.sources.tables import Tables
 class Workspace:
     """Everything derived from one set of base tables that more than one analysis reads.
 
-    The persisted tables are far smaller than the base tables (one row per customer). They are kept on the executors,
-    in memory and on disk; blocks lost with an executor are recomputed from the base tables. Fitted models are a few
-    numbers each.
+    The kept tables are far smaller than the base tables (one row per customer) and are written once to the cluster's
+    shared folder. Fitted models are a few numbers each.
     """
 
     def __init__(self, tables: Tables):
         self.tables = tables
-        self._held: list[DataFrame] = []
-
-    def _hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
 
     @cached_property
     def features(self) -> DataFrame:
-        rolled = self._hold(features.customer_rollup(features.order_features(self.tables)))
+        rolled = keep(features.customer_rollup(features.order_features(self.tables)))
         return features.fill_gaps(rolled, features.median_score(rolled))
 
     @cached_property
     def fm(self) -> DataFrame:
-        return self._hold(segments.fm_metrics(self.tables))
+        return keep(segments.fm_metrics(self.tables))
 
     @cached_property
     def segmented(self) -> DataFrame:
@@ -56,7 +50,7 @@ class Workspace:
     @cached_property
     def class_split(self) -> DataFrame:
         """Complete rows of the classifier with their stratified hold-out mark."""
-        return self._hold(splits.holdout(classify.complete_rows(self.features), label=classify.LABEL))
+        return keep(splits.holdout(classify.complete_rows(self.features), label=classify.LABEL))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -67,19 +61,12 @@ class Workspace:
 
     @cached_property
     def tree_split(self) -> DataFrame:
-        return self._hold(splits.holdout(self.features, label=classify.LABEL))
+        return keep(splits.holdout(self.features, label=classify.LABEL))
 
     @cached_property
     def tree(self) -> tree.Tree:
         return tree.grow_tree(self.tree_split.filter("is_test = 0"))
 
-    def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        tables = self.tables
-        self.__dict__.clear()
-        self.__init__(tables)
-
 
 _open: dict[tuple[str, str], Workspace] = {}
 
