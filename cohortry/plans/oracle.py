@@ -248,32 +248,35 @@ h AS (SELECT CAST(sum(m) AS BIGINT) AS n, count(*) AS k,
     )
 
 
-def _tukey_sql(factor: str) -> str:
-    """Pairs with the range distribution integrated over a grid: the largest member (z) within the scale (s).
-
-    The normal distribution function is tabulated by Simpson's rule and read off between the grid points with its
-    known slope.
-    """
-    def below(x: str) -> str:
-        t = f"(({x}) + 8.5) * 100 - floor((({x}) + 8.5) * 100)"
-        return f"""(CASE WHEN {x} <= -8.49 THEN 0 ELSE (SELECT
+def _phi_below(x: str) -> str:
+    """Normal distribution function from its table, read off between the grid points with its known slope."""
+    t = f"(({x}) + 8.5) * 100 - floor((({x}) + 8.5) * 100)"
+    return f"""(CASE WHEN {x} <= -8.49 THEN 0 ELSE (SELECT
       c * (1 + 2 * ({t})) * (1 - ({t})) ** 2 + d * 0.01 * ({t}) * (1 - ({t})) ** 2 + nc * ({t}) ** 2 * (3 - 2 * ({t})) + nd * 0.01 * ({t}) ** 2 * (({t}) - 1)
       FROM phi WHERE i = CAST(floor((({x}) + 8.5) * 100) AS BIGINT)) END)"""
 
-    def simpson(i: str, n: int) -> str:
-        return f"CASE WHEN {i} IN (0, {n}) THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END"
 
-    return _with(
-        """SELECT group1, group2, round(diff, 3) AS mean_diff, round(se, 3) AS std_error, round(q, 6) AS q, df, round(p, 5) AS p_adj,
-  p < 0.05 AS reject
-FROM (SELECT pr.*, 1 - inside / total AS p FROM pr JOIN pq USING (group1, group2))""",
+def _simpson(i: str, n: int) -> str:
+    return f"CASE WHEN {i} IN (0, {n}) THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _range_tail(name: str, source: str) -> str:
+    """P(Q > q) for the rows (id, q) of a source, over the largest member (z) within the scale (s)."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT id, any_value(q) AS q, 1 - sum(ws * wz * k * (pz - {_phi_below('lower')}) ** (k - 1)) / sum(ws * wz) AS p
+  FROM (SELECT id, q, k, ws, wz, pz, z - q * sc AS lower FROM {source}, ss, zs, pool) GROUP BY 1)"""
+
+
+def _tukey_ctes(factor: str) -> tuple[str, ...]:
+    return (
         _factor_rows(factor),
         f"""
 s AS MATERIALIZED (SELECT g, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM g_rows WHERE y IS NOT NULL GROUP BY 1),
-pool AS (SELECT sum(w) / (sum(n) - count(*)) AS ms, CAST(sum(n) - count(*) AS DOUBLE) AS df, count(*) AS k FROM s),
+pool AS MATERIALIZED (SELECT sum(w) / (sum(n) - count(*)) AS ms, CAST(sum(n) - count(*) AS DOUBLE) AS df, count(*) AS k FROM s),
 pr AS MATERIALIZED (
-  SELECT a.g AS group1, b.g AS group2, b.m - a.m AS diff, sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
-         abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, df, k
+  SELECT row_number() OVER () AS id, a.g AS group1, b.g AS group2, b.m - a.m AS diff, sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
+         abs(b.m - a.m) / sqrt(ms / 2 * (1.0 / a.n + 1.0 / b.n)) AS q, df
   FROM s a JOIN s b ON a.g < b.g, pool),
 dens AS (SELECT i, exp(-x * x / 2) / sqrt(2 * pi()) AS d, exp(-(x + 0.005) * (x + 0.005) / 2) / sqrt(2 * pi()) AS md
          FROM (SELECT i, -8.5 + i / 100e0 AS x FROM range(0, 1702) t(i))),
@@ -281,14 +284,34 @@ phi AS MATERIALIZED (
   SELECT i, d, nd, c, lead(c) OVER (ORDER BY i) AS nc
   FROM (SELECT i, d, nd, coalesce(sum((d + 4 * md + nd) / 600) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
         FROM (SELECT *, lead(d) OVER (ORDER BY i) AS nd FROM dens))),
-zs AS MATERIALIZED (SELECT z, {simpson('i', 320)} * exp(-z * z / 2) AS wz, {below('z')} AS pz
+zs AS MATERIALIZED (SELECT z, {_simpson('i', 320)} * exp(-z * z / 2) AS wz, {_phi_below('z')} AS pz
                     FROM (SELECT i, -8 + i / 20e0 AS z FROM range(0, 321) t(i))),
-ss AS MATERIALIZED (SELECT sc, {simpson('i', 48)} * exp((df - 1) * ln(sc) - df * (sc * sc - 1) / 2) AS ws
-                    FROM (SELECT i, df, 1 - 9 / sqrt(2 * df) + i * 18 / sqrt(2 * df) / 48 AS sc FROM range(0, 49) t(i), pool)),
-grid AS MATERIALIZED (SELECT group1, group2, k, ws, wz, pz, z - q * sc AS lower FROM pr, ss, zs),
-pq AS MATERIALIZED (
-  SELECT group1, group2, sum(ws * wz * k * (pz - {below('lower')}) ** (k - 1)) AS inside, sum(ws * wz) AS total
-  FROM grid GROUP BY 1, 2)""",
+ss AS MATERIALIZED (SELECT sc, {_simpson('i', 48)} * exp((df - 1) * ln(sc) - df * (sc * sc - 1) / 2) AS ws
+                    FROM (SELECT i, df, 1 - 9 / sqrt(2 * df) + i * 18 / sqrt(2 * df) / 48 AS sc FROM range(0, 49) t(i), pool))""",
+        _range_tail("pq", "pr"),
+    )
+
+
+def _tukey_sql(factor: str) -> str:
+    return _with(
+        """SELECT group1, group2, round(diff, 3) AS mean_diff, round(se, 3) AS std_error, round(pr.q, 6) AS q, df, round(p, 5) AS p_adj,
+  p < 0.05 AS reject FROM pr JOIN pq USING (id)""",
+        *_tukey_ctes(factor),
+    )
+
+
+def _tukey_pairs_sql(factor: str, steps: int = 8) -> str:
+    """With the interval: its q is where the tail is 0.05, found by unrolled secant steps on the log of the tail."""
+    parts = [_range_tail("c0", "(SELECT 1 AS id, 4.0e0 AS q)"), _range_tail("c1", "(SELECT 1 AS id, 4.4e0 AS q)")]
+    for t in range(2, steps):
+        a, b = f"c{t - 2}", f"c{t - 1}"
+        step = f"CASE WHEN {b}.p = {a}.p THEN 0 ELSE (ln(0.05) - ln({b}.p)) * ({b}.q - {a}.q) / (ln({b}.p) - ln({a}.p)) END"
+        parts.append(_range_tail(f"c{t}", f"(SELECT 1 AS id, {b}.q + {step} AS q FROM {a}, {b})"))
+    reach = f"(SELECT q FROM c{steps - 1}) * se"
+    return _with(
+        f"""SELECT group1, group2, round(diff, 3) AS mean_diff, round(se, 3) AS std_error, round(pr.q, 6) AS q, df, round(p, 5) AS p_adj,
+  round(diff - {reach}, 1) AS lower, round(diff + {reach}, 1) AS upper, p < 0.05 AS reject FROM pr JOIN pq USING (id)""",
+        *_tukey_ctes(factor), *parts,
     )
 
 
@@ -404,6 +427,27 @@ se AS MATERIALIZED (
 _OLS_CTES, _FITTED = _ols()
 _OLS = (OLS_DATA, _OLS_CTES)
 
+# Cross products of the raw design and their inverse, the latter from the well conditioned standardised one.
+_CONDITION = f"""
+raw AS MATERIALIZED (SELECT id, 1 AS j, 1e0 AS x FROM d UNION ALL {' UNION ALL '.join(f"SELECT id, {j}, {x} FROM d" for j, x in enumerate(OLS_X, 2))}),
+gram AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM raw a JOIN raw b USING (id) GROUP BY 1, 2),
+back AS MATERIALIZED (
+  SELECT 1 AS i, 1 AS j, 1e0 AS v UNION ALL SELECT 1, j, -m / s FROM slope UNION ALL SELECT j, j, 1 / s FROM slope),
+ginv AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * inv.v * b.v) AS v FROM back a JOIN inv ON inv.i = a.j JOIN back b ON b.j = inv.j GROUP BY 1, 2)"""
+
+
+def _dominant(matrix: str, squarings: int = 6) -> str:
+    """Largest eigenvalue of a symmetric matrix: its powers, kept at trace 1, turn into the projection on its vector."""
+    out = [f"\n{matrix}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"]
+    for t in range(squarings):
+        out.append(f"""
+{matrix}_s{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {matrix}_{t} a JOIN {matrix}_{t} b ON a.j = b.i GROUP BY 1, 2),
+{matrix}_{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix}_s{t} WHERE i = j) AS v FROM {matrix}_s{t})""")
+    out.append(f"\n{matrix}_value AS (SELECT sum(a.v * b.v) AS top FROM {matrix} a JOIN {matrix}_{squarings} b ON a.i = b.i AND a.j = b.j)")
+    return ",".join(out)
+
+
 # The t quantile by its Cornish-Fisher expansion, far below the rounding for hundreds of degrees of freedom.
 _Z975 = "1.959963984540054"
 _T975 = (
@@ -851,6 +895,7 @@ def _queries() -> dict[str, str]:
     q["levene_state"], q["levene_payment"] = _levene_sql("state"), _levene_sql("preferred_payment")
     q["kruskal_state"], q["kruskal_category"] = _kruskal_sql("state"), _kruskal_sql("favorite_category")
     q["tukey_stats_state"], q["tukey_stats_payment"] = _tukey_sql("state"), _tukey_sql("preferred_payment")
+    q["tukey_pairs_state"], q["tukey_pairs_payment"] = _tukey_pairs_sql("state"), _tukey_pairs_sql("preferred_payment")
     q["two_way_anova"] = _with(_two_way(), _TWO_WAY)
     q["contingency"] = _with("SELECT is_repeat, preferred_payment, observed, round(expected, 6) AS expected FROM ce", _CHI2)
     q["chi2_repeat_payment"] = _with(
@@ -863,6 +908,11 @@ def _queries() -> dict[str, str]:
         *_OLS,
     )
     coefficients = (*_OLS, _se(), _COEF)
+    q["ols_condition"] = _with(
+        "SELECT n, round(sqrt(g.top * h.top), 1) AS condition_number FROM mom, gram_top g, inv_top h",
+        *_OLS, _se(), _CONDITION, _dominant("gram"), _dominant("ginv"), "\ngram_top AS (SELECT top FROM gram_value)",
+        "\ninv_top AS (SELECT top FROM ginv_value)",
+    )
     q["ols_coefficients"] = _with(
         "SELECT term, round(b, 3) AS b, round(se, 3) AS std_error, round(t, 5) AS t, round(p, 5) AS p, round(lower, 2) AS lower, "
         f"round(upper, 2) AS upper, {_mark('p')} AS mark, round(beta, 5) AS beta FROM co",
