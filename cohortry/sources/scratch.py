@@ -9,15 +9,18 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The shared folder the cluster names. A local session that names none gets a temporary one of its own."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="cohortry-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    if folder or not spark.sparkContext.master.startswith("local"):
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="cohortry-")
+    return _own[app]
 
 
 def keep(df: DataFrame) -> DataFrame:
