@@ -35,6 +35,19 @@ def complete_rows(df: DataFrame, predictors: Sequence[str] = PREDICTORS, label:
     return df.dropna(subset=[*predictors, label])
 
 
+def row_usage(df: DataFrame, predictors: Sequence[str] = PREDICTORS, label: str = LABEL) -> DataFrame:
+    """How many rows a model uses: all, complete, dropped, and the complete ones by class with the share of class 1."""
+    complete = reduce(lambda both, c: both & c, [F.col(x).isNotNull() for x in [*predictors, label]])
+    return df.agg(
+        F.count(F.lit(1)).alias("all_rows"),
+        F.count_if(complete).alias("complete_rows"),
+        F.count_if(~complete).alias("dropped_rows"),
+        F.count_if(complete & (F.col(label) == 0)).alias("single_n"),
+        F.count_if(complete & (F.col(label) == 1)).alias("repeat_n"),
+        F.avg(F.when(complete, F.col(label))).alias("repeat_share"),
+    )
+
+
 @dataclass(frozen=True)
 class Scale:
     """Means and deviations of the predictors: two numbers each."""

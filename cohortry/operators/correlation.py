@@ -68,7 +68,7 @@ def feature_ranks(df: DataFrame, names: Sequence[str], nullable: Sequence[str],
     """Average ranks of the features, one row per key.
 
     ``<feature>~`` ranks all rows that know the feature; ``<feature>~<other>`` only those that also know the other,
-    nullable one. The features are stacked, so their distinct values are counted and put in order in one go: a value
+    nullable one, and is null for the rest. The features are stacked, so their distinct values are counted and put in order in one go: a value
     shared by most rows is a single row by then. Rows look their ranks up by value; next to a value as common as that
     the lookup side is one row, and adaptive execution broadcasts it or splits the hot partition.
     """
@@ -90,8 +90,8 @@ def feature_ranks(df: DataFrame, names: Sequence[str], nullable: Sequence[str],
         "feature", "value", *[average_rank(F.col(f"n~{o}_before"), F.col(f"n~{o}")).alias(f"rank~{o}") for o in scopes]
     )
     return (
-        stacked.select(key, "feature", "value")
-        .join(lookup, ["feature", "value"])
+        stacked.join(lookup, ["feature", "value"])
+        .select(key, "feature", *[F.when(F.col(f"in~{o}") == 1, F.col(f"rank~{o}")).alias(f"rank~{o}") for o in scopes])
         .groupBy(key)
         .agg(
             *[
@@ -114,10 +114,7 @@ def spearman_matrix(
     ranks = feature_ranks(df, names, nullable, key)
 
     def rho(a: str, b: str) -> Column:
-        known = F.col(f"{a}~").isNotNull() & F.col(f"{b}~").isNotNull()
-        return F.corr(
-            F.when(known, F.col(_rank_name(a, b, nullable))), F.when(known, F.col(_rank_name(b, a, nullable)))
-        ).alias(f"{a}|{b}")
+        return F.corr(_rank_name(a, b, nullable), _rank_name(b, a, nullable)).alias(f"{a}|{b}")
 
     return _square(ranks.agg(*[rho(a, b) for a, b in combinations(names, 2)]), names)
 

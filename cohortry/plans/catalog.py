@@ -188,6 +188,8 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     ),
     "logit_changes": lambda ws: rounded(classify.odds_changes(_odds(ws)), 5),
     "logit_fit": lambda ws: rounded(classify.logit_fit_table(_spark(ws), ws.logit), 5),
+    "logit_odds_arms": lambda ws: rounded(charts.coefficient_arms(_odds(ws), "odds_ratio"), 5, arm_high=3),
+    "model_rows": lambda ws: rounded(classify.row_usage(ws.features), 6),
     "holdout_split": lambda ws: splits.holdout(ws.features, label="is_repeat").select(KEY, "is_repeat", "is_test"),
     "plain_split": lambda ws: splits.holdout(ws.features).select(KEY, "is_test"),
     "stratified_folds": lambda ws: splits.stratified_folds(ws.features, "is_repeat").select(KEY, "is_repeat", "fold"),

@@ -1018,6 +1018,16 @@ lp AS MATERIALIZED (SELECT *, {normal_two_sided('b / se')} AS p FROM lo)""",
         "round(abs(exp(b) - 1) * 100, 5) AS change_pct FROM lp WHERE p < 0.05 AND term <> 'intercept'",
         *odds,
     )
+    q["logit_odds_arms"] = _with(
+        f"SELECT term, round(exp(b), 5) AS odds_ratio, round(exp(b) - exp(b - {_Z975} * se), 5) AS arm_low, "
+        f"round(exp(b + {_Z975} * se) - exp(b), 3) AS arm_high, {_mark('p')} AS mark FROM lp WHERE term <> 'intercept'",
+        *odds,
+    )
+    q["model_rows"] = _with(
+        "SELECT (SELECT count(*) FROM cf) AS all_rows, count(*) AS complete_rows, (SELECT count(*) FROM cf) - count(*) AS dropped_rows, "
+        "count(*) FILTER (y = 0) AS single_n, count(*) FILTER (y = 1) AS repeat_n, round(avg(y), 6) AS repeat_share FROM ld",
+        LOGIT_DATA,
+    )
     q["logit_fit"] = _with(
         f"""SELECT n, round(1 - ll / l0, 5) AS mcfadden_r2, round(ll, 5) AS log_likelihood, round(l0, 5) AS null_log_likelihood,
   round(2 * (ll - l0), 5) AS lr_chi2, round({chi2_tail('(2 * (ll - l0))', f'{_L}.0')}, 5) AS lr_p, round(-2 * ll + {2 * (_L + 1)}, 5) AS aic,
