@@ -28,6 +28,18 @@ def rounded(df: DataFrame, default: int | None = None, **places: int) -> DataFra
     return df.select(*out)
 
 
+HALF_STEP = 5e-10
+
+
+def settled(df: DataFrame, default: int, **places: int) -> DataFrame:
+    """Round columns kept on the feature grid, from half a grid step above, so that no grid value is a rounding tie."""
+    lifted = [(F.col(n) + HALF_STEP).alias(n) if kind == "double" else F.col(n) for n, kind in df.dtypes]
+    return rounded(df.select(*lifted), default, **places)
+
+
+MONEY = {"avg_order_value": 4, "total_spent": 4}
+
+
 def _spark(ws: Workspace) -> SparkSession:
     return ws.features.sparkSession
 
@@ -59,7 +71,7 @@ def _tukey(ws: Workspace, factor: str) -> DataFrame:
 
 
 def _box(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(charts.box_stats(anova.factor_rows(ws.features, factor), [factor], VALUE), 6)
+    return settled(charts.box_stats(anova.factor_rows(ws.features, factor), [factor], VALUE), 4)
 
 
 def _coefficients(ws: Workspace) -> DataFrame:
@@ -102,8 +114,8 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "order_review": lambda ws: rounded(features.order_review(ws.tables.order_reviews), 6),
     "order_payment": lambda ws: rounded(features.order_payment(ws.tables.order_payments), 6),
     "order_top_category": lambda ws: features.order_top_category(ws.tables),
-    "customer_features": lambda ws: rounded(ws.features, 6),
-    "feature_preview": lambda ws: rounded(summaries.preview(ws.features, KEY), 6),
+    "customer_features": lambda ws: settled(ws.features, 6, **MONEY),
+    "feature_preview": lambda ws: settled(summaries.preview(ws.features, KEY), 6, **MONEY),
     # summaries
     "repeat_share": lambda ws: rounded(summaries.repeat_share(ws.features), 6),
     "segment_compare": lambda ws: rounded(summaries.segment_compare(ws.features), 6),
@@ -219,13 +231,14 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "residual_hist": lambda ws: rounded(regression.residual_histogram(ws.residuals), 2),
     "qq_points": lambda ws: rounded(regression.qq_points(ws.residuals), 6, residual=2),
     "qq_fit": lambda ws: rounded(regression.qq_fit(regression.qq_points(ws.residuals)), 6, slope=3, intercept=3),
-    "scatter_sample": lambda ws: rounded(
+    "scatter_sample": lambda ws: settled(
         charts.sample_rows(
             ws.features,
             ["frequency", "avg_review_score", "avg_delay_days", "avg_freight_ratio", VALUE],
             KEY,
         ),
         6,
+        **MONEY,
     ),
     "residual_scatter": lambda ws: rounded(charts.sample_rows(ws.residuals, ["fitted", "residual"], KEY), 2),
 }

@@ -323,7 +323,7 @@ def _describe_sql(factor: str) -> str:
     )
 
 
-def _box(rows: str, names: str = "", places: int = 6) -> str:
+def _box(rows: str, names: str = "", places: int = 4, lift: str = "5e-10") -> str:
     key = "g" if names else "1"
     lead = f"a.g AS {names}, " if names else ""
     q = ", ".join(f"quantile_cont(y, {p}) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
@@ -331,9 +331,9 @@ def _box(rows: str, names: str = "", places: int = 6) -> str:
     on = "ON a.g = b.g" if names else "ON true"
     group = "GROUP BY a.g" if names else ""
     pick = "g, " if names else ""
-    return f"""SELECT {lead}count(*) AS n, round(max(q1), {places}) AS q1, round(max(median), {places}) AS median,
-  round(max(q3), {places}) AS q3, round(min(y) FILTER ({inside}), {places}) AS whisker_low,
-  round(max(y) FILTER ({inside}), {places}) AS whisker_high, count(*) FILTER (NOT ({inside})) AS outliers
+    return f"""SELECT {lead}count(*) AS n, round(max(q1) + {lift}, {places}) AS q1, round(max(median) + {lift}, {places}) AS median,
+  round(max(q3) + {lift}, {places}) AS q3, round(min(y) FILTER ({inside}) + {lift}, {places}) AS whisker_low,
+  round(max(y) FILTER ({inside}) + {lift}, {places}) AS whisker_high, count(*) FILTER (NOT ({inside})) AS outliers
 FROM (SELECT * FROM {rows} WHERE y IS NOT NULL) a
 JOIN (SELECT {pick}{q} FROM {rows} WHERE y IS NOT NULL {'GROUP BY ' + key if names else ''}) b {on} {group}"""
 
@@ -817,7 +817,7 @@ def _queries() -> dict[str, str]:
     )
     q["order_top_category"] = _with("SELECT * FROM o_category")
     doubles = ["avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_order_value", "total_spent", "avg_item_count"]
-    features = "SELECT * REPLACE (" + ", ".join(f"round({d}, 6) AS {d}" for d in doubles) + ") FROM cf"
+    features = "SELECT * REPLACE (" + ", ".join(f"round({d} + 5e-10, {4 if d in ('avg_order_value', 'total_spent') else 6}) AS {d}" for d in doubles) + ") FROM cf"
     q["customer_features"] = _with(features)
     q["feature_preview"] = _with(features + " ORDER BY customer_unique_id LIMIT 5")
     q["repeat_share"] = _with(
@@ -963,7 +963,7 @@ rz AS (SELECT CAST(n AS BIGINT) AS n, mean, sd, skew, kurtosis, ln(yy + sqrt(yy
         "GROUP BY bin, lo, wd",
         *_OLS,
     )
-    q["box_stats_residual"] = _with(_box("(SELECT e AS y FROM res)", "", 3), *_OLS)
+    q["box_stats_residual"] = _with(_box("(SELECT e AS y FROM res)", "", 3, "0"), *_OLS)
     q["qq_points"] = _with("SELECT i, round(residual, 2) AS residual, round(theoretical, 6) AS theoretical FROM qq", *_OLS, _QQ)
     q["qq_fit"] = _with(
         "SELECT round(regr_slope(residual, theoretical), 3) AS slope, round(regr_intercept(residual, theoretical), 3) AS intercept, "
@@ -976,8 +976,9 @@ rz AS (SELECT CAST(n AS BIGINT) AS n, mean, sd, skew, kurtosis, ln(yy + sqrt(yy
         *_OLS,
     )
     q["scatter_sample"] = _with(
-        "SELECT customer_unique_id, frequency, round(avg_review_score, 6) AS avg_review_score, round(avg_delay_days, 6) AS avg_delay_days, "
-        "round(avg_freight_ratio, 6) AS avg_freight_ratio, round(avg_order_value, 6) AS avg_order_value FROM cf "
+        "SELECT customer_unique_id, frequency, round(avg_review_score + 5e-10, 6) AS avg_review_score, "
+        "round(avg_delay_days + 5e-10, 6) AS avg_delay_days, round(avg_freight_ratio + 5e-10, 6) AS avg_freight_ratio, "
+        "round(avg_order_value + 5e-10, 4) AS avg_order_value FROM cf "
         f"ORDER BY {_HASH.format(key='customer_unique_id')}, customer_unique_id LIMIT 5000"
     )
     train, fitted = _ols("h0", "h")
