@@ -14,7 +14,8 @@ import duckdb
 import __spark_entry__ as contract
 from cohortry.session import local_session
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages", "benchmark",
+          "labels", "conversations"]
 
 
 def connect(base: str) -> duckdb.DuckDBPyConnection:

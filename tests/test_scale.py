@@ -127,20 +127,17 @@ class Named:
 def test_shared_folder_is_the_one_the_session_names(spark):
     assert scratch.shared_folder(Named(spark, "hdfs://shared/x", "yarn")) == "hdfs://shared/x"
     assert scratch.shared_folder(Named(spark, "hdfs://shared/x", "local[2]")) == "hdfs://shared/x"
-    assert scratch.shared_folder(Named(spark, None, "yarn")) is None  # never a local folder on a cluster
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):  # never a local folder on a cluster
+        scratch.shared_folder(Named(spark, None, "yarn"))
     own = scratch.shared_folder(Named(spark, None, "local[2]"))
     assert os.path.isdir(own) and scratch.shared_folder(Named(spark, None, "local[2]")) == own
 
 
-def test_kept_tables_are_files_or_persisted(spark, tmp_path, monkeypatch):
+def test_kept_tables_are_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
     kept = scratch.keep(spark.range(10))
     assert kept.count() == 10 and len(list(tmp_path.iterdir())) == 1
     assert all(str(tmp_path) in f for f in kept.inputFiles())
-    monkeypatch.setattr(scratch, "shared_folder", lambda _: None)
-    held = scratch.keep(spark.range(11))
-    assert held.is_cached and held.count() == 11
-    held.unpersist()
 
 
 def test_task_functions_need_no_package(tmp_path):
