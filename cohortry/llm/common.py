@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,12 @@ def with_arrow_column(
     return wide.mapInArrow(run, T.StructType([*df.schema.fields, field]))
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object whose class executors need not know. The result, called in a task, gives it back."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)
+
+
 def ship_by_value(module: str) -> None:
     """Task functions of the module travel with the job, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import free_name, ship_by_value, with_arrow_column, word_text
+from cohortry.llm.common import free_name, share, ship_by_value, with_arrow_column, word_text
 from cohortry.sources.scratch import keep
 
 ship_by_value(__name__)
@@ -179,6 +179,8 @@ def _overlap(grams: list[tuple[str, ...]], passage: list[str], seen: dict[int, s
 def leaks_of(shard: Shard, texts: list[list[str]]) -> list[list[tuple]]:
     """For each document (list of words) its verified items: (item_id, score, question overlap, answer overlap)."""
     out: list[dict] = [{} for _ in texts]
+    if not shard.item_ids:
+        return [[] for _ in texts]
     lengths = np.array([len(w) for w in texts], np.int64)
     lookup = shard.vocabulary.get
     ids = np.concatenate([np.empty(0, np.int64), *[np.fromiter(map(lookup, w, repeat(-1)), np.int64, len(w)) for w in texts]])
@@ -234,25 +236,27 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str, text_col: str = "te
             slots.filter(mine).select("slot", "item_id", "question", "answer").collect(), postings.filter(mine).collect(), stride, score
         )
         part = free_name([*columns, name, *parts], f"_leaks{i}")
-        docs = with_arrow_column(docs, [words], _finder(spark.sparkContext.broadcast(shard)), T.StructField(part, T.ArrayType(hit)))
+        docs = with_arrow_column(docs, [words], _finder(share(spark, shard)), T.StructField(part, T.ArrayType(hit)))
         parts.append(part)
     found = F.concat(*[F.col(f"`{p}`") for p in parts]) if parts else F.array().cast(T.ArrayType(hit))
     return docs.select(*[F.col(f"`{c}`") for c in columns], found.alias(name))
 
 
-def _finder(shared) -> Callable:
+def _finder(shared: Callable[[], Shard]) -> Callable:
     names = ["item_id", "score", "question_overlap", "answer_overlap"]
 
-    def compute(cols: list[pa.Array]) -> pa.Array:
-        rows = [hits for part in _chunks(cols[0].to_pylist()) for hits in leaks_of(shared.value, part)]
-        return pa.array([[dict(zip(names, h)) for h in hits] for hits in rows], pa.list_(pa.struct(kinds())))
+    def start():
+        shard = shared()
+        first = pa.string() if isinstance(next(iter(shard.item_ids), 0), str) else pa.int64()
+        kind = pa.list_(pa.struct(list(zip(names, [first, pa.int64(), pa.float64(), pa.float64()]))))
 
-    def kinds():
-        ids = shared.value.item_ids
-        first = pa.string() if ids and isinstance(ids[0], str) else pa.int64()
-        return list(zip(names, [first, pa.int64(), pa.float64(), pa.float64()]))
+        def compute(cols: list[pa.Array]) -> pa.Array:
+            rows = [hits for part in _chunks(cols[0].to_pylist()) for hits in leaks_of(shard, part)]
+            return pa.array([[dict(zip(names, h)) for h in hits] for hits in rows], kind)
 
-    return lambda: compute
+        return compute
+
+    return start
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortry.llm.common import ship_by_value
+from cohortry.llm.common import share, ship_by_value
 from cohortry.sources.scratch import keep
 
 ship_by_value(__name__)
@@ -85,7 +85,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _search(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        queries = shared()
         top = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in queries.ids]
         for whole in batches:
             for lo in range(0, whole.num_rows, CANDIDATE_ROWS):
@@ -129,7 +129,7 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     found = None
     for i in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()
-        part = usable.mapInArrow(_search(spark.sparkContext.broadcast(Queries(block)), k), "query_id long, vec_id long, score long")
+        part = usable.mapInArrow(_search(share(spark, Queries(block)), k), "query_id long, vec_id long, score long")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score long")

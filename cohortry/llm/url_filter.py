@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import free_name, ship_by_value, with_arrow_column
+from cohortry.llm.bloom import Bloom, bits_for, build, key_hash
+from cohortry.llm.common import share, ship_by_value, with_arrow_column
 from cohortry.sources.scratch import keep
 
 ship_by_value(__name__)
@@ -29,7 +29,6 @@ ship_by_value(__name__)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 UNLISTED = "allow"
 MOST_BITS = 1 << 30  # 128 MB; a list that needs more is refused
-WORD = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,77 +57,40 @@ def keys_of(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Co
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
-@dataclass
-class Level:
-    """One Bloom filter: its seed, bits and number of probes."""
-
-    seed: int
-    bits: int
-    probes: int
-    words: np.ndarray
-
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        h = hashes.view(np.uint64)
-        high, low, out = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), np.ones(len(h), bool)
-        for i in range(self.probes):
-            at = (high + np.uint64(i) * low) % np.uint64(self.bits)
-            out &= (self.words[at // np.uint64(WORD)] >> (at % np.uint64(WORD))) & np.uint64(1) == 1
-        return out
-
-
-def _hash(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+def _each_hash(keys: Column, seed: int) -> Column:
+    return F.transform(keys, lambda k: key_hash(k, seed))
 
 
-def _each_hash(keys: Column, seed: int) -> Column:
-    return F.transform(keys, lambda k: _hash(k, seed))
-
-
-def _build(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the column ``key``; bits are set by an aggregation, only words with a bit reach the driver."""
-    probes = max(1, round(-math.log2(rate)))
-    bits = max(WORD, -(-int(n * probes / math.log(2)) // WORD) * WORD)
-    if bits > MOST_BITS:
-        raise ValueError(f"a list of {n} keys needs {bits} bits, more than are broadcast; split the list")
-    h = _hash(F.col("key"), seed)
-    high, low = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF))
-    at = F.explode(F.array(*[(high + i * low) % bits for i in range(probes)]))
-    set_ = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / WORD).alias("word"))
-    # a long holds the 64 bits of a word; shifting does not overflow
-    rows = set_.agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")).collect()
-    words = np.zeros(bits // WORD, np.uint64)
-    for r in rows:
-        words[r["word"]] = np.int64(r["mask"]).view(np.uint64)
-    return Level(seed, bits, probes, words)
-
-
-def _passing(keys: DataFrame, level: Level) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(level)
+def _passing(keys: DataFrame, level: Bloom) -> DataFrame:
+    shared = share(keys.sparkSession, level)
 
     def start():
-        return lambda cols: pa.array(shared.value.passes(cols[0].to_numpy(zero_copy_only=False)))
+        here = shared()
+        return lambda cols: pa.array(here.passes(cols[0].to_numpy(zero_copy_only=False)))
 
-    return with_arrow_column(keys, [_hash(F.col("key"), level.seed)], start, T.StructField("_in", T.BooleanType())).filter("_in").drop("_in")
+    return with_arrow_column(keys, [key_hash(F.col("key"), level.seed)], start, T.StructField("_in", T.BooleanType())).filter("_in").drop("_in")
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, seed: int = 0, most: int = 100) -> list[Level]:
+def build_cascade(universe: DataFrame, listed: DataFrame, seed: int = 0, most: int = 100) -> list[Bloom]:
     """The levels that tell the keys ``listed`` from all others of ``universe`` (both: a column ``key``, distinct)."""
     inside = keep(universe.join(listed, "key", "left_semi"))
     outside = universe.join(listed, "key", "left_anti")
     n, others = inside.count(), outside.count()
-    levels: list[Level] = []
+    levels: list[Bloom] = []
     encoded, rest = inside, outside
     while n:
         if len(levels) == most:
             raise RuntimeError(f"the cascade did not end within {most} levels")
         rate = 0.5 if levels else min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, others)))
-        levels.append(_build(encoded, n, rate, seed + len(levels)))
+        if bits_for(n, rate) > MOST_BITS:
+            raise ValueError(f"a list of {n} keys needs more than {MOST_BITS} bits; split the list")
+        levels.append(build(encoded, n, rate, seed + len(levels), MOST_BITS))
         encoded, rest = keep(_passing(rest, levels[-1])), encoded
         n = encoded.count()
     return levels
 
 
-def is_listed(levels: list[Level], hashes: list[np.ndarray]) -> np.ndarray:
+def is_listed(levels: list[Bloom], hashes: list[np.ndarray]) -> np.ndarray:
     """Exact membership of keys of the universe, from their hashes for each level."""
     size = len(hashes[0]) if hashes else 0
     side, open_ = np.zeros(size, bool), np.ones(size, bool)
@@ -140,17 +102,19 @@ def is_listed(levels: list[Level], hashes: list[np.ndarray]) -> np.ndarray:
     return side
 
 
-def with_membership(df: DataFrame, keys: str, levels: list[Level], name: str) -> DataFrame:
+def with_membership(df: DataFrame, keys: str, levels: list[Bloom], name: str) -> DataFrame:
     """Append the array of those of the array column ``keys`` that are listed."""
     if not levels:
         return df.withColumn(name, F.array().cast("array<string>"))
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    shared = share(df.sparkSession, levels)
     hashed = [_each_hash(F.col(keys), level.seed) for level in levels]
 
     def start():
+        here = shared()
+
         def compute(cols: list[pa.Array]) -> pa.Array:
             flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.int64) for c in cols[1:]]
-            listed = is_listed(shared.value, flat)
+            listed = is_listed(here, flat)
             ends = cols[0].offsets.to_numpy()
             ends = ends - ends[0]
             chosen = cols[0].flatten().filter(pa.array(listed))
