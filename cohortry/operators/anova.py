@@ -97,14 +97,20 @@ def levene(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFra
     )
 
 
+MOST_LEVELS = 1000
+MOST_CELLS = 10_000
+
+
 def tukey(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFrame:
     """All pairs of groups by Tukey-Kramer: mean difference, error, q, adjusted p, interval, rejection.
 
-    Pairs are made of group moments (one row per group), never of data rows.
+    Pairs are made of group moments (one row per group), never of data rows. A factor with more than ``MOST_LEVELS`` levels
+    is refused with an error when the table is computed: its pairs would be no report.
     """
     pooled = Window.partitionBy()  # one row per group
+    too_many = F.raise_error(F.lit(f"{group} has more than {MOST_LEVELS} levels: too many for pairwise tests"))
     groups = _group_moments(df, group, value).select(
-        F.col(group).alias("level"),
+        F.when(F.count(F.lit(1)).over(pooled) > MOST_LEVELS, too_many).otherwise(F.col(group)).alias("level"),
         "n",
         "mean",
         F.count(F.lit(1)).over(pooled).alias("k"),
@@ -144,14 +150,21 @@ def tukey(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFram
     )
 
 
-def tukey_if_significant(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFrame:
+def tukey_if_significant(df: DataFrame, group: str, value: str = "avg_order_value", alpha: float = ALPHA) -> DataFrame:
     """The pairs, only when the one-way analysis is significant; no rows otherwise."""
-    gate = one_way(df, group, value).filter("significant").select(F.lit(1).alias("gate"))
+    gate = one_way(df, group, value).filter(F.col("p") < alpha).select(F.lit(1).alias("gate"))
     return tukey(df, group, value).withColumn("gate", F.lit(1)).join(F.broadcast(gate), "gate", "left_semi").drop("gate")
 
 
-def rejected_pairs(pairs: DataFrame, rows: int = 10) -> DataFrame:
-    return pairs.filter("reject").orderBy("group1", "group2").limit(rows)
+def rejected_pairs(pairs: DataFrame, rows: int = 10, alpha: float = ALPHA) -> DataFrame:
+    """The first rejected pairs, each with the number of all that are rejected and of all pairs.
+
+    The pairs are those of at most ``MOST_LEVELS`` levels, so counting them beside the rows is no large window.
+    """
+    all_pairs = Window.partitionBy()
+    low = F.col("p_adj") < alpha
+    counted = pairs.select("*", F.count_if(low).over(all_pairs).alias("rejected"), F.count(F.lit(1)).over(all_pairs).alias("pairs"))
+    return counted.filter(low).orderBy("group1", "group2").limit(rows)
 
 
 # The function for the cell table goes to its task by value, see the tails.
@@ -195,7 +208,8 @@ def _two_way_table(cells: pd.DataFrame) -> pd.DataFrame:
 def two_way(df: DataFrame, a: str, b: str, value: str = "avg_order_value") -> DataFrame:
     """Two-way analysis with interaction, Type II, from one row per cell.
 
-    The rows fold into cells in one aggregation; the small least squares over the cells runs in one task.
+    The rows fold into cells in one aggregation; the small least squares over the cells runs in one task. More than
+    ``MOST_CELLS`` cells are refused with an error when the table is computed.
     """
     cells = (
         df.dropna(subset=[a, b, value])
@@ -206,6 +220,9 @@ def two_way(df: DataFrame, a: str, b: str, value: str = "avg_order_value") -> Da
             (F.var_pop(value) * F.count(value)).alias("within"),
         )
     )
+    found = F.count(F.lit(1)).over(Window.partitionBy())  # one row per cell
+    refuse = F.raise_error(F.lit(f"{a} and {b} have more than {MOST_CELLS} cells: too many for a two-way table"))
+    cells = cells.withColumn("n", F.when(found > MOST_CELLS, refuse).otherwise(F.col("n")))
     names = F.create_map(F.lit("a"), F.lit(a), F.lit("b"), F.lit(b), F.lit("a:b"), F.lit(f"{a}:{b}"))
     return (
         cells.withColumn("table", F.lit(0))

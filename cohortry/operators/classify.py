@@ -29,6 +29,7 @@ PREDICTORS = [
 ]
 THRESHOLD = 0.5
 INVERSE_PENALTY = 1.0  # the classifier's C
+SINGULAR = 1e14  # condition number from which a system counts as singular
 
 
 def complete_rows(df: DataFrame, predictors: Sequence[str] = PREDICTORS, label: str = LABEL) -> DataFrame:
@@ -95,6 +96,10 @@ def _newton_sums(rows: DataFrame, names: Sequence[str], beta: Sequence[Column])
     return staged.groupBy("model").agg(*[F.expr(e) for e in sums])
 
 
+class NotConverged(RuntimeError):
+    """A likelihood has no maximum that the steps could reach."""
+
+
 def newton_fits(
     rows: DataFrame,
     z: Sequence[Column],
@@ -112,7 +117,8 @@ def newton_fits(
     array with the row's weight in each model. Every step is one
     aggregation grouped by model, so all models share its pass over the data, and only (k + 1)(k + 4) / 2 + 1 sums per
     model reach the driver. The intercept is not penalised. Returns coefficients (intercept first), information matrix
-    and log-likelihood per model. A step that lowers the likelihood is halved.
+    and log-likelihood per model. A step that lowers the likelihood is halved. A fit that has not settled after ``steps``
+    steps, or whose classes a predictor separates, raises ``NotConverged``.
     """
     k = len(z)
     names = [f"z{i}" for i in range(k)]
@@ -125,7 +131,17 @@ def newton_fits(
     per_model = data.select(F.explode("models").alias("model"), "y", "w", *names).withColumn(
         "w", F.element_at("w", F.col("model") + 1)
     )
-    ridge = np.diag([0.0] + [penalty] * k)
+    try:
+        return _climb(per_model, names, models, np.diag([0.0] + [penalty] * k), steps, tol)
+    finally:
+        data.unpersist()
+
+
+def _climb(
+    per_model: DataFrame, names: Sequence[str], models: int, ridge: np.ndarray, steps: int, tol: float
+) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Newton steps of all models until none moves."""
+    k = len(names)
     beta = np.zeros((models, k + 1))
     before, best = beta.copy(), np.full(models, -np.inf)
     information = np.zeros((models, k + 1, k + 1))
@@ -145,13 +161,14 @@ def newton_fits(
                     information[m, i, j] = information[m, j, i] = row[f"h{i}_{j}"]
             gradient = np.array([row[f"g{i}"] for i in range(k + 1)]) - ridge @ beta[m]
             likelihood[m], best[m], before[m] = row["ll"], objective, beta[m].copy()
+            if not np.linalg.cond(information[m] + ridge) < SINGULAR:
+                raise NotConverged(f"model {m}: singular information; predictors separate the classes or repeat each other")
             step = np.linalg.solve(information[m] + ridge, gradient)
             beta[m] = beta[m] + step
             moved = max(moved, float(np.abs(step).max()))
         if moved < tol:
-            break
-    data.unpersist()
-    return [(beta[m], information[m], float(likelihood[m])) for m in range(models)]
+            return [(beta[m], information[m], float(likelihood[m])) for m in range(models)]
+    raise NotConverged(f"no maximum within {steps} steps; predictors may separate the classes")
 
 
 # --- inference -------------------------------------------------------------------------------------------------
@@ -204,10 +221,10 @@ def odds_table(spark: SparkSession, fit: LogitFit) -> DataFrame:
     )
 
 
-def odds_changes(odds: DataFrame) -> DataFrame:
-    """Terms other than the intercept with p < 0.05: direction and percent change of the odds per unit."""
+def odds_changes(odds: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Terms other than the intercept with p < alpha: direction and percent change of the odds per unit."""
     up = F.col("odds_ratio") > 1
-    return odds.filter((F.col("p") < ALPHA) & (F.col("term") != INTERCEPT)).select(
+    return odds.filter((F.col("p") < alpha) & (F.col("term") != INTERCEPT)).select(
         "term",
         "odds_ratio",
         F.when(up, "increase").otherwise("decrease").alias("direction"),
@@ -216,17 +233,20 @@ def odds_changes(odds: DataFrame) -> DataFrame:
 
 
 def logit_fit_table(spark: SparkSession, fit: LogitFit) -> DataFrame:
-    """McFadden's R squared, likelihoods, likelihood-ratio test and information criteria."""
+    """McFadden's R squared, likelihoods, likelihood-ratio test and information criteria.
+
+    ``converged`` is always true: a fit that did not settle raises ``NotConverged`` instead.
+    """
     ll, null, k = fit.log_likelihood, fit.null_log_likelihood, len(fit.predictors)
     ratio = -2 * (null - ll)
     row = (
         fit.n, 1 - ll / null, ll, null, ratio, tails.chi2_tail(ratio, k), -2 * ll + 2 * (k + 1),
-        -2 * ll + math.log(fit.n) * (k + 1),
+        -2 * ll + math.log(fit.n) * (k + 1), True,
     )
     return spark.createDataFrame(
         [row],
         "n bigint, mcfadden_r2 double, log_likelihood double, null_log_likelihood double, lr_chi2 double, lr_p double, "
-        "aic double, bic double",
+        "aic double, bic double, converged boolean",
     )
 
 

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortry.session import shuffle_width
+from cohortry.session import range_count
 
 
 def numeric_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    """Range limits for numeric columns, one pass for all of them. At most one limit per shuffle partition each."""
-    width = shuffle_width(df.sparkSession)
+    """Range limits for numeric columns, one pass for all of them."""
+    width = range_count(df.sparkSession, df.count())
     steps = [i / width for i in range(1, width)]
     found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(
         list(columns), steps, 1.0 / (4 * width)
@@ -31,11 +31,11 @@ def numeric_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[floa
 def key_limits(df: DataFrame, column: str) -> list:
     """Range limits for a unique key of any orderable type: the keys of an evenly hashed thin slice.
 
-    The slice holds about one key per shuffle partition whatever the table's size. It only places the limits; every
-    row is still processed.
+    The slice holds about one key per range whatever the table's size. It only places the limits; every row is still
+    processed.
     """
-    width = shuffle_width(df.sparkSession)
     rows = df.count()
+    width = range_count(df.sparkSession, rows)
     every = max(1, rows // width)
     slice_ = df.select(column).filter(F.pmod(F.xxhash64(column), F.lit(every)) == 0).distinct()
     return sorted(r[0] for r in slice_.collect())
@@ -48,11 +48,22 @@ def _limit_array(limits: Sequence) -> Column:
     return F.array(*[F.lit(x) for x in limits])
 
 
+def _halvings(limits: int) -> list[int]:
+    """The strides of a binary search among so many limits."""
+    return [1 << i for i in reversed(range(limits.bit_length()))]
+
+
+def _limits_below(limits: Column, most: int, value: Column) -> Column:
+    """How many of the ascending limits are below a value, by halving. None for null."""
+    strides = F.array(*[F.lit(s) for s in _halvings(most)])
+    return F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get(limits, at + s - 1) < value, at + s).otherwise(at))
+
+
 def range_of(value: Column, limits: Sequence) -> Column:
     """Index of the range a value falls in. Equal values always share a range."""
     if not limits:
         return F.lit(0)
-    return F.size(F.filter(_limit_array(limits), lambda limit: limit < value))
+    return _limits_below(_limit_array(limits), len(limits), value)
 
 
 def stack(df: DataFrame, names: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
@@ -65,8 +76,11 @@ def stack(df: DataFrame, names: Sequence[str], keep: Sequence[str | Column] = ()
 
 def stacked_range(limits: dict[str, list[float]], names: Sequence[str]) -> Column:
     """Range index of stacked values, by the limits of their own feature."""
+    most = max((len(limits[n]) for n in names), default=0)
+    if not most:
+        return F.lit(0)
     table = F.array(*[_limit_array(limits[n]) for n in names])
-    return F.size(F.filter(F.element_at(table, F.col("feature") + 1), lambda limit: limit < F.col("value")))
+    return _limits_below(F.element_at(table, F.col("feature") + 1), most, F.col("value"))
 
 
 def running_totals(

@@ -126,16 +126,17 @@ def product_ratings(
 
     The mean weighs every review by the item lines of its order, as a join of items to reviews would. Both sides are
     folded to one row per order before they meet, so nothing fans out and no distinct count is needed. ``categories``
-    is a top-k table, so it is small enough to broadcast. All orders count unless ``delivered_only``.
+    is a top-k table, so it is small enough to broadcast. Lines are counted before products are joined: no step after the
+    join needs a product's orders together until they are folded again, so adaptive execution can split a product that
+    holds much of the items. All orders count unless ``delivered_only``.
     """
     chosen = t.translation.withColumnRenamed("product_category_name_english", "category").join(
         F.broadcast(categories.select("category")), "category", "left_semi"
     )
     lines = (
-        t.order_items.select("order_id", "product_id")
-        .join(t.products.join(chosen, "product_category_name").select("product_id", "category"), "product_id")
-        .groupBy("category", "product_id", "order_id")
+        t.order_items.groupBy("product_id", "order_id")
         .agg(F.count(F.lit(1)).alias("lines"))
+        .join(t.products.join(chosen, "product_category_name").select("product_id", "category"), "product_id")
     )
     if delivered_only:
         lines = lines.join(delivered(t.orders).select("order_id"), "order_id", "left_semi")

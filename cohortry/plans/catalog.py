@@ -16,6 +16,10 @@ from cohortry.plans.workspace import Workspace, star_workspace
 
 VALUE = "avg_order_value"
 FIXTURE_MIN_RATING = 3.3
+FIXTURE_ALPHA = 0.9  # on random test data no term is significant at 0.05
+FIXTURE_GATE = 1.0  # opens the gate whatever the test data
+FIXTURE_PAIRS = 3  # fewer than are rejected at the test data's level
+FIXTURE_SAMPLE = 50  # below the number of rows of the smallest test data
 KEY = "customer_unique_id"
 
 
@@ -64,10 +68,16 @@ def _levene(ws: Workspace, factor: str) -> DataFrame:
     return rounded(anova.levene(anova.factor_rows(ws.features, factor), factor), 6)
 
 
+def _factor(ws: Workspace, factor: str) -> DataFrame:
+    return anova.factor_rows(ws.features, factor)
+
+
+def _tukey_rounded(pairs: DataFrame) -> DataFrame:
+    return rounded(pairs, mean_diff=3, std_error=3, q=6, p_adj=5, lower=1, upper=1)
+
+
 def _tukey(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(
-        anova.tukey(anova.factor_rows(ws.features, factor), factor), mean_diff=3, std_error=3, q=6, p_adj=5, lower=1, upper=1
-    )
+    return _tukey_rounded(anova.tukey(_factor(ws, factor), factor))
 
 
 def _box(ws: Workspace, factor: str) -> DataFrame:
@@ -163,6 +173,11 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "tukey_stats_payment": lambda ws: _tukey(ws, "preferred_payment").drop("lower", "upper"),
     "tukey_pairs_state": lambda ws: _tukey(ws, "state"),
     "tukey_pairs_payment": lambda ws: _tukey(ws, "preferred_payment"),
+    "tukey_gated_state": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "state"), "state", alpha=FIXTURE_GATE)),
+    "tukey_gated_payment": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "preferred_payment"), "preferred_payment", alpha=0.0)),
+    "tukey_rejected_state": lambda ws: _tukey_rounded(
+        anova.rejected_pairs(anova.tukey(_factor(ws, "state"), "state"), FIXTURE_PAIRS, FIXTURE_ALPHA)
+    ),
     "two_way_anova": lambda ws: rounded(
         anova.two_way(ws.features, "is_repeat", "preferred_payment"), 6, sum_sq=-3
     ),
@@ -198,7 +213,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "logit_odds": lambda ws: rounded(
         _odds(ws), 6, wald=5, odds_ratio=5, lower=5, upper=3
     ),
-    "logit_changes": lambda ws: rounded(classify.odds_changes(_odds(ws)), 5),
+    "logit_changes": lambda ws: rounded(classify.odds_changes(_odds(ws), FIXTURE_ALPHA), 5),
     "logit_fit": lambda ws: rounded(classify.logit_fit_table(_spark(ws), ws.logit), 5),
     "logit_odds_arms": lambda ws: rounded(charts.coefficient_arms(_odds(ws), "odds_ratio"), 5, arm_high=3),
     "model_rows": lambda ws: rounded(classify.row_usage(ws.features), 6),
@@ -216,8 +231,8 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "pr_auc": lambda ws: rounded(classify.pr_auc(_curve(ws)), 6),
     "roc_curve_tied": lambda ws: rounded(classify.roc_curve(_column_curve(ws)), 6),
     "pr_auc_tied": lambda ws: rounded(classify.pr_auc(_column_curve(ws)), 6),
-    "fold_auc": lambda ws: rounded(classify.fold_auc(ws.features), 6),
-    "cv_auc": lambda ws: rounded(classify.cv_auc(classify.fold_auc(ws.features)), 6),
+    "fold_auc": lambda ws: rounded(ws.fold_auc, 6),
+    "cv_auc": lambda ws: rounded(classify.cv_auc(ws.fold_auc), 6),
     # decision tree
     "tree_rules": lambda ws: rounded(tree.rule_table(_spark(ws), ws.tree), 6),
     "tree_importance": lambda ws: rounded(tree.importance_table(_spark(ws), ws.tree), 6),
@@ -236,11 +251,12 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
             ws.features,
             ["frequency", "avg_review_score", "avg_delay_days", "avg_freight_ratio", VALUE],
             KEY,
+            FIXTURE_SAMPLE,
         ),
         6,
         **MONEY,
     ),
-    "residual_scatter": lambda ws: rounded(charts.sample_rows(ws.residuals, ["fitted", "residual"], KEY), 2),
+    "residual_scatter": lambda ws: rounded(charts.sample_rows(ws.residuals, ["fitted", "residual"], KEY, FIXTURE_SAMPLE), 2),
 }
 
 

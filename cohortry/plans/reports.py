@@ -109,7 +109,7 @@ def logistic_report(ws: Workspace) -> dict[str, DataFrame]:
         "class_weights": classify.class_weights(ws.class_split.filter("is_test = 0")),
         "confusion": confused,
         "class_report": classify.class_report(confused),
-        "cross_validation": classify.cv_auc(classify.fold_auc(ws.features)),
+        "cross_validation": classify.cv_auc(ws.fold_auc),
         "roc_curve": classify.roc_curve(counts),
         "roc_auc": classify.roc_auc(counts),
         "best_threshold": classify.youden(counts),

@@ -59,6 +59,11 @@ class Workspace:
         model = classify.fit_classifier(self.class_split.filter("is_test = 0"), scale)
         return classify.score_rows(self.class_split.filter("is_test = 1"), model)
 
+    @cached_property
+    def fold_auc(self) -> DataFrame:
+        """One row per fold."""
+        return keep(classify.fold_auc(self.features))
+
     @cached_property
     def tree_split(self) -> DataFrame:
         return keep(splits.holdout(self.features, label=classify.LABEL))
@@ -71,8 +76,14 @@ class Workspace:
 _open: dict[tuple[str, str], Workspace] = {}
 
 
+def forget(base: str | None = None) -> None:
+    """Forget what was derived from a folder (or from any), after its files were rewritten."""
+    for key in [k for k in _open if base in (None, k[1])]:
+        del _open[key]
+
+
 def star_workspace(spark: SparkSession, base: str) -> Workspace:
-    """The workspace of a star-schema folder, one per running application and folder."""
+    """The workspace of a star-schema folder, one per running application and folder, until it is forgotten."""
     key = (spark.sparkContext.applicationId, base)
     if key not in _open:
         _open[key] = Workspace(star_tables(spark, base))

@@ -26,13 +26,19 @@ def local_session(cores: int | None = None, app: str = "cohortry") -> SparkSessi
     )
 
 
-MOST_RANGES = 1024
+RANGES_PER_TASK = 3
+ROWS_PER_RANGE = 1_000_000
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """How many ranges the ordered operators cut their data into: the session's shuffle width, within reason.
+    """The session's shuffle width, two at least."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Every row is compared with the range limits, so their number stays moderate; a range may be large, since it is
-    only ever sorted, and sorting spills.
+
+def range_count(spark: SparkSession, rows: int) -> int:
+    """How many ranges the ordered operators cut so many rows into.
+
+    Several for each shuffle task, since ranges are hashed over the tasks, and more where a range would grow beyond what a
+    task sorts well. A row finds its range by halving, so their number costs little.
     """
-    return min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(RANGES_PER_TASK * shuffle_width(spark), -(-rows // ROWS_PER_RANGE))

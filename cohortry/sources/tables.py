@@ -53,13 +53,16 @@ def declared(name: str) -> T.StructType:
 FREE_TEXT = {"order_reviews"}
 
 
-def read_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, name: str, multi_line: bool | None = None) -> DataFrame:
     """Scan one CSV with a header row.
 
+    ``multi_line`` says whether values hold line breaks; such files are not split, so a large one is one task. By default
+    only reviews are read so. Files whose texts have no line breaks are read in parallel with ``False``.
+
     Columns are matched by header name, so files may hold more columns than are declared and in any order. Values
     that do not parse become null, as the analyses expect of broken dates. A byte-order mark is dropped by the scan.
     """
-    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=name in FREE_TEXT).csv(path)
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=name in FREE_TEXT if multi_line is None else multi_line).csv(path)
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in declared(name)])
 
 

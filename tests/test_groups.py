@@ -74,7 +74,20 @@ def test_tukey_gate(spark):
     apart = spark.createDataFrame([(g, float(v) + 50 * i) for i, g in enumerate("abc") for v in (1, 2, 3)], "g string, y double")
     assert anova.tukey_if_significant(same, "g", "y").count() == 0
     gated = anova.tukey_if_significant(apart, "g", "y")
-    assert gated.count() == 3 and anova.rejected_pairs(gated, 2).count() == 2
+    rejected = anova.rejected_pairs(gated, 2).collect()
+    assert gated.count() == 3 and [(r["rejected"], r["pairs"]) for r in rejected] == [(3, 3)] * 2
+    assert anova.rejected_pairs(anova.tukey(same, "g", "y")).count() == 0
+
+
+def test_factors_with_too_many_levels_are_refused(spark, monkeypatch):
+    df = spark.range(60).selectExpr("cast(id % 12 as string) g", "cast(id % 5 as string) h", "cast(id as double) y")
+    assert anova.tukey(df, "g", "y").count() == 66 and anova.two_way(df, "g", "h", "y").count() == 4
+    monkeypatch.setattr(anova, "MOST_LEVELS", 11)
+    with pytest.raises(Exception, match="more than 11 levels"):
+        anova.tukey(df, "g", "y").collect()
+    monkeypatch.setattr(anova, "MOST_CELLS", 59)
+    with pytest.raises(Exception, match="more than 59 cells"):
+        anova.two_way(df, "g", "h", "y").collect()
 
 
 def residual_ss(design, y):

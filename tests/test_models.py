@@ -220,3 +220,13 @@ def test_tree_of_one_class(spark):
     grown = tree.grow_tree(df, ["x"], "label", min_split=2, min_leaf=1)
     assert list(grown.nodes) == [1] and grown.importances() == [0.0]
     assert tree.predict_tree(df, grown).agg(F.min("predicted")).first()[0] == 1
+
+
+def test_separated_classes_are_reported(spark):
+    """A predictor that separates the classes has no finite estimate: the fit says so instead of stopping anywhere."""
+    df = spark.createDataFrame([(float(i), int(i >= 20)) for i in range(40)], "x double, y int")
+    with pytest.raises(classify.NotConverged, match="separate"):
+        classify.fit_logit(df, ["x"], "y")
+    twice = df.select("x", (F.col("x") * 2).alias("x2"), (F.col("x").cast("int") % 3 == 0).cast("int").alias("y"))
+    with pytest.raises(classify.NotConverged):
+        classify.fit_logit(twice, ["x", "x2"], "y")

@@ -1,5 +1,7 @@
 """Order statistics against direct computation, whatever the partitioning."""
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,3 +99,23 @@ def test_folds(spark, n, share):
     df = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "k long, y int").repartition(5)
     got = {r["k"]: r["fold"] for r in splits.stratified_folds(df, "y", "k").collect()}
     assert [got[i] for i in range(n)] == _deal(labels)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 1000])
+def test_ranges_by_halving(spark, n):
+    limits = sorted({float(x) for x in np.random.default_rng(n).normal(size=n).round(3)})
+    values = [-9.0, 9.0, 0.0, *limits[:50], *np.random.default_rng(1).normal(size=50)]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for r in df.select("v", ranks.range_of(F.col("v"), limits).alias("at")).collect():
+        assert r["at"] == (0 if r["v"] is None else bisect.bisect_left(limits, r["v"]))
+    assert len(ranks._halvings(len(limits))) <= 10  # comparisons for up to a thousand limits
+    keys = sorted({f"k{int(x * 1000):05d}" for x in np.random.default_rng(2).random(n)})
+    texts = spark.createDataFrame([(k,) for k in [*keys[:40], "a", "z", "k00500x"]], "k string")
+    for r in texts.select("k", ranks.range_of(F.col("k"), keys).alias("at")).collect():
+        assert r["at"] == bisect.bisect_left(keys, r["k"])
+
+
+def test_stacked_ranges(spark):
+    limits = {"a": [1.0, 2.0, 3.0], "b": [], "c": [0.0]}
+    df = spark.createDataFrame([(0, 2.0), (0, 2.5), (0, 9.0), (1, 5.0), (2, 0.0), (2, 0.1)], "feature int, value double")
+    assert [r[0] for r in df.select(ranks.stacked_range(limits, ["a", "b", "c"])).collect()] == [1, 2, 3, 0, 0, 1]
