@@ -4,10 +4,14 @@ Each level is one aggregation: the training rows are counted per (node, feature,
 are accumulated in value order by range, every gap between neighbouring values is judged, and the best gap of each
 node comes back to the driver, one row per node of the level. Rows find their node through plain comparisons with the
 splits chosen so far, so nothing is rewritten between levels.
+
+Rows with missing predictors are trained on and predicted like any others. At each gap they are tried on either side, and apart from all
+known values; the better place is the split's. Where a node has no missing values of its feature, later ones go to the larger side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -30,7 +34,8 @@ class Node:
     number: int
     counts: tuple[int, int]
     feature: int | None = None
-    threshold: float | None = None
+    threshold: float | None = None  # infinite: all known values go left
+    missing_left: bool = False
 
     @property
     def depth(self) -> int:
@@ -56,7 +61,8 @@ class Tree:
         node = self.nodes[number]
         if node.feature is None:
             return F.lit(number)
-        goes_left = F.col(self.predictors[node.feature]) <= F.lit(node.threshold)
+        value = F.col(self.predictors[node.feature])
+        goes_left = F.coalesce(value <= F.lit(node.threshold), F.lit(node.missing_left))
         return F.when(goes_left, self.node_of(2 * number)).otherwise(self.node_of(2 * number + 1))
 
     def prediction(self) -> Column:
@@ -73,17 +79,33 @@ class Tree:
         return [g / total if total else 0.0 for g in gains]
 
 
-def _best_splits(totals: DataFrame, weights: tuple[float, float], min_leaf: int) -> DataFrame:
-    """The best gap of each node: largest weighted purity of both sides; then the first feature, the lowest value."""
-    left0, left1 = F.col("n0_before") + F.col("n0"), F.col("n1_before") + F.col("n1")
-    sides = totals.select(
-        "node", "feature", "value", "value_next",
-        left0.alias("left0"), left1.alias("left1"),
-        (F.col("n0_all") - left0).alias("right0"), (F.col("n1_all") - left1).alias("right1"),
-    ).filter(
-        F.col("value_next").isNotNull()
-        & (F.col("left0") + F.col("left1") >= min_leaf)
-        & (F.col("right0") + F.col("right1") >= min_leaf)
+def _best_splits(totals: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """The best split of each node: largest weighted purity of both sides; then the first feature, the lowest value, and missing
+    values on the right before the left. ``sizes`` are the nodes' counts by class, known and missing values together."""
+    of_node = [F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c[i])])[F.col("node")] for i in (0, 1)]
+    known = [F.col(f"n{i}_all") for i in (0, 1)]
+    below = [F.col(f"n{i}_before") + F.col(f"n{i}") for i in (0, 1)]
+    missing = [t - k for t, k in zip(of_node, known)]
+    some = missing[0] + missing[1] > 0
+    gap = F.col("value_next").isNotNull()
+    middle = F.col("value") / 2 + F.col("value_next") / 2
+    larger_left = 2 * (below[0] + below[1]) > of_node[0] + of_node[1]
+
+    def split(option: int, cut: Column, left: list[Column], missing_left: Column) -> Column:
+        return F.struct(
+            F.lit(option).alias("option"), cut.alias("cut"), left[0].alias("left0"), left[1].alias("left1"),
+            (of_node[0] - left[0]).alias("right0"), (of_node[1] - left[1]).alias("right1"), missing_left.alias("missing_left"),
+        )
+
+    options = F.array_compact(
+        F.array(
+            F.when(gap, split(0, middle, below, F.when(some, F.lit(False)).otherwise(larger_left))),
+            F.when(gap & some, split(1, middle, [b + m for b, m in zip(below, missing)], F.lit(True))),
+            F.when(~gap & some, split(2, F.lit(float("inf")), known, F.lit(False))),
+        )
+    )
+    sides = totals.select("node", "feature", "value", F.inline(options)).filter(
+        (F.col("left0") + F.col("left1") >= min_leaf) & (F.col("right0") + F.col("right1") >= min_leaf)
     )
 
     def purity(side: str) -> Column:
@@ -91,8 +113,8 @@ def _best_splits(totals: DataFrame, weights: tuple[float, float], min_leaf: int)
         return (w0 * w0 + w1 * w1) / (w0 + w1)
 
     best = F.max_by(
-        F.struct("feature", "value", "value_next", "left0", "left1", "right0", "right1"),
-        F.struct(purity("left") + purity("right"), -F.col("feature"), -F.col("value")),
+        F.struct("feature", "cut", "missing_left", "left0", "left1", "right0", "right1"),
+        F.struct(purity("left") + purity("right"), -F.col("feature"), -F.col("value"), -F.col("option")),
     )
     return sides.groupBy("node").agg(best.alias("best")).select("node", "best.*")
 
@@ -105,8 +127,8 @@ def grow_tree(
     min_split: int = MIN_SPLIT,
     min_leaf: int = MIN_LEAF,
 ) -> Tree:
-    """Grow a tree with balanced class weights on the complete training rows (gini criterion)."""
-    rows = train.dropna(subset=[*predictors, label])
+    """Grow a tree with balanced class weights on the training rows with a label (gini criterion)."""
+    rows = train.dropna(subset=[label])
     limits = numeric_limits(rows, predictors)
     sizes = rows.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
     n0, n1 = sizes["n0"], sizes["n1"]
@@ -127,9 +149,10 @@ def grow_tree(
         totals = running_totals(
             counts, ["node", "feature"], "value", ["n0", "n1"], stacked_range(limits, predictors), following=True
         )
-        for best in _best_splits(totals, tree.weights, min_leaf).collect():
+        sizes = {n: tree.nodes[n].counts for n in open_nodes}
+        for best in _best_splits(totals, tree.weights, min_leaf, sizes).collect():
             node = tree.nodes[best["node"]]
-            node.feature, node.threshold = best["feature"], best["value"] / 2 + best["value_next"] / 2
+            node.feature, node.threshold, node.missing_left = best["feature"], best["cut"], best["missing_left"]
             left, right = 2 * node.number, 2 * node.number + 1
             tree.nodes[left] = Node(left, (best["left0"], best["left1"]))
             tree.nodes[right] = Node(right, (best["right0"], best["right1"]))
@@ -137,8 +160,8 @@ def grow_tree(
 
 
 def predict_tree(rows: DataFrame, tree: Tree) -> DataFrame:
-    """Complete rows with the predicted class ``predicted``."""
-    return rows.dropna(subset=list(tree.predictors)).withColumn("predicted", tree.prediction())
+    """All rows with the predicted class ``predicted``."""
+    return rows.withColumn("predicted", tree.prediction())
 
 
 def importance_table(spark: SparkSession, tree: Tree) -> DataFrame:
@@ -150,16 +173,17 @@ def importance_table(spark: SparkSession, tree: Tree) -> DataFrame:
 
 
 def rule_table(spark: SparkSession, tree: Tree) -> DataFrame:
-    """One row per node: its test (none for a leaf), purity, training rows by class and majority class."""
+    """One row per node: its test (none for a leaf), where missing values go, purity, training rows by class and majority class."""
     rows = []
     for number in sorted(tree.nodes):
         node = tree.nodes[number]
         w0, w1 = tree.weighted(node)
         name = None if node.feature is None else tree.predictors[node.feature]
-        rule = None if name is None else f"{name} <= {node.threshold:.3f}"
-        rows.append((number, node.depth, rule, name, node.threshold, tree.gini(node), *node.counts, int(w1 > w0)))
+        rule = None if name is None else f"{name} is known" if math.isinf(node.threshold) else f"{name} <= {node.threshold:.3f}"
+        missing = None if name is None else "left" if node.missing_left else "right"
+        rows.append((number, node.depth, rule, name, node.threshold, missing, tree.gini(node), *node.counts, int(w1 > w0)))
     return spark.createDataFrame(
         rows,
-        "node int, depth int, rule string, feature string, threshold double, gini double, n0 bigint, n1 bigint, "
+        "node int, depth int, rule string, feature string, threshold double, missing string, gini double, n0 bigint, n1 bigint, "
         "prediction int",
     )

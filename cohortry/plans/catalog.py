@@ -174,7 +174,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "tukey_pairs_state": lambda ws: _tukey(ws, "state"),
     "tukey_pairs_payment": lambda ws: _tukey(ws, "preferred_payment"),
     "tukey_gated_state": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "state"), "state", alpha=FIXTURE_GATE)),
-    "tukey_gated_payment": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "preferred_payment"), "preferred_payment", alpha=0.0)),
+    "tukey_gated_payment": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "preferred_payment"), "preferred_payment", alpha=FIXTURE_GATE)),
     "tukey_rejected_state": lambda ws: _tukey_rounded(
         anova.rejected_pairs(anova.tukey(_factor(ws, "state"), "state"), FIXTURE_PAIRS, FIXTURE_ALPHA)
     ),

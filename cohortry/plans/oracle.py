@@ -612,32 +612,40 @@ def _tree() -> tuple[str, ...]:
     xs = list(tree.PREDICTORS)
     rows = "\ntd AS (SELECT customer_unique_id AS id, is_repeat AS y, " + ", ".join(xs) + " FROM cf)"
     stacked = " UNION ALL ".join(f"SELECT id, y, {f} AS f, {x} AS v FROM t0" for f, x in enumerate(xs))
-    known = " AND ".join(f"{x} IS NOT NULL" for x in xs)
     parts = [
         rows,
         _stratified("td", "ts"),
-        f"\nt0 AS MATERIALIZED (SELECT * FROM ts WHERE is_test = 0 AND {known})",
+        "\nt0 AS MATERIALIZED (SELECT * FROM ts WHERE is_test = 0)",
         f"\nst AS MATERIALIZED ({stacked})",
         "\nwt AS (SELECT count(*) / (2.0 * count(*) FILTER (y = 0)) AS w0, count(*) / (2.0 * count(*) FILTER (y = 1)) AS w1 FROM t0)",
         "\nat0 AS MATERIALIZED (SELECT id, 1 AS node FROM t0)",
     ]
     for depth in range(tree.MAX_DEPTH):
         parts.append(f"""
+s{depth} AS MATERIALIZED (SELECT node, count(*) FILTER (y = 0) AS t0, count(*) FILTER (y = 1) AS t1 FROM at{depth} JOIN t0 USING (id) GROUP BY 1),
 k{depth} AS MATERIALIZED (
   SELECT node, f, v, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER (PARTITION BY node, f) AS a0,
          sum(n1) OVER (PARTITION BY node, f) AS a1, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS nv
   FROM (SELECT node, f, v, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1
-        FROM st JOIN at{depth} USING (id) WHERE node >= {2 ** depth} GROUP BY 1, 2, 3)
+        FROM st JOIN at{depth} USING (id) WHERE node >= {2 ** depth} AND v IS NOT NULL GROUP BY 1, 2, 3)
   WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+o{depth} AS MATERIALIZED (
+  SELECT node, f, v, 0 AS o, v / 2 + nv / 2 AS cut, l0 AS x0, l1 AS x1, t0, t1,
+         CASE WHEN t0 + t1 > a0 + a1 THEN false ELSE 2 * (l0 + l1) > t0 + t1 END AS ml FROM k{depth} JOIN s{depth} USING (node) WHERE nv IS NOT NULL
+  UNION ALL
+  SELECT node, f, v, 1, v / 2 + nv / 2, l0 + t0 - a0, l1 + t1 - a1, t0, t1, true FROM k{depth} JOIN s{depth} USING (node)
+  WHERE nv IS NOT NULL AND t0 + t1 > a0 + a1
+  UNION ALL
+  SELECT node, f, v, 2, CAST('infinity' AS DOUBLE), a0, a1, t0, t1, false FROM k{depth} JOIN s{depth} USING (node)
+  WHERE nv IS NULL AND t0 + t1 > a0 + a1),
 q{depth} AS MATERIALIZED (
-  SELECT node, f, v / 2 + nv / 2 AS cut FROM k{depth}, wt
-  WHERE nv IS NOT NULL AND l0 + l1 >= {tree.MIN_LEAF} AND a0 + a1 - l0 - l1 >= {tree.MIN_LEAF}
-    AND a0 + a1 >= {tree.MIN_SPLIT} AND a0 > 0 AND a1 > 0
+  SELECT node, f, cut, ml FROM o{depth}, wt
+  WHERE x0 + x1 >= {tree.MIN_LEAF} AND t0 + t1 - x0 - x1 >= {tree.MIN_LEAF} AND t0 + t1 >= {tree.MIN_SPLIT} AND t0 > 0 AND t1 > 0
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY
-    ((l0 * w0) ** 2 + (l1 * w1) ** 2) / (l0 * w0 + l1 * w1)
-    + (((a0 - l0) * w0) ** 2 + ((a1 - l1) * w1) ** 2) / ((a0 - l0) * w0 + (a1 - l1) * w1) DESC, f, v) = 1),
+    ((x0 * w0) ** 2 + (x1 * w1) ** 2) / (x0 * w0 + x1 * w1)
+    + (((t0 - x0) * w0) ** 2 + ((t1 - x1) * w1) ** 2) / ((t0 - x0) * w0 + (t1 - x1) * w1) DESC, f, v, o) = 1),
 at{depth + 1} AS MATERIALIZED (
-  SELECT a.id, CASE WHEN q.node IS NULL THEN a.node WHEN s.v <= q.cut THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
+  SELECT a.id, CASE WHEN q.node IS NULL THEN a.node WHEN coalesce(s.v <= q.cut, q.ml) THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
   FROM at{depth} a LEFT JOIN q{depth} q ON q.node = a.node LEFT JOIN st s ON s.id = a.id AND s.f = q.f)""")
     cuts = " UNION ALL ".join(f"SELECT * FROM q{d}" for d in range(tree.MAX_DEPTH))
     seen = " UNION ".join(f"SELECT id, node FROM at{d}" for d in range(tree.MAX_DEPTH + 1))
@@ -648,7 +656,7 @@ nodes AS MATERIALIZED (
   SELECT node, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, any_value(w0) AS w0, any_value(w1) AS w1
   FROM ({seen}) JOIN t0 USING (id), wt GROUP BY 1),
 tree AS MATERIALIZED (
-  SELECT n.node, CAST(floor(log2(n.node)) AS INT) AS depth, {name} AS feature, cut, n0, n1, n0 * w0 + n1 * w1 AS w,
+  SELECT n.node, CAST(floor(log2(n.node)) AS INT) AS depth, {name} AS feature, cut, ml, n0, n1, n0 * w0 + n1 * w1 AS w,
          1 - ((n0 * w0) ** 2 + (n1 * w1) ** 2) / (n0 * w0 + n1 * w1) ** 2 AS gini, CAST(n1 * w1 > n0 * w0 AS INT) AS prediction
   FROM nodes n LEFT JOIN cuts c ON c.node = n.node)""")
     return tuple(parts)
@@ -656,13 +664,12 @@ tree AS MATERIALIZED (
 
 def _tree_scored() -> tuple[str, ...]:
     xs = list(tree.PREDICTORS)
-    known = " AND ".join(f"{x} IS NOT NULL" for x in xs)
     value = "CASE t.feature " + " ".join(f"WHEN '{x}' THEN {x}" for x in xs) + " END"
-    out = [f"\nv0 AS MATERIALIZED (SELECT ts.*, 1 AS node FROM ts WHERE is_test = 1 AND {known})"]
+    out = [f"\nv0 AS MATERIALIZED (SELECT ts.*, 1 AS node FROM ts WHERE is_test = 1)"]
     for d in range(tree.MAX_DEPTH):
         out.append(f"""
 v{d + 1} AS MATERIALIZED (
-  SELECT v.* REPLACE (CASE WHEN t.feature IS NULL THEN v.node WHEN {value} <= cut THEN 2 * v.node ELSE 2 * v.node + 1 END AS node)
+  SELECT v.* REPLACE (CASE WHEN t.feature IS NULL THEN v.node WHEN coalesce({value} <= cut, ml) THEN 2 * v.node ELSE 2 * v.node + 1 END AS node)
   FROM v{d} v JOIN tree t ON t.node = v.node)""")
     out.append(f"\npr AS (SELECT v.y, prediction AS predicted FROM v{tree.MAX_DEPTH} v JOIN tree t ON t.node = v.node)")
     return tuple(out)
@@ -895,8 +902,7 @@ def _queries() -> dict[str, str]:
     q["levene_state"], q["levene_payment"] = _levene_sql("state"), _levene_sql("preferred_payment")
     q["kruskal_state"], q["kruskal_category"] = _kruskal_sql("state"), _kruskal_sql("favorite_category")
     q["tukey_stats_state"], q["tukey_stats_payment"] = _tukey_sql("state"), _tukey_sql("preferred_payment")
-    q["tukey_gated_state"] = _tukey_pairs_sql("state")  # the gate of the query is open
-    q["tukey_gated_payment"] = _tukey_pairs_sql("preferred_payment", tail="WHERE false")  # and of this one shut
+    q["tukey_gated_state"], q["tukey_gated_payment"] = _tukey_pairs_sql("state"), _tukey_pairs_sql("preferred_payment")  # open gates
     q["tukey_rejected_state"] = _tukey_pairs_sql(
         "state", more=", (SELECT count(*) FROM pq WHERE p < 0.9) AS rejected, (SELECT count(*) FROM pq) AS pairs",
         tail="WHERE p < 0.9 ORDER BY group1, group2 LIMIT 3",
@@ -1077,7 +1083,8 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
     # tree
     grown = _tree()
     q["tree_rules"] = _with(
-        "SELECT node, depth, CASE WHEN feature IS NOT NULL THEN printf('%s <= %.3f', feature, cut) END AS rule, feature, round(cut, 6) AS threshold, "
+        "SELECT node, depth, CASE WHEN isinf(cut) THEN feature || ' is known' WHEN feature IS NOT NULL THEN printf('%s <= %.3f', feature, cut) END AS rule, "
+        "feature, round(cut, 6) AS threshold, CASE WHEN ml THEN 'left' WHEN NOT ml THEN 'right' END AS missing, "
         "round(gini, 6) AS gini, n0, n1, prediction FROM tree",
         *grown,
     )

@@ -176,9 +176,11 @@ def brute_tree(x, y, depth, max_depth, min_split, min_leaf, w, number=1):
         return nodes
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for lo, hi in zip(values, values[1:]):
-            left = x[:, f] <= lo
+        gone = np.isnan(x[:, f])
+        values = np.unique(x[~gone, f])
+        tries = [(lo / 2 + hi / 2, missing_left) for lo, hi in zip(values, values[1:]) for missing_left in ([False, True] if gone.any() else [None])]
+        for cut, missing_left in [*tries, *([(math.inf, False)] if gone.any() and len(values) else [])]:
+            left = np.where(gone, bool(missing_left), x[:, f] <= cut)
             if min(left.sum(), (~left).sum()) < min_leaf:
                 continue
             score = 0.0
@@ -186,17 +188,35 @@ def brute_tree(x, y, depth, max_depth, min_split, min_leaf, w, number=1):
                 a, b = (y[side] == 0).sum() * w[0], (y[side] == 1).sum() * w[1]
                 score += (a * a + b * b) / (a + b)
             if best is None or score > best[0] + 1e-9:
-                best = (score, f, lo / 2 + hi / 2)
+                best = (score, f, cut, left)
     if best is None:
         return nodes
-    _, f, cut = best
+    _, f, cut, left = best
     nodes[number] = (counts, f, cut)
-    left = x[:, f] <= cut
     for side, child in ((left, 2 * number), (~left, 2 * number + 1)):
         nodes |= brute_tree(x[side], y[side], depth + 1, max_depth, min_split, min_leaf, w, child)
     return nodes
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_with_missing_values(spark, seed):
+    """All rows are trained on and predicted; missing values go where they fit better, alone if that is best."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = ((x[:, 0] > 6) ^ (rng.random(400) < 0.2)).astype(int)
+    x[rng.random((400, 3)) < [0.1, 0.3, 0.0]] = np.nan
+    x[:, 1] = np.where((y == 1) & (rng.random(400) < 0.5), np.nan, x[:, 1])
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], int(c)) for r, c in zip(x, y)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, x3 double, label int")
+    grown = tree.grow_tree(df, X, "label", max_depth=3, min_split=40, min_leaf=10)
+    w = (400 / (2 * (y == 0).sum()), 400 / (2 * (y == 1).sum()))
+    expected = brute_tree(x, y, 0, 3, 40, 10, w)
+    assert {n.number: (n.counts, n.feature, n.threshold) for n in grown.nodes.values()} == expected
+    leaves = {n.number: sum(n.counts) for n in grown.nodes.values() if n.feature is None}
+    assert {r["leaf"]: r["count"] for r in df.groupBy(grown.node_of().alias("leaf")).count().collect()} == leaves
+    assert tree.predict_tree(df, grown).count() == 400 == sum(leaves.values())
+
+
 def test_tree(spark, df, frame):
     grown = tree.grow_tree(df, X, "label", max_depth=3, min_split=40, min_leaf=15)
     y = frame["label"].to_numpy()
