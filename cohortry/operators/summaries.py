@@ -46,8 +46,13 @@ def top_levels(features: DataFrame, factor: str, rows: int = TOP_LEVELS) -> Data
 
 
 def restrict_to_top(features: DataFrame, factor: str, rows: int = TOP_LEVELS) -> DataFrame:
-    """Rows whose factor is among its most frequent values. The broadcast side has ``rows`` rows at most."""
-    return features.join(F.broadcast(top_levels(features, factor, rows).select(factor)), factor, "left_semi")
+    """Rows whose factor is among its most frequent values.
+
+    The names, ``rows`` at most, are found at once and go into the plan as a list, so the restriction reaches the scan and is not
+    computed again by each use of the result.
+    """
+    names = [r[0] for r in top_levels(features, factor, rows).select(factor).collect()]
+    return features.filter(F.col(factor).isin(names) if names else F.lit(False))
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -53,7 +53,7 @@ def _popular(ws: Workspace) -> DataFrame:
 
 
 def _describe(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(summaries.describe(anova.factor_rows(ws.features, factor), [factor], VALUE), 4)
+    return rounded(summaries.describe(ws.factor_rows(factor), [factor], VALUE), 4)
 
 
 def _anova(ws: Workspace, factor: str) -> DataFrame:
@@ -61,15 +61,15 @@ def _anova(ws: Workspace, factor: str) -> DataFrame:
 
 
 def _kruskal(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(anova.kruskal(anova.factor_rows(ws.features, factor), factor), 6)
+    return rounded(anova.kruskal(ws.factor_rows(factor), factor), 6)
 
 
 def _levene(ws: Workspace, factor: str) -> DataFrame:
-    return rounded(anova.levene(anova.factor_rows(ws.features, factor), factor), 6)
+    return rounded(anova.levene(ws.factor_rows(factor), factor), 6)
 
 
 def _factor(ws: Workspace, factor: str) -> DataFrame:
-    return anova.factor_rows(ws.features, factor)
+    return ws.factor_rows(factor)
 
 
 def _tukey_rounded(pairs: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def _tukey(ws: Workspace, factor: str) -> DataFrame:
 
 
 def _box(ws: Workspace, factor: str) -> DataFrame:
-    return settled(charts.box_stats(anova.factor_rows(ws.features, factor), [factor], VALUE), 4)
+    return settled(charts.box_stats(ws.factor_rows(factor), [factor], VALUE), 4)
 
 
 def _coefficients(ws: Workspace) -> DataFrame:

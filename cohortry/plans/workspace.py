@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.operators import classify, features, regression, segments, splits, tree
+from cohortry.operators import anova, classify, features, regression, segments, splits, tree
 from cohortry.sources.scratch import keep
 from cohortry.sources.star import star_tables
 from cohortry.sources.tables import Tables
@@ -21,12 +21,19 @@ class Workspace:
 
     def __init__(self, tables: Tables):
         self.tables = tables
+        self._factors: dict[str, DataFrame] = {}
 
     @cached_property
     def features(self) -> DataFrame:
         rolled = keep(features.customer_rollup(features.order_features(self.tables)))
         return features.fill_gaps(rolled, features.median_score(rolled))
 
+    def factor_rows(self, factor: str) -> DataFrame:
+        """The rows a factor is tested on; its most frequent levels are looked up once."""
+        if factor not in self._factors:
+            self._factors[factor] = anova.factor_rows(self.features, factor)
+        return self._factors[factor]
+
     @cached_property
     def fm(self) -> DataFrame:
         return keep(segments.fm_metrics(self.tables))
