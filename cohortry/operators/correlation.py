@@ -12,7 +12,7 @@ from cohortry.functions.columns import significance_mark
 from cohortry.functions.tails import t_two_sided_of
 from cohortry.operators.ranks import average_rank, numeric_limits, running_totals, stack, stacked_range
 
-# The correlated features, and those of them that can be null (the others are counts, sums or filled).
+# The correlated features.
 CORRELATED = [
     "frequency",
     "avg_delay_days",
@@ -23,7 +23,7 @@ CORRELATED = [
     "total_spent",
     "avg_item_count",
 ]
-NULLABLE = ["avg_freight_ratio", "avg_payment_installments", "avg_order_value", "avg_item_count"]
+COMMON = 1000  # a value that holds more than this part of its feature's rows is common; a feature has fewer such values
 
 
 def _square(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -59,62 +59,76 @@ def pearson_target(df: DataFrame, target: str, names: Sequence[str] = CORRELATED
     )
 
 
-def _rank_name(name: str, other: str, nullable: Sequence[str]) -> str:
-    """Which rank of a feature a pair uses: among the rows that know the other feature, if that can be missing."""
-    return f"{name}~{other if other in nullable else ''}"
+def null_scopes(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """For each feature the first one that is missing in exactly the same rows; empty for a feature that is never missing."""
+    counts = [F.count_if(F.col(n).isNull()).alias(n) for n in names]
+    differ = [F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{a}|{b}") for a, b in combinations(names, 2)]
+    row = df.agg(*counts, *differ).first()
+    scopes: dict[str, str] = {}
+    for i, n in enumerate(names):
+        same = [m for m in names[:i] if not row[f"{m}|{n}"]]
+        scopes[n] = "" if not row[n] else scopes[same[0]] if same else n
+    return scopes
 
 
-def feature_ranks(df: DataFrame, names: Sequence[str], nullable: Sequence[str], key: str) -> DataFrame:
+def _rank_name(name: str, other: str, scopes: dict[str, str]) -> str:
+    """Which rank of a feature a pair uses: among the rows that know the other feature, if other rows may miss that one."""
+    return f"{name}~{'' if scopes[other] == scopes[name] else scopes[other]}"
+
+
+def feature_ranks(df: DataFrame, names: Sequence[str], scopes: dict[str, str], key: str) -> DataFrame:
     """Average ranks of the features, one row per key.
 
-    ``<feature>~`` ranks all rows that know the feature; ``<feature>~<other>`` only those that also know the other,
-    nullable one, and is null for the rest. The features are stacked, so their distinct values are counted and put in order in one go: a value
-    shared by most rows is a single row by then. Rows look their ranks up by value; next to a value as common as that
-    the lookup side is one row, and adaptive execution broadcasts it or splits the hot partition.
+    ``<feature>~`` ranks all rows that know the feature; ``<feature>~<other>`` only those that also know the other, and is null for
+    the rest. The features are stacked, so their distinct values are counted and put in order in one go: a value shared by most rows
+    is a single row by then. Rows look their ranks up by value: common values, fewer than ``COMMON`` a feature, in a broadcast
+    table, the others by a shuffle in which no value is hot.
     """
-    scopes = ["", *nullable]
+    others = ["", *sorted({o for o in scopes.values() if o})]
     stacked = stack(
         df,
         names,
         [
             key,
             F.lit(1).cast("bigint").alias("in~"),
-            *[F.col(o).isNotNull().cast("bigint").alias(f"in~{o}") for o in nullable],
+            *[F.col(o).isNotNull().cast("bigint").alias(f"in~{o}") for o in others if o],
         ],
     )
-    counts = stacked.groupBy("feature", "value").agg(*[F.sum(f"in~{o}").alias(f"n~{o}") for o in scopes])
+    counts = stacked.groupBy("feature", "value").agg(*[F.sum(f"in~{o}").alias(f"n~{o}") for o in others])
     placed = running_totals(
-        counts, ["feature"], "value", [f"n~{o}" for o in scopes], stacked_range(numeric_limits(df, names), names)
+        counts, ["feature"], "value", [f"n~{o}" for o in others], stacked_range(numeric_limits(df, names), names)
     )
     lookup = placed.select(
-        "feature", "value", *[average_rank(F.col(f"n~{o}_before"), F.col(f"n~{o}")).alias(f"rank~{o}") for o in scopes]
+        "feature",
+        "value",
+        (F.col("n~") * COMMON > F.col("n~_all")).alias("common"),
+        *[average_rank(F.col(f"n~{o}_before"), F.col(f"n~{o}")).alias(f"rank~{o}") for o in others],
     )
+    common = F.broadcast(lookup.filter("common").drop("common"))
+    rare = lookup.filter("not common").drop("common")
+    value = ["feature", "value"]
+    ranked = stacked.join(common, value).unionByName(stacked.join(common.select(*value), value, "left_anti").join(rare, value))
     return (
-        stacked.join(lookup, ["feature", "value"])
-        .select(key, "feature", *[F.when(F.col(f"in~{o}") == 1, F.col(f"rank~{o}")).alias(f"rank~{o}") for o in scopes])
+        ranked.select(key, "feature", *[F.when(F.col(f"in~{o}") == 1, F.col(f"rank~{o}")).alias(f"rank~{o}") for o in others])
         .groupBy(key)
         .agg(
             *[
                 F.max(F.when(F.col("feature") == i, F.col(f"rank~{o}"))).alias(f"{n}~{o}")
                 for i, n in enumerate(names)
-                for o in scopes
-                if o != n
+                for o in others
+                if not o or o != scopes[n]
             ]
         )
     )
 
 
-def spearman_matrix(
-    df: DataFrame,
-    names: Sequence[str] = CORRELATED,
-    nullable: Sequence[str] = NULLABLE,
-    key: str = "customer_unique_id",
-) -> DataFrame:
+def spearman_matrix(df: DataFrame, names: Sequence[str] = CORRELATED, key: str = "customer_unique_id") -> DataFrame:
     """Rank correlation of all pairs, ranked anew within the rows where both values are known."""
-    ranks = feature_ranks(df, names, nullable, key)
+    scopes = null_scopes(df, names)
+    ranks = feature_ranks(df, names, scopes, key)
 
     def rho(a: str, b: str) -> Column:
-        return F.corr(_rank_name(a, b, nullable), _rank_name(b, a, nullable)).alias(f"{a}|{b}")
+        return F.corr(_rank_name(a, b, scopes), _rank_name(b, a, scopes)).alias(f"{a}|{b}")
 
     return _square(ranks.agg(*[rho(a, b) for a, b in combinations(names, 2)]), names)
 

@@ -158,13 +158,24 @@ def features():
     rng = np.random.default_rng(5)
     data = pd.DataFrame({n: rng.integers(0, 9, 300).astype(float) for n in correlation.CORRELATED})
     data["total_spent"] += data["avg_order_value"] * 2
-    for n in correlation.NULLABLE:
+    for n in ("avg_freight_ratio", "avg_review_score", "avg_order_value"):
         data.loc[rng.random(300) < 0.1, n] = np.nan
+    data.loc[data["avg_freight_ratio"].isna(), "avg_item_count"] = np.nan  # missing together
     return data.assign(customer_unique_id=range(300))
 
 
+def test_null_scopes(spark, features):
+    df = spark.createDataFrame(features.astype(object).where(features.notna(), None), ", ".join(f"{n} double" for n in correlation.CORRELATED) + ", customer_unique_id long")
+    found = correlation.null_scopes(df, correlation.CORRELATED)
+    assert {n: o for n, o in found.items() if o} == {
+        "avg_freight_ratio": "avg_freight_ratio", "avg_item_count": "avg_freight_ratio", "avg_review_score": "avg_review_score", "avg_order_value": "avg_order_value",
+    }
+
+
 @pytest.mark.parametrize("method, build", [("pearson", correlation.pearson_matrix), ("spearman", correlation.spearman_matrix)])
-def test_correlation_is_pairwise_complete(spark, features, method, build):
+@pytest.mark.parametrize("part", [1000, 20])
+def test_correlation_is_pairwise_complete(spark, features, method, build, part, monkeypatch):
+    monkeypatch.setattr(correlation, "COMMON", part)  # values are common, or some of them
     names = correlation.CORRELATED
     df = spark.createDataFrame(features.astype(object).where(features.notna(), None), ", ".join(f"{n} double" for n in names) + ", customer_unique_id long")
     got = {(r["var_x"], r["var_y"]): r["r"] for r in build(df).collect()}
