@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import free_name, ship_by_value, with_arrow_column, word_text
+from cohortry.llm.bloom import build, key_hash
+from cohortry.llm.common import free_name, share, ship_by_value, with_arrow_column, word_text
 from cohortry.llm.components import connected
 from cohortry.sources.scratch import keep
 
@@ -35,7 +36,8 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 misses every band with probability (1 - 0.8
 STEP = 16  # MinHash values compared at a time
 BLOCK_MEMBERS = 64
 BLOCK_SHINGLES = 1_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+FILTER_BITS = 1 << 27  # most bits (16 MB) of the filter that holds back texts without candidates
 
 ship_by_value(__name__)
 
@@ -206,6 +208,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_text(F.col(f"`{text_col}`")).alias("words")).filter("doc_id is not null")
 
 
+def _possible(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids and texts of the documents with a wanted id, and a few more: what a Bloom filter of these ids lets through.
+
+    Only these texts are shuffled by the join that follows, instead of all.
+    """
+    ids = wanted.select(F.col("doc_id").alias("key"))
+    shared = share(docs.sparkSession, build(ids, wanted.count(), 0.01, 8, FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_ids = shared()
+        for b in batches:
+            passes = wanted_ids.passes(b.column(2).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(passes)).select(["doc_id", "text"])
+
+    two = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return two.withColumn("h", key_hash(F.col("doc_id"), 8)).mapInArrow(run, two.schema)
+
+
 def _id_field(docs: DataFrame, id_col: str) -> T.StructField:
     return T.StructField("doc_id", next(f.dataType for f in docs.schema.fields if f.name == id_col))
 
@@ -234,7 +254,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
             "component", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node", "copies", "doc_id", "digest"
         )
     )
-    signed = keyed.join(placed, "doc_id").mapInArrow(
+    signed = _keyed(_possible(docs, placed, id_col, text_col), "doc_id", "text").join(placed, "doc_id").mapInArrow(
         _signatures, "component long, chunks int, chunk int, node long, copies long, shingles binary, signature binary"
     )
     units = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
