@@ -28,6 +28,16 @@ def free_name(taken: Sequence[str], base: str) -> str:
     return base
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``BATCH_ROWS``, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
+
+
 def with_arrow_column(
     df: DataFrame, inputs: Sequence[Column], start: Callable[[], Callable[[list[pa.Array]], pa.Array]], field: T.StructField
 ) -> DataFrame:
@@ -42,7 +52,7 @@ def with_arrow_column(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for b in batches:
+        for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:own], compute(b.columns[own:])], names=names)
 
     wide = df.select("*", *[c.alias(t) for c, t in zip(inputs, temporary)])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.bloom import build, key_hash
-from cohortry.llm.common import free_name, share, ship_by_value, with_arrow_column, word_text
+from cohortry.llm.common import free_name, share, ship_by_value, small_batches, with_arrow_column, word_text
 from cohortry.llm.components import connected
 from cohortry.sources.scratch import keep
 
@@ -36,7 +36,7 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 misses every band with probability (1 - 0.8
 STEP = 16  # MinHash values compared at a time
 BLOCK_MEMBERS = 64
 BLOCK_SHINGLES = 1_000_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 FILTER_BITS = 1 << 27  # most bits (16 MB) of the filter that holds back texts without candidates
 
 ship_by_value(__name__)
@@ -93,7 +93,7 @@ def _digest(words: str) -> bytes:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHash()
-    for b in batches:
+    for b in small_batches(batches):
         digests, sizes, bands = [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text.split(), hashes)
@@ -112,7 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles and MinHash values of the rows whose text is the one meant (ids may repeat with other texts)."""
     hashes = _WordHash()
     names = ["component", "chunks", "chunk", "node", "copies"]
-    for b in batches:
+    for b in small_batches(batches):
         words, wanted = b.column("words").to_pylist(), b.column("digest").to_pylist()
         take = [i for i, (w, d) in enumerate(zip(words, wanted)) if _digest(w) == d]
         sets = [shingle_set(words[i].split(), hashes) for i in take]

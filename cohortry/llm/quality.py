@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import free_name, ship_by_value, with_arrow_column
+from cohortry.llm.common import free_name, ship_by_value, small_batches, with_arrow_column
 from cohortry.sources.scratch import keep
 
 ship_by_value(__name__)
@@ -165,7 +165,7 @@ class QualityModel:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small_batches(batches):
         found = [pattern_of(statistics(t or "")[0]) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int32())], names=["h", "pattern"])
 
