@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from cohortry.functions import tails
 from cohortry.functions.columns import ALPHA, SIGNIFICANCE_MARKS, normal_quantile
-from cohortry.operators.ranks import key_limits, numeric_limits, range_of, value_positions
+from cohortry.operators.ranks import key_limits, range_of, value_positions
 
 TARGET = "avg_order_value"
 PREDICTORS = [
