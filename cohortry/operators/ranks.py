@@ -56,7 +56,8 @@ def _halvings(limits: int) -> list[int]:
 def _limits_below(limits: Column, most: int, value: Column) -> Column:
     """How many of the ascending limits are below a value, by halving. None for null."""
     strides = F.array(*[F.lit(s) for s in _halvings(most)])
-    return F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get(limits, at + s - 1) < value, at + s).otherwise(at))
+    found = F.aggregate(strides, F.lit(0), lambda at, s: F.when(F.get(limits, at + s - 1) < value, at + s).otherwise(at))
+    return F.coalesce(found, F.lit(0))  # never null, or joins by range would filter one side and share no exchange
 
 
 def range_of(value: Column, limits: Sequence) -> Column:
