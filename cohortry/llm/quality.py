@@ -10,6 +10,7 @@ labels a bounded sample, on which a linear scorer over hashed features is traine
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -37,6 +38,13 @@ FALSE_ALARMS = 0.002  # prior rate of bad votes on good documents
 SYMBOLS = b"!$%&*#|@^~"
 UPPER, LOWER = slice(65, 91), slice(97, 123)
 
+# Scripts written without blanks between words: Thai to Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han, Yi, full and half width.
+UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\u312f\u3190-\ua4cf\ua980-\ua9ff"
+    "\uaa60-\uaadf\uf900-\ufaff\uff00-\uff9f\U00020000-\U0003ffff]+"
+)
+MOST_UNSPACED = 0.1  # share of the characters above which the length of words says nothing
+
 #: Name, statistic, good below, bad above, and the least number of words to vote at all.
 LABELLERS = [
     ("shouting", "upper", 0.12, 0.2, 8),
@@ -65,10 +73,16 @@ def statistics(text: str) -> tuple[dict[str, float], np.ndarray]:
         "bar": int(seen[124]) / some,
         "repeat": sum(map(eq, words, islice(words, 1, None))) / some,
         "poor": 1 - len(set(words)) / some,
-        "odd_length": abs(len(raw) / some - 7.0),
+        "odd_length": _odd_length(text, len(raw), some),
     }, raw
 
 
+def _odd_length(text: str, size: int, words: int) -> float:
+    """Distance of the mean characters a word, its blank included, from 7; no number, which abstains, in scripts without blanks."""
+    apart = 0 if size == len(text) else sum(map(len, UNSPACED.findall(text)))
+    return float("nan") if apart > MOST_UNSPACED * len(text) else abs((len(text) - apart) / words - 7.0)
+
+
 def pattern_of(stats: dict[str, float]) -> int:
     """All votes on a document as one number in base 3; -1 for a text without words."""
     if not stats["n"]:

@@ -70,3 +70,33 @@ def test_sample_is_bounded_by_distinct_texts(spark):
     docs = spark.createDataFrame([(i, "the very same text in every row here") for i in range(300)] + [(999, "another text")], "doc_id long, text string")
     rows = Q.quality_scores(docs, sample_rows=2).select("score").distinct().count()
     assert rows <= 2
+
+
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面"
+THAI = "กขคงจชซญดตถทธนบปผพฟมยรลวสหอะาิีึืุูเแโใไ"
+
+
+def in_script(letters, seed, stretches=40):
+    """Clean text without blanks between its words."""
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(rng.choice(list(letters), rng.integers(9, 30))) + "。" for _ in range(stretches))
+
+
+def test_word_length_in_characters_of_spaced_scripts():
+    vote = lambda text: Q.votes_of([Q.pattern_of(Q.statistics(text)[0])])[0, [x[0] for x in Q.LABELLERS].index("odd word length")]
+    assert vote(in_script(HAN, 1)) == vote(in_script(THAI, 2)) == Q.ABSTAIN
+    assert vote("преподаватель достопримечательность рассказывает " * 20 + "и он " * 20) == Q.GOOD  # 17 bytes a word
+    assert vote("каждый охотник желает знать где сидит фазан " * 10) == Q.GOOD
+    assert vote("x" * 40 + " " + "ab" * 30 + " " + "plain " + "q" * 25 + " " + "0f" * 16 + " z" + " w" * 16 + "k" * 400) == Q.BAD
+
+
+def test_clean_source_of_a_third_in_another_script_is_kept(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text")
+    n = docs.count() // 2
+    more = spark.createDataFrame([(-1 - i, in_script(HAN if i % 2 else THAI, i)) for i in range(n)], docs.schema)
+    rows = Q.quality_scores(docs.unionByName(more)).toPandas()
+    assert len(rows) == 3 * n
+    labels = spark.read.parquet(f"{BASE}/labels.parquet").toPandas()
+    other, rest = rows[rows.doc_id < 0], rows[rows.doc_id >= 0].merge(labels, on="doc_id")
+    assert (other.label_score > 0.5).all() and other.keep.mean() > 0.99
+    assert rest[rest.quality == 1].keep.mean() > 0.99 and (~rest[rest.quality == 0].keep.astype(bool)).mean() > 0.9
