@@ -43,6 +43,8 @@ UNSPACED = re.compile(
     "[\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\u312f\u3190-\ua4cf\ua980-\ua9ff"
     "\uaa60-\uaadf\uf900-\ufaff\uff00-\uff9f\U00020000-\U0003ffff]+"
 )
+WINDOW_WORDS = 1000  # the share of new words falls with length in any prose: it is taken within stretches of so many words
+SPAN_WORDS = 5  # across stretches, repetition is repeated spans of so many words
 MOST_UNSPACED = 0.1  # share of the characters above which the length of words says nothing
 
 #: Name, statistic, good below, bad above, and the least number of words to vote at all.
@@ -72,11 +74,21 @@ def statistics(text: str) -> tuple[dict[str, float], np.ndarray]:
         "exclaim": int(seen[33]) / some,
         "bar": int(seen[124]) / some,
         "repeat": sum(map(eq, words, islice(words, 1, None))) / some,
-        "poor": 1 - len(set(words)) / some,
+        "poor": _poor(words),
         "odd_length": _odd_length(text, len(raw), some),
     }, raw
 
 
+def _poor(words: list[str]) -> float:
+    """Share of words seen before in their stretch of the text, or of spans seen before in the whole text if that is more."""
+    n = len(words)
+    within = 1 - sum(len(set(words[i : i + WINDOW_WORDS])) for i in range(0, n, WINDOW_WORDS)) / max(1, n)
+    if n <= WINDOW_WORDS:
+        return within
+    spans = set(map(hash, zip(*[islice(words, i, None) for i in range(SPAN_WORDS)])))
+    return max(within, 1 - len(spans) / (n - SPAN_WORDS + 1))
+
+
 def _odd_length(text: str, size: int, words: int) -> float:
     """Distance of the mean characters a word, its blank included, from 7; no number, which abstains, in scripts without blanks."""
     apart = 0 if size == len(text) else sum(map(len, UNSPACED.findall(text)))

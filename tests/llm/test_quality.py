@@ -100,3 +100,18 @@ def test_clean_source_of_a_third_in_another_script_is_kept(spark):
     other, rest = rows[rows.doc_id < 0], rows[rows.doc_id >= 0].merge(labels, on="doc_id")
     assert (other.label_score > 0.5).all() and other.keep.mean() > 0.99
     assert rest[rest.quality == 1].keep.mean() > 0.99 and (~rest[rest.quality == 0].keep.astype(bool)).mean() > 0.9
+
+
+def test_very_long_clean_document_is_kept(spark):
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BASE}/labels.parquet")
+    good = [r["text"] for r in docs.join(labels, "doc_id").filter("quality = 1").orderBy("doc_id").select("text").collect()]
+    words = sorted({w for t in good for w in t.split()})
+    draw = np.random.default_rng(11).zipf(1.1, 600_000)
+    book = " ".join(words[i - 1] for i in draw[draw <= len(words)][:300_000])  # words as frequent as in prose
+    assert len(book.split()) == 300_000 and 1 - len(set(book.split())) / 300_000 > 0.8
+    stuck = " ".join(book.split()[:2500] * 40)  # many words, but the same again and again
+    rows = {r["doc_id"]: r for r in Q.quality_scores(docs.unionByName(spark.createDataFrame([(-1, book), (-2, stuck)], docs.schema))).filter("doc_id < 0").collect()}
+    poor = [x[0] for x in Q.LABELLERS].index("poor in words")
+    assert rows[-1]["keep"] and rows[-1]["label_score"] > 0.5 and rows[-1]["votes"][poor] != "b"
+    assert rows[-2]["votes"][poor] == "b"
