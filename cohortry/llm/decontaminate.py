@@ -7,7 +7,8 @@ all items above the threshold are retrieved. Items are laid out in blocks with t
 threshold, since they can lift nothing to the threshold alone. Only postings of the other terms are read; a block is scored
 exactly only if the maxima found, with all that was set aside, can reach the threshold. Nothing above the threshold is lost.
 
-Retrieved pairs are then verified: the item's question and its answer must each overlap the passage by word n-grams.
+Retrieved pairs are then verified: the item's question and its answer must each overlap the passage by word n-grams. Where edited
+copies are asked for, a pair is also accepted if few word edits turn the whole item into a stretch of the passage.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ ONE = 65536
 SCORE = 0.6  # share of the item's own score
 OVERLAP = 0.8  # share of the n-grams of the question, and of the answer
 NGRAM = 5
+EDITS = 0.2  # share of the words of an item that may be replaced, left out or added in an edited copy
 LEAST_STRIDE = 64  # passages are two strides long; a stride is no shorter than the longest item
 BLOCK_ITEMS = 4
 SHARD_POSTINGS = 2_000_000  # postings of the index broadcast at a time
@@ -93,6 +95,7 @@ class Shard:
     item_ids: list
     questions: list
     answers: list
+    wholes: list
     starts: np.ndarray  # of each term's postings
     items: np.ndarray
     impacts: np.ndarray
@@ -112,7 +115,7 @@ class Shard:
 
 
 def make_shard(slots: list, postings: list, stride: int, score: float) -> Shard:
-    """Lay out the items (slot, item_id, question, answer) and postings (slot, term, impact) of one shard."""
+    """Lay out the items (slot, item_id, words, question, answer) and postings (slot, term, impact) of one shard."""
     slots = sorted(slots, key=lambda r: r["slot"])
     place = {r["slot"]: i for i, r in enumerate(slots)}
     terms = sorted({p["term"] for p in postings})
@@ -135,7 +138,7 @@ def make_shard(slots: list, postings: list, stride: int, score: float) -> Shard:
     lead[order] = running - before[b[order]] > least // 2
     aside = np.bincount(b[~lead], top[~lead], minlength=blocks).astype(np.int64)
     return Shard(
-        vocabulary, [r["item_id"] for r in slots], [_grams(r["question"]) for r in slots], [_grams(r["answer"]) for r in slots],
+        vocabulary, [r["item_id"] for r in slots], [_grams(r["question"]) for r in slots], [_grams(r["answer"]) for r in slots], [r["words"] for r in slots],
         starts, item, impact, np.searchsorted(t[lead], np.arange(len(terms) + 1)), b[lead], top[lead], aside, stride, least,
     )
 
@@ -176,8 +179,30 @@ def _overlap(grams: list[tuple[str, ...]], passage: list[str], seen: dict[int, s
     return sum(g in seen[k] for g in grams) / len(grams)
 
 
-def leaks_of(shard: Shard, texts: list[list[str]]) -> list[list[tuple]]:
-    """For each document (list of words) its verified items: (item_id, score, question overlap, answer overlap)."""
+def word_edits(item: list[str], passage: list[str]) -> int:
+    """Fewest words to replace, leave out or add so that the item is a stretch of the passage (bit-parallel, a bit a word)."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(item):
+        places[w] = places.get(w, 0) | 1 << i
+    full, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    more, fewer = full, 0  # whether the distance rises or falls from one word of the item to the next
+    now = best = len(item)
+    for w in passage:
+        here = places.get(w, 0)
+        flat = (((here & more) + more) ^ more) | here
+        up, down = fewer | full & ~(flat | more), more & flat
+        now += bool(up & top) - bool(down & top)
+        best = min(best, now)
+        up, down, here = up << 1, down << 1, here | fewer
+        more, fewer = (down | ~(here | up)) & full, up & here & full
+    return best
+
+
+def leaks_of(shard: Shard, texts: list[list[str]], edits: float = 0.0) -> list[list[tuple]]:
+    """For each document (list of words) its verified items: (item_id, score, question overlap, answer overlap).
+
+    With ``edits``, also those with at most this share of their words edited.
+    """
     out: list[dict] = [{} for _ in texts]
     if not shard.item_ids:
         return [[] for _ in texts]
@@ -196,7 +221,8 @@ def leaks_of(shard: Shard, texts: list[list[str]]) -> list[list[tuple]]:
             item = block * BLOCK_ITEMS + i
             passage = texts[doc][k * s : k * s + 2 * s]
             q, a = _overlap(shard.questions[item], passage, seen), _overlap(shard.answers[item], passage, seen)
-            if q >= OVERLAP and a >= OVERLAP:
+            whole = shard.wholes[item]
+            if (q >= OVERLAP and a >= OVERLAP) or (edits and word_edits(whole, passage) <= edits * len(whole)):
                 name, found = shard.item_ids[item], (int(scores[i]), q, a)
                 out[doc][name] = tuple(map(max, out[doc].get(name, found), found))
     return [[(name, *best) for name, best in d.items()] for d in out]
@@ -214,11 +240,12 @@ def _chunks(texts: list[str]):
     yield part
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, name: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE) -> DataFrame:
+def with_leaks(docs: DataFrame, items: DataFrame, name: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, edits: float = 0.0) -> DataFrame:
     """The documents with an array column ``name`` of (item_id, score, question_overlap, answer_overlap).
 
     The index is broadcast in shards of at most about ``SHARD_POSTINGS`` postings; each shard is one more step over the same
-    rows, without an exchange. A null, empty or wordless text leaks nothing. Every row is judged by its text alone.
+    rows, without an exchange. ``edits`` is the share of an item's words that may be edited in a copy. A null, empty or wordless
+    text leaks nothing. Every row is judged by its text alone.
     """
     spark = docs.sparkSession
     slots, postings = build_index(items, item_id, item_text)
@@ -233,16 +260,16 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str, text_col: str = "te
     for i in range(shards):
         mine = F.pmod(F.xxhash64("slot"), F.lit(shards)) == i
         shard = make_shard(
-            slots.filter(mine).select("slot", "item_id", "question", "answer").collect(), postings.filter(mine).collect(), stride, score
+            slots.filter(mine).select("slot", "item_id", "words", "question", "answer").collect(), postings.filter(mine).collect(), stride, score
         )
         part = free_name([*columns, name, *parts], f"_leaks{i}")
-        docs = with_arrow_column(docs, [words], _finder(share(spark, shard)), T.StructField(part, T.ArrayType(hit)))
+        docs = with_arrow_column(docs, [words], _finder(share(spark, shard), edits), T.StructField(part, T.ArrayType(hit)))
         parts.append(part)
     found = F.concat(*[F.col(f"`{p}`") for p in parts]) if parts else F.array().cast(T.ArrayType(hit))
     return docs.select(*[F.col(f"`{c}`") for c in columns], found.alias(name))
 
 
-def _finder(shared: Callable[[], Shard]) -> Callable:
+def _finder(shared: Callable[[], Shard], edits: float) -> Callable:
     names = ["item_id", "score", "question_overlap", "answer_overlap"]
 
     def start():
@@ -251,7 +278,7 @@ def _finder(shared: Callable[[], Shard]) -> Callable:
         kind = pa.list_(pa.struct(list(zip(names, [first, pa.int64(), pa.float64(), pa.float64()]))))
 
         def compute(cols: list[pa.Array]) -> pa.Array:
-            rows = [hits for part in _chunks(cols[0].to_pylist()) for hits in leaks_of(shard, part)]
+            rows = [hits for part in _chunks(cols[0].to_pylist()) for hits in leaks_of(shard, part, edits)]
             return pa.array([[dict(zip(names, h)) for h in hits] for hits in rows], kind)
 
         return compute
@@ -259,23 +286,23 @@ def _finder(shared: Callable[[], Shard]) -> Callable:
     return start
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = 0.0) -> DataFrame:
     """One row per document and leaked item: ids, best score, best overlaps. Documents without leaks have no row.
 
     Rows of equal document id are folded to one row per item; documents with a null id share the null id. Columns other than
-    those named are not read.
+    those named are not read. ``edits`` is the share of an item's words that may be edited in a copy; the SQL has none.
     """
     two = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
-    found = with_leaks(two, items, "_hits", "_text", item_id, item_text).select(id_col, F.explode("_hits").alias("h"))
+    found = with_leaks(two, items, "_hits", "_text", item_id, item_text, edits=edits).select(id_col, F.explode("_hits").alias("h"))
     return found.groupBy(id_col, F.col("h.item_id").alias("item_id")).agg(
         F.max("h.score").alias("score"), F.max("h.question_overlap").alias("question_overlap"), F.max("h.answer_overlap").alias("answer_overlap")
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that leak no item: whole rows, same columns."""
+    """The documents that leak no item, copies with a share of up to ``EDITS`` of edited words included: whole rows, same columns."""
     name = free_name(docs.columns, "_leaks")
-    return with_leaks(docs, items, name, text_col).filter(F.size(F.col(f"`{name}`")) == 0).drop(name)
+    return with_leaks(docs, items, name, text_col, edits=EDITS).filter(F.size(F.col(f"`{name}`")) == 0).drop(name)
 
 
 _GAPS = r"'[^\p{L}\p{M}\p{N}]+'"

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 from cohortry.llm import decontaminate as D
@@ -106,3 +107,34 @@ def test_clean_keeps_whole_rows(spark):
     i = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = D.clean(d, i)
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [11, 12, 13, 16]
+
+
+def edits_by_recurrence(item, passage):
+    before = [0] * (len(passage) + 1)
+    for i, x in enumerate(item):
+        now = [i + 1]
+        for j, y in enumerate(passage):
+            now.append(min(before[j] + (x != y), before[j + 1] + 1, now[j] + 1))
+        before = now
+    return min(before)
+
+
+def test_word_edits_as_by_recurrence():
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = [[rng.choice("abcd") for _ in range(rng.randint(least, 90))] for least in (1, 0)]
+        assert D.word_edits(a, b) == edits_by_recurrence(a, b)
+
+
+def test_edited_copies_are_cleaned_away(spark):
+    """One or two words replaced anywhere, the answer included; a third of the words is another text."""
+    words = [t.split() for t in (ITEMS[0][1], ITEMS[7][1])]
+    docs, at = [], 0
+    for w in words:
+        for i in range(len(w)):
+            for also in (i, (i + 5) % len(w)):
+                docs.append((at := at + 1, " ".join([FILLER, *["changed" if j in (i, also) else x for j, x in enumerate(w)], FILLER])))
+    other = [(1000, " ".join([FILLER, *["changed" if j % 3 == 0 else x for j, x in enumerate(words[0])], FILLER])), (1001, FILLER)]
+    d, i = spark.createDataFrame(docs + other, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [r["doc_id"] for r in D.clean(d, i).orderBy("doc_id").collect()] == [1000, 1001]
+    assert {r["doc_id"] for r in D.leaks(d, i, edits=D.EDITS).collect()} == {n for n, _ in docs}
