@@ -1,6 +1,6 @@
 """The registered queries of the package and their SQL.
 
-The operators without SQL (3, 6 and 8: an automaton, trained models, a graph) are tested against brute force in ``tests/llm``.
+The operators without SQL (3, 6, 8, 12 and 13: an automaton, trained models, graphs, eigenvectors) are tested against brute force in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import chat, decontaminate, licenses, ngram_join, packing, quality, token_counts, topk, url_filter, warc
+from cohortry.llm import chat, decontaminate, fim, licenses, neardup, ngram_join, packing, quality, token_counts, topk, url_filter, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_ngram_jaccard_join": _over(ngram_join.jaccard_classes, "documents"),
         "op9_url_filter": _over(url_filter.judge_urls, "pages"),
         "op10_license_scan": _over(licenses.license_hits, "documents"),
+        "op11_fill_in_middle": _over(fim.fim_digests, "documents"),
+        "op12_whitening": _over(whitening.whitened_components, "embeddings"),
+        "op13_embedding_near_dedup": _over(neardup.near_duplicates, "embeddings"),
     }
 
 
@@ -42,4 +45,5 @@ def llm_oracle() -> dict[str, str]:
         "op7_packing": packing.SQL,
         "op9_url_filter": url_filter.SQL,
         "op10_license_scan": licenses.SQL,
+        "op11_fill_in_middle": fim.SQL,
     }
