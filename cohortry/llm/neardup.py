@@ -250,10 +250,10 @@ def _unit(table: pa.Table, width: int, threshold: float) -> pa.Table:
 
 def _links(reps: DataFrame, index: MultiIndex, width: int, threshold: float) -> DataFrame:
     """``node, root, links`` of blocks: a vector's links there, and the smallest node it hangs together with there."""
-    spark = reps.sparkSession
+    spark, kind = reps.sparkSession, dict(reps.dtypes)["vector"]
     placed = keep(
         reps.select("node", "copies", "vector").mapInArrow(
-            _visits(share(spark, index), width), "node long, copies long, vector array<double>, home long, visits array<long>"
+            _visits(share(spark, index), width), f"node long, copies long, vector {kind}, home long, visits array<long>"
         )
     )
     per_cell = placed.select("home", F.explode("visits").alias("cell")).groupBy("cell").agg(
@@ -300,12 +300,13 @@ def near_duplicates(
     id are kept or not together within a component. Other columns are not read. An empty table gives an empty result.
     """
     id_, vector = F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")
-    sought = F.when(is_finite(vector), F.transform(vector, lambda x: x.cast("double")))
+    element = "float" if dict(rows.dtypes)[vector_col] == "array<float>" else "double"  # single precision moves in half the bytes
+    sought = F.when(is_finite(vector), F.transform(vector, lambda x: x.cast(element)))
     read = rows.select(id_.alias("vec_id"), sought.alias("vector"))
     some = read.filter("vector is not null")
     width = some.agg(F.max(F.size("vector"))).first()[0] or 0
     kind = some.schema["vec_id"].dataType.simpleString()
-    sketched = keep(some.mapInArrow(_digests(width), f"vec_id {kind}, vector array<double>, digest binary"))
+    sketched = keep(some.mapInArrow(_digests(width), f"vec_id {kind}, vector array<{element}>, digest binary"))
     reps = keep(
         sketched.filter("digest is not null")
         .groupBy("digest")
