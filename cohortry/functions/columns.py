@@ -26,20 +26,16 @@ def whole_days(start: Column, end: Column) -> Column:
     return days - (end < start + F.make_dt_interval(days)).cast("int")
 
 
-def most_frequent(value: str | Column) -> Column:
-    """Aggregate: most frequent value, nulls ignored, smallest value on a tie, null when there is none."""
-    return F.mode(value, True)
+def most_counted(value: str | Column, rows: str) -> Column:
+    """Aggregate over counted values: the one with the most ``rows``, nulls ignored, smallest value on a tie, null when there is none."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.min_by(value, F.when(value.isNotNull(), F.struct(-F.col(rows), value)))
 
 
 def on_grid(value: Column) -> Column:
     return F.round(value, GRID_DECIMALS)
 
 
-def first_known(value: str, *order: str) -> Column:
-    """Aggregate: the first non-null value in the given order."""
-    return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
-
-
 def significance_mark(p: Column) -> Column:
     level, mark = SIGNIFICANCE_MARKS[0]
     chain = F.when(p < level, mark)

@@ -23,7 +23,7 @@ from cohortry.functions.tails import (
     studentized_range_critical_of,
     studentized_range_tail_of,
 )
-from cohortry.operators.ranks import average_rank, exact_quantiles, per_level, value_positions
+from cohortry.operators.ranks import average_rank, beside, exact_quantiles, numeric_limits, range_of, running_totals
 from cohortry.operators.summaries import restrict_to_top
 
 
@@ -91,7 +91,7 @@ def levene(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFra
     """Homogeneity of variance: one-way analysis of the distances from the exact group medians."""
     known = df.dropna(subset=[group, value]).select(group, value)
     medians = exact_quantiles(known, [group], value, {"median": 0.5}).select(group, "median")
-    spread = known.join(per_level(medians, known, [group]), group).select(group, F.abs(F.col(value) - F.col("median")).alias("spread"))
+    spread = beside(known, medians, [group]).select(group, F.abs(F.col(value) - F.col("median")).alias("spread"))
     return one_way(spread, group, "spread").select(
         F.col("f").alias("w"), "df_between", "df_within", "p", (F.col("p") > ALPHA).alias("homogeneous")
     )
@@ -242,15 +242,16 @@ def two_way(df: DataFrame, a: str, b: str, value: str = "avg_order_value") -> Da
 def kruskal(df: DataFrame, group: str, value: str = "avg_order_value") -> DataFrame:
     """Rank test of equal distributions, corrected for ties.
 
-    The values are counted per (value, group), so the ranks of a value need only the counts of the values below it.
+    The rows are counted once, per (value, group); the counts per value, from which ranks follow, are sums of these.
     """
     known = df.dropna(subset=[group, value]).select(group, value)
-    positions = value_positions(known, [], value)
+    limits = numeric_limits(known, [value])[value]
+    counted = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("m"))
+    per_value = counted.groupBy(value).agg(F.sum("m").alias("n"))
+    positions = running_totals(per_value, [], value, ["n"], range_of(F.col(value), limits))
     ranks = positions.select(value, average_rank(F.col("n_before"), F.col("n")).alias("rank"))
     by_group = (
-        known.groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("m"))
-        .join(ranks, value)
+        counted.join(ranks, value)
         .groupBy(group)
         .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("rank")).alias("rank_sum"))
         .agg(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.ranks import per_level, quantiles_of, value_positions
+from cohortry.operators.ranks import beside, exact_quantiles
 from cohortry.operators.regression import INTERCEPT
 from cohortry.operators.splits import SEED, shuffle_key
 
@@ -19,24 +19,20 @@ WHISKER = 1.5
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 interquartile ranges) and the number of outliers.
 
-    Works on the counts of distinct values; quartiles are exact, between neighbouring values by interpolation.
+    Quartiles are exact, between neighbouring values by interpolation. Rows are put in order near a quartile only; the rest is
+    one aggregation that combines before its shuffle. Null keys and values take no part.
     """
     keys = list(keys)
-    placed = value_positions(df.select(*keys, value), keys, value)
-    quartiles = quantiles_of(placed, keys, value, QUARTILES).drop("n")
-    if keys:
-        with_quartiles = placed.join(per_level(quartiles, df, keys), keys)
-    else:
-        row = quartiles.select(F.struct(*QUARTILES)).scalar()
-        with_quartiles = placed.select("*", *[row[q].alias(q) for q in QUARTILES])
+    quartiles = exact_quantiles(df, keys, value, QUARTILES)
+    known = beside(df.dropna(subset=[*keys, value]).select(*keys, value), quartiles.drop("n"), keys)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return with_quartiles.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
+    return known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.max(q).alias(q) for q in QUARTILES],
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"),
+        F.count_if(~inside).alias("outliers"),
     )
 
 

@@ -361,16 +361,19 @@ def class_report(confused: DataFrame) -> DataFrame:
     )
 
 
-def curve_counts(scored: DataFrame, score: str = "score", label: str = LABEL, keys: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives at each distinct score and above it, from the highest score down."""
+def curve_counts(
+    scored: DataFrame, score: str = "score", label: str = LABEL, keys: Sequence[str] = (), following: bool = False
+) -> DataFrame:
+    """Positives and negatives at each distinct score and above it, from the highest score down; with ``following`` also those at the
+    next lower score (``pos_next``, ``neg_next``, null for the last)."""
     keys = list(keys)
     known = scored.dropna(subset=[score, label]).withColumn("_down", -F.col(score).cast("double"))
     limits = numeric_limits(known, ["_down"])["_down"]
     counts = known.groupBy(*keys, "_down").agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg")
     )
-    totals = running_totals(counts, keys, "_down", ["pos", "neg"], range_of(F.col("_down"), limits))
-    return totals.withColumn("threshold", -F.col("_down")).drop("_down")
+    totals = running_totals(counts, keys, "_down", ["pos", "neg"], range_of(F.col("_down"), limits), following)
+    return totals.withColumn("threshold", -F.col("_down")).drop("_down", "_down_next")
 
 
 def _here(name: str) -> Column:
@@ -390,6 +393,23 @@ def roc_curve(counts: DataFrame) -> DataFrame:
     return origin.unionByName(points)
 
 
+def roc_polyline(counts: DataFrame, straight: bool = False) -> DataFrame:
+    """The curve without points that no line needs, from counts with the ``following`` ones. Areas and the best threshold stay.
+
+    A point goes if the step to the next point repeats the step to it, so that the runs of single rows become one line; the highest and
+    the lowest score stay. With ``straight`` every point goes that lies on the line between its neighbours, whatever the length
+    of the steps, and only the lowest score is sure to stay.
+    """
+    last = F.col("pos_next").isNull()
+    if straight:
+        wide = {c: F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "pos_next", "neg_next")}
+        corner = last | (wide["pos"] * wide["neg_next"] != wide["neg"] * wide["pos_next"])
+    else:
+        first = F.col("pos_before") + F.col("neg_before") == 0
+        corner = first | last | (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
+    return roc_curve(counts.filter(corner))
+
+
 def roc_auc(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by trapezoids."""
     step = F.col("neg") * (F.col("pos_before") + F.col("pos") / 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import UNKNOWN, first_known, most_frequent, on_grid, whole_days
+from cohortry.functions.columns import UNKNOWN, most_counted, on_grid, whole_days
 from cohortry.operators.ranks import exact_quantiles
 from cohortry.sources.tables import Tables
 
@@ -28,16 +28,17 @@ FEATURE_COLUMNS = [
 ]
 
 
-def _item_sums() -> list[Column]:
-    return [
-        F.sum("price").alias("total_price"),
-        F.sum("freight_value").alias("total_freight"),
-        F.count("order_item_id").alias("item_count"),
-    ]
+def _usual(value: str, rows: str, name: str) -> Column:
+    return F.coalesce(most_counted(value, rows), F.lit(UNKNOWN)).alias(name)
+
 
+def _mean(of: str) -> Column:
+    """Mean of what was folded to a sum and a count before."""
+    return F.try_divide(F.sum(f"_{of}_sum"), F.sum(f"_{of}_n"))
 
-def _usual(value: str, name: str) -> Column:
-    return F.coalesce(most_frequent(value), F.lit(UNKNOWN)).alias(name)
+
+def _folded(*names: str) -> list[Column]:
+    return [c for n in names for c in (F.sum(n).alias(f"_{n}_sum"), F.count(n).alias(f"_{n}_n"))]
 
 
 def delivered(orders: DataFrame) -> DataFrame:
@@ -46,7 +47,9 @@ def delivered(orders: DataFrame) -> DataFrame:
 
 def order_summary(items: DataFrame) -> DataFrame:
     """Per order: price sum, freight sum and number of items."""
-    return items.groupBy("order_id").agg(*_item_sums())
+    return items.groupBy("order_id").agg(
+        F.sum("price").alias("total_price"), F.sum("freight_value").alias("total_freight"), F.count("order_item_id").alias("item_count")
+    )
 
 
 def order_review(reviews: DataFrame) -> DataFrame:
@@ -55,11 +58,17 @@ def order_review(reviews: DataFrame) -> DataFrame:
 
 
 def order_payment(payments: DataFrame) -> DataFrame:
-    """Per order: mean instalments, value paid and the usual payment type."""
-    return payments.groupBy("order_id").agg(
-        F.avg("payment_installments").alias("payment_installments"),
+    """Per order: mean instalments, value paid and the usual payment type.
+
+    Rows are counted by order and type first, so a mode is the largest of few counts and no aggregate holds a table of values.
+    """
+    by_type = payments.groupBy("order_id", "payment_type").agg(
+        *_folded("payment_installments"), F.sum("payment_value").alias("payment_value"), F.count(F.lit(1)).alias("_rows")
+    )
+    return by_type.groupBy("order_id").agg(
+        _mean("payment_installments").alias("payment_installments"),
         F.sum("payment_value").alias("payment_value"),
-        _usual("payment_type", "payment_type"),
+        _usual("payment_type", "_rows", "payment_type"),
     )
 
 
@@ -80,25 +89,37 @@ def items_with_category(t: Tables) -> DataFrame:
     return t.order_items.join(named_products(t), "product_id", "left")
 
 
+def order_items_folded(t: Tables) -> DataFrame:
+    """Per order: the item sums and the category most of its items belong to.
+
+    Product and category are unique keys, so both come from one fold of the items by order and category.
+    """
+    by_category = items_with_category(t).groupBy("order_id", "product_category_name_english").agg(
+        F.sum("price").alias("total_price"),
+        F.sum("freight_value").alias("total_freight"),
+        F.count("order_item_id").alias("item_count"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    return by_category.groupBy("order_id").agg(
+        F.sum("total_price").alias("total_price"),
+        F.sum("total_freight").alias("total_freight"),
+        F.sum("item_count").alias("item_count"),
+        _usual("product_category_name_english", "_rows", "top_category"),
+    )
+
+
 def order_top_category(t: Tables) -> DataFrame:
     """Per order: the category most of its items belong to."""
-    return items_with_category(t).groupBy("order_id").agg(_usual("product_category_name_english", "top_category"))
+    return order_items_folded(t).select("order_id", "top_category")
 
 
 def order_features(t: Tables) -> DataFrame:
-    """One row per delivered order with its customer, timings, money, score and payment.
-
-    Product and category are unique keys, so the item sums and the top category come from one aggregation and the
-    items are shuffled by order once.
-    """
-    item_side = items_with_category(t).groupBy("order_id").agg(
-        *_item_sums(), _usual("product_category_name_english", "top_category")
-    )
+    """One row per delivered order with its customer, timings, money, score and payment."""
     customers = t.customers.filter(F.col("customer_unique_id").isNotNull())
     return (
         delivered(t.orders)
         .join(customers, "customer_id", "left")
-        .join(item_side, "order_id", "left")
+        .join(order_items_folded(t), "order_id", "left")
         .join(order_review(t.order_reviews), "order_id", "left")
         .join(order_payment(t.order_payments).drop("payment_value"), "order_id", "left")
         .withColumn(
@@ -112,25 +133,46 @@ def order_features(t: Tables) -> DataFrame:
     )
 
 
+AVERAGED = ["delay_days", "freight_ratio", "review_score", "payment_installments", "total_price", "item_count"]
+CATEGORY, PAYMENT = 0, 1
+
+
 def customer_rollup(orders: DataFrame) -> DataFrame:
-    """Fold order features into customers. Every aggregate combines before the shuffle, so a customer holding a large
-    part of all orders costs no more than any other; the two modes keep one counter per category name."""
-    rolled = (
-        orders.filter(F.col("customer_unique_id").isNotNull())
-        .groupBy("customer_unique_id")
-        .agg(
-            F.count("order_id").alias("frequency"),
-            on_grid(F.avg("delay_days")).alias("avg_delay_days"),
-            on_grid(F.avg("freight_ratio")).alias("avg_freight_ratio"),
-            on_grid(F.avg("review_score")).alias("avg_review_score"),
-            on_grid(F.avg("payment_installments")).alias("avg_payment_installments"),
-            on_grid(F.avg("total_price")).alias("avg_order_value"),
-            on_grid(F.coalesce(F.sum("total_price"), F.lit(0.0))).alias("total_spent"),
-            on_grid(F.avg("item_count")).alias("avg_item_count"),
-            _usual("top_category", "favorite_category"),
-            first_known("customer_state", "order_purchase_timestamp", "order_id").alias("state"),
-            _usual("payment_type", "preferred_payment"),
-        )
+    """Fold order features into customers, in two steps that both combine before their shuffle.
+
+    Each order stands twice, once with its category and once with its payment type, and is counted by customer and value; the sums
+    ride on the first. The second step adds the sums up and picks the value with the largest count, so neither step holds more
+    than a few numbers a group, and a customer holding a large part of all orders costs no more than any other.
+    """
+    known = orders.filter(F.col("customer_unique_id").isNotNull())
+    first_state = F.when(F.col("customer_state").isNotNull(), F.struct("order_purchase_timestamp", "order_id", "customer_state"))
+    carried = {**{c: F.col(c) for c in AVERAGED}, "order_id": F.col("order_id"), "state": first_state}
+
+    def entry(kind: int, value: str) -> Column:
+        own = [(c if kind == CATEGORY else F.lit(None).cast(t)).alias(n) for (n, c), t in zip(carried.items(), kinds)]
+        return F.struct(F.lit(kind).alias("_kind"), F.col(value).alias("_value"), *own)
+
+    kinds = [f.dataType for f in known.select(*[c.alias(n) for n, c in carried.items()]).schema.fields]
+    stacked = known.select("customer_unique_id", F.inline(F.array(entry(CATEGORY, "top_category"), entry(PAYMENT, "payment_type"))))
+    counted = stacked.groupBy("customer_unique_id", "_kind", "_value").agg(
+        *_folded(*AVERAGED), F.count("order_id").alias("frequency"), F.min("state").alias("state"), F.count(F.lit(1)).alias("_rows")
+    )
+
+    def usual(kind: int, name: str) -> Column:
+        return F.coalesce(most_counted(F.when(F.col("_kind") == kind, F.col("_value")), "_rows"), F.lit(UNKNOWN)).alias(name)
+
+    rolled = counted.groupBy("customer_unique_id").agg(
+        F.sum("frequency").alias("frequency"),
+        on_grid(_mean("delay_days")).alias("avg_delay_days"),
+        on_grid(_mean("freight_ratio")).alias("avg_freight_ratio"),
+        on_grid(_mean("review_score")).alias("avg_review_score"),
+        on_grid(_mean("payment_installments")).alias("avg_payment_installments"),
+        on_grid(_mean("total_price")).alias("avg_order_value"),
+        on_grid(F.coalesce(F.sum("_total_price_sum"), F.lit(0.0))).alias("total_spent"),
+        on_grid(_mean("item_count")).alias("avg_item_count"),
+        usual(CATEGORY, "favorite_category"),
+        F.min("state")["customer_state"].alias("state"),
+        usual(PAYMENT, "preferred_payment"),
     )
     return rolled.withColumn("is_repeat", (F.col("frequency") > 1).cast("int"))
 

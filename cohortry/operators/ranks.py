@@ -1,4 +1,4 @@
-"""Order statistics without a one-task sort: running totals, exact quantiles, ranks and positions.
+"""Order statistics without a one-task sort: running totals, exact quantiles by selection, ranks and positions.
 
 A window over a whole table would pull it into one task. Instead the ordering column is cut into ranges whose limits
 are plain numbers found beforehand, so every branch of a plan, every retry and every lost executor agrees on them.
@@ -10,17 +10,20 @@ rows is a single row by then.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortry.session import range_count
+from cohortry.sources.scratch import keep
 
 
-def numeric_limits(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    """Range limits for numeric columns, one pass for all of them."""
-    width = range_count(df.sparkSession, df.count())
+def numeric_limits(df: DataFrame, columns: Sequence[str], width: int | None = None) -> dict[str, list[float]]:
+    """Range limits for numeric columns, one pass for all of them; by default as many ranges as the rows call for."""
+    width = width or range_count(df.sparkSession, df.count())
     steps = [i / width for i in range(1, width)]
     found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(
         list(columns), steps, 1.0 / (4 * width)
@@ -95,20 +98,22 @@ def running_totals(
     """Add ``<measure>_before`` (sum over smaller rows of the same keys) and ``<measure>_all`` (sum over all of them).
 
     ``counts`` must hold distinct (keys, order) rows; ``bucket`` must grow with ``order``. With ``following``, the
-    next larger value of the same keys is added as ``<order>_next``, null for the largest.
+    next larger value of the same keys is added as ``<order>_next`` and its measures as ``<measure>_next``, null for the largest.
+    The row after the last one of a range is the first one of the next range that has any, so each range also sends its first row.
     """
     keys = list(keys)
     placed = counts.withColumn("_range", bucket)
     by_range = Window.partitionBy(*keys).orderBy("_range")
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
+    row = F.struct(F.col(order).alias("order"), *measures)
     starts = (
         placed.groupBy(*keys, "_range")
-        .agg(F.min(order).alias("_first"), *[F.sum(m).alias(m) for m in measures])
+        .agg(*([F.min(row).alias("_first")] if following else []), *[F.sum(m).alias(m) for m in measures])
         .select(
             *keys,
             "_range",
-            F.lead("_first").over(by_range).alias("_next_first"),
+            *([F.lead("_first").over(by_range).alias("_next_first")] if following else []),
             *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_start") for m in measures],
             *[F.sum(m).over(everything).alias(f"{m}_all") for m in measures],
         )
@@ -118,13 +123,14 @@ def running_totals(
     local = placed.select(
         "*",
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_in") for m in measures],
-        *([F.lead(order).over(in_order).alias("_next")] if following else []),
+        *([F.lead(row).over(in_order).alias("_next")] if following else []),
     )
+    after = F.coalesce("_next", "_next_first") if following else None
     return local.join(starts, [*keys, "_range"]).select(
         *counts.columns,
         *[(F.col(f"_{m}_start") + F.col(f"_{m}_in")).alias(f"{m}_before") for m in measures],
         *[f"{m}_all" for m in measures],
-        *([F.coalesce("_next", "_next_first").alias(f"{order}_next")] if following else []),
+        *([after["order"].alias(f"{order}_next"), *[after[m].alias(f"{m}_next") for m in measures]] if following else []),
     )
 
 
@@ -142,37 +148,73 @@ def average_rank(before: Column, ties: Column) -> Column:
     return before + (ties + 1) / 2
 
 
-def quantiles_of(positions: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles, interpolating between neighbours, from :func:`value_positions`. One row per key."""
+def beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their group's row in a kept table; without keys, of its only row.
 
-    def at(index: Column) -> Column:
-        return F.max(F.when((F.col("n_before") <= index) & (index < F.col("n_before") + F.col("n")), F.col(value)))
+    The files tell Spark how large the table is, so few groups are broadcast and many are joined by a shuffle, without a hint.
+    """
+    if keys:
+        return rows.join(groups, list(keys))
+    only = groups.select(F.struct("*")).scalar()
+    return rows.select("*", *[only[c].alias(c) for c in groups.columns])
 
-    aggregates = [F.max("n_all").alias("n")]
-    for name, share in shares.items():
-        place = F.lit(share) * (F.col("n_all") - 1)
-        aggregates += [at(F.floor(place)).alias(f"_{name}_lo"), at(F.ceil(place)).alias(f"_{name}_hi")]
-    rows = positions.groupBy(*keys).agg(*aggregates)
 
-    def between(name: str, share: float) -> Column:
-        place = F.lit(share) * (F.col("n") - 1)
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        return (low + (high - low) * (place - F.floor(place))).alias(name)
+ACCURACY = 10_000  # a bracket reaches over about 4 of so many rows of its group
 
-    return rows.select(*keys, "n", *[between(name, share) for name, share in shares.items()])
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group, interpolated between neighbours, by selection: ``keys, n`` and a column a share. Nulls take no part.
 
-FEW_LEVELS = 10_000
+    A sketch brackets each quantile between two values of the group; one more pass counts the rows below and inside. Only the values
+    inside a bracket, about 4 rows in ``ACCURACY``, are counted by value, shuffled and put in order. A bracket that does not hold its
+    quantile's place, whatever the reason, is opened to the whole group, so the result never rests on the sketch. Per group
+    the plan moves a few numbers; the result is kept, one row a group. Without keys an empty table gives one row of nulls.
+    """
+    keys, names = list(keys), list(shares)
+    known = df.dropna(subset=[*keys, value]).select(*keys, value)
+    steps = [x for s in shares.values() for x in (max(0.0, s - 2 / ACCURACY), min(1.0, s + 2 / ACCURACY))]
+    sketch = keep(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, steps, ACCURACY).alias("_q")))
+    x, lows, highs = F.col(value), [F.get("_q", F.lit(2 * i)) for i in range(len(names))], [F.get("_q", F.lit(2 * i + 1)) for i in range(len(names))]
+    counts = beside(known, sketch, keys).groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[F.max(low).alias(f"_low{i}") for i, low in enumerate(lows)],
+        *[F.max(high).alias(f"_high{i}") for i, high in enumerate(highs)],
+        *[F.count_if(x < low).alias(f"_below{i}") for i, low in enumerate(lows)],
+        *[F.count_if(x <= high).alias(f"_through{i}") for i, high in enumerate(highs)],
+    )
 
+    def place(i: int) -> Column:
+        return F.lit(shares[names[i]]) * (F.col("n") - 1)
 
-def per_level(summary: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A table with one row per level of ``rows``' keys, marked for broadcast if the levels are few.
+    def held(i: int) -> Column:
+        return (F.col(f"_below{i}") <= F.floor(place(i))) & (F.col(f"_through{i}") > F.ceil(place(i)))
 
-    The check reads distinct levels only and stops at the limit. With more levels, the join is left to shuffle.
-    """
-    levels = rows.select(*keys).distinct().limit(FEW_LEVELS + 1).count()
-    return F.broadcast(summary) if levels <= FEW_LEVELS else summary
+    brackets = keep(
+        counts.select(
+            *keys, "n",
+            *[F.when(held(i), F.col(f"_{end}{i}")).alias(f"_{end}{i}") for i in range(len(names)) for end in ("low", "high")],
+            *[F.when(held(i), F.col(f"_below{i}")).otherwise(F.lit(0)).alias(f"_below{i}") for i in range(len(names))],
+        )
+    )
+    inside = [F.coalesce(x >= F.col(f"_low{i}"), F.lit(True)) & F.coalesce(x <= F.col(f"_high{i}"), F.lit(True)) for i in range(len(names))]
+    entry = [F.when(c, F.struct(F.lit(i).alias("_share"), F.col(f"_below{i}").alias("_below"))) for i, c in enumerate(inside)]
+    bracketed = beside(known, brackets, keys).filter(reduce(or_, inside)).select(*keys, value, "n", F.inline(F.array_compact(F.array(*entry))))
+    counted = bracketed.groupBy(*keys, "_share", value).agg(F.count(F.lit(1)).alias("_rows"), F.max("n").alias("n"), F.max("_below").alias("_below"))
+    earlier = Window.partitionBy(*keys, "_share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+
+    def at(i: int, index: Column) -> Column:
+        here = (F.col("_share") == i) & (F.col("_before") <= index) & (index < F.col("_before") + F.col("_rows"))
+        return F.max(F.when(here, x))
+
+    rows = placed.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[at(i, F.floor(place(i))).alias(f"_lo{i}") for i in range(len(names))],
+        *[at(i, F.ceil(place(i))).alias(f"_hi{i}") for i in range(len(names))],
+    )
 
+    def between(i: int) -> Column:
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return (low + (high - low) * (place(i) - F.floor(place(i)))).alias(names[i])
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    return quantiles_of(value_positions(df, keys, value), keys, value, shares)
+    return keep(rows.select(*keys, "n", *[between(i) for i in range(len(names))]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortry.operators.ranks import key_limits, range_of
-from cohortry.session import shuffle_width
+from cohortry.session import range_count
 
 TEST_SHARE_PERCENT = 30
 SEED = 42
@@ -79,7 +79,7 @@ def holdout(df: DataFrame, key: str = "customer_unique_id", label: str | None =
     """Add ``is_test``: exactly ceil(30 %) of the rows, with the classes of ``label`` in proportion if given."""
     hashed = df.withColumn("_hash", shuffle_key(key, seed))
     classes = [label] if label else []
-    placed = positions(hashed, classes, ["_hash", key], _hash_range(F.col("_hash"), shuffle_width(df.sparkSession)))
+    placed = positions(hashed, classes, ["_hash", key], _hash_range(F.col("_hash"), range_count(df.sparkSession, df.count())))
     if label is None:
         quota = F.ceil(F.col("class_n") * TEST_SHARE_PERCENT / 100)
         return placed.select(*df.columns, (F.col("position") <= quota).cast("int").alias("is_test"))
@@ -89,6 +89,39 @@ def holdout(df: DataFrame, key: str = "customer_unique_id", label: str | None =
     )
 
 
+def sampled_holdout(
+    df: DataFrame, key: str = "customer_unique_id", label: str | None = None, percent: float | dict = TEST_SHARE_PERCENT, seed: int = SEED
+) -> DataFrame:
+    """Add ``is_test`` in one pass, without order or shuffle: each row is drawn by the hash of its key alone.
+
+    ``percent`` is one share, or one for each class of ``label`` (classes not named, and null, are never drawn). A share p of a class of n
+    rows is met up to a standard deviation of sqrt(p (1 - p) / n), see :func:`sample_shares`; where it must be exact, use
+    :func:`holdout`. Equal keys are drawn alike; a null key is never drawn.
+    """
+    draw = F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("bigint")
+
+    def limit(share: float) -> Column:
+        return F.lit(round(share * (1 << 32) / 100))
+
+    if isinstance(percent, dict):
+        bound = F.lit(0)
+        for level, share in percent.items():
+            bound = F.when(F.col(label) == level, limit(share)).otherwise(bound)
+    else:
+        bound = limit(percent)
+    return df.withColumn("is_test", (F.col(key).isNotNull() & (draw < bound)).cast("int"))
+
+
+def sample_shares(marked: DataFrame, label: str) -> DataFrame:
+    """Per class of a sampled hold-out: rows, held-out rows, their share in percent and its standard deviation."""
+    p = F.col("test_n") / F.col("n")
+    return (
+        marked.groupBy(label)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("is_test").alias("test_n"))
+        .select(label, "n", "test_n", (100 * p).alias("percent"), (100 * F.sqrt(p * (1 - p) / F.col("n"))).alias("percent_sd"))
+    )
+
+
 def stratified_folds(df: DataFrame, label: str, key: str = "customer_unique_id", folds: int = FOLDS) -> DataFrame:
     """Add ``fold``: consecutive blocks in key order within each class, sized as a deal of the sorted classes.
 

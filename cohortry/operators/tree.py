@@ -1,10 +1,14 @@
 """A depth-limited classification tree with exact split points, grown level by level.
 
-Each level is one aggregation: the training rows are counted per (node, feature, distinct value, class), the counts
-are accumulated in value order by range, every gap between neighbouring values is judged, and the best gap of each
-node comes back to the driver, one row per node of the level. Rows find their node through plain comparisons with the
+Each level first counts its training rows per (node, feature, range of values, class), a small table. The gaps between ranges are
+judged on it exactly, and for each range an upper bound says how good a gap inside it could be. Rows are counted by value, shuffled and
+put in order only in ranges whose bound reaches the best gap known for their node; every gap in them is judged, and the best gap of
+each node comes back to the driver, one row per node of the level. Rows find their node through plain comparisons with the
 splits chosen so far, so nothing is rewritten between levels.
 
+The bound: purity is a convex function of the class counts on the left, and these move within the box spanned by the rows before the range
+and those in it, so its largest value is at one of the box's four corners.
+
 Rows with missing predictors are trained on and predicted like any others. At each gap they are tried on either side, and apart from all
 known values; the better place is the split's. Where a node has no missing values of its feature, later ones go to the larger side.
 """
@@ -17,14 +21,18 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortry.operators.classify import LABEL, PREDICTORS
-from cohortry.operators.ranks import numeric_limits, running_totals, stack, stacked_range
+from cohortry.operators.ranks import numeric_limits, stack, stacked_range
+from cohortry.sources.scratch import keep
 
 MAX_DEPTH = 4
 MIN_SPLIT = 100
 MIN_LEAF = 50
 ROOT = 1
+LEAST_RANGES, MOST_RANGES = 64, 4096  # of a feature; the square root of the rows in between
+ROUNDING = 1e-9  # a bound may fall short of a purity computed in another order by this part
 
 
 @dataclass
@@ -79,10 +87,20 @@ class Tree:
         return [g / total if total else 0.0 for g in gains]
 
 
-def _best_splits(totals: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """The best split of each node: largest weighted purity of both sides; then the first feature, the lowest value, and missing
-    values on the right before the left. ``sizes`` are the nodes' counts by class, known and missing values together."""
-    of_node = [F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c[i])])[F.col("node")] for i in (0, 1)]
+def _purity(counts: Sequence[Column], weights: tuple[float, float]) -> Column:
+    """Weighted purity of one side by its class counts; 0 for an empty side."""
+    w0, w1 = counts[0] * weights[0], counts[1] * weights[1]
+    return F.coalesce(F.try_divide(w0 * w0 + w1 * w1, w0 + w1), F.lit(0.0))
+
+
+def _of_node(sizes: dict[int, tuple[int, int]]) -> list[Column]:
+    """The counts by class of a row's node, known and missing values together."""
+    return [F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c[i])])[F.col("node")] for i in (0, 1)]
+
+
+def _sides(weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> Column:
+    """The admissible splits at a gap, as an array: missing values on the right, on the left, or apart from all known ones."""
+    of_node = _of_node(sizes)
     known = [F.col(f"n{i}_all") for i in (0, 1)]
     below = [F.col(f"n{i}_before") + F.col(f"n{i}") for i in (0, 1)]
     missing = [t - k for t, k in zip(of_node, known)]
@@ -91,32 +109,103 @@ def _best_splits(totals: DataFrame, weights: tuple[float, float], min_leaf: int,
     middle = F.col("value") / 2 + F.col("value_next") / 2
     larger_left = 2 * (below[0] + below[1]) > of_node[0] + of_node[1]
 
-    def split(option: int, cut: Column, left: list[Column], missing_left: Column) -> Column:
-        return F.struct(
-            F.lit(option).alias("option"), cut.alias("cut"), left[0].alias("left0"), left[1].alias("left1"),
-            (of_node[0] - left[0]).alias("right0"), (of_node[1] - left[1]).alias("right1"), missing_left.alias("missing_left"),
+    def split(option: int, when: Column, cut: Column, left: list[Column], missing_left: Column) -> Column:
+        right = [t - c for t, c in zip(of_node, left)]
+        fits = when & (left[0] + left[1] >= min_leaf) & (right[0] + right[1] >= min_leaf)
+        return F.when(
+            fits,
+            F.struct(
+                F.lit(option).alias("option"), cut.alias("cut"), left[0].alias("left0"), left[1].alias("left1"),
+                right[0].alias("right0"), right[1].alias("right1"), missing_left.alias("missing_left"),
+                (_purity(left, weights) + _purity(right, weights)).alias("purity"),
+            ),
         )
 
-    options = F.array_compact(
+    return F.array_compact(
         F.array(
-            F.when(gap, split(0, middle, below, F.when(some, F.lit(False)).otherwise(larger_left))),
-            F.when(gap & some, split(1, middle, [b + m for b, m in zip(below, missing)], F.lit(True))),
-            F.when(~gap & some, split(2, F.lit(float("inf")), known, F.lit(False))),
+            split(0, gap, middle, below, F.when(some, F.lit(False)).otherwise(larger_left)),
+            split(1, gap & some, middle, [b + m for b, m in zip(below, missing)], F.lit(True)),
+            split(2, ~gap & some, F.lit(float("inf")), known, F.lit(False)),
         )
     )
-    sides = totals.select("node", "feature", "value", F.inline(options)).filter(
-        (F.col("left0") + F.col("left1") >= min_leaf) & (F.col("right0") + F.col("right1") >= min_leaf)
-    )
 
-    def purity(side: str) -> Column:
-        w0, w1 = F.col(f"{side}0") * weights[0], F.col(f"{side}1") * weights[1]
-        return (w0 * w0 + w1 * w1) / (w0 + w1)
 
+def _best_splits(gaps: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """The best split of each node: largest weighted purity of both sides; then the first feature, the lowest value, and missing
+    values on the right before the left. ``sizes`` are the nodes' counts by class, known and missing values together."""
     best = F.max_by(
         F.struct("feature", "cut", "missing_left", "left0", "left1", "right0", "right1"),
-        F.struct(purity("left") + purity("right"), -F.col("feature"), -F.col("value"), -F.col("option")),
+        F.struct("purity", -F.col("feature"), -F.col("value"), -F.col("option")),
+    )
+    return (
+        gaps.select("node", "feature", "value", F.inline(_sides(weights, min_leaf, sizes)))
+        .groupBy("node")
+        .agg(best.alias("best"))
+        .select("node", "best.*")
     )
-    return sides.groupBy("node").agg(best.alias("best")).select("node", "best.*")
+
+
+CLASSES = ["n0", "n1"]
+
+
+def _class_counts(label: str) -> list[Column]:
+    return [F.count_if(F.col(label) == i).alias(c) for i, c in enumerate(CLASSES)]
+
+
+def ranged_counts(placed: DataFrame, label: str) -> DataFrame:
+    """Per (node, feature, range): class counts, smallest and largest value; counts before the range and in all, and the next range's
+    smallest value as ``value_next``, so a row is also the gap behind the range's largest value. One row a range."""
+    whole = Window.partitionBy("node", "feature")
+    order = whole.orderBy("_range")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.groupBy("node", "feature", "_range")
+        .agg(*_class_counts(label), F.min("value").alias("least"), F.max("value").alias("value"))
+        .select(
+            "*",
+            F.lead("least").over(order).alias("value_next"),
+            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in CLASSES],
+            *[F.sum(c).over(whole).alias(f"{c}_all") for c in CLASSES],
+        )
+    )
+
+
+def open_ranges(ranges: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """The ranges in which a gap could be as good as the best gap between ranges of the same node, with their counts before and in all."""
+    of_node = _of_node(sizes)
+    missing = [t - F.col(f"{c}_all") for t, c in zip(of_node, CLASSES)]
+    before = [F.col(f"{c}_before") for c in CLASSES]
+    after = [b + F.col(c) for b, c in zip(before, CLASSES)]
+
+    def purity(left: list[Column]) -> Column:
+        return _purity(left, weights) + _purity([t - c for t, c in zip(of_node, left)], weights)
+
+    corners = [[x, y] for x in (before[0], after[0]) for y in (before[1], after[1])]
+    bound = F.greatest(*[purity(c) for c in corners], *[purity([x + m for x, m in zip(c, missing)]) for c in corners])
+    most_left = after[0] + after[1] + missing[0] + missing[1]
+    most_right = of_node[0] + of_node[1] - before[0] - before[1]
+    known = F.array_max(F.transform(_sides(weights, min_leaf, sizes), lambda s: s["purity"]))
+    best = F.max(known).over(Window.partitionBy("node"))
+    return (
+        ranges.select("*", bound.alias("_bound"), best.alias("_best"))
+        .filter((F.col("least") < F.col("value")) & (most_left >= min_leaf) & (most_right >= min_leaf))
+        .filter(F.col("_best").isNull() | (F.col("_bound") >= F.col("_best") * (1 - ROUNDING)))
+        .select("node", "feature", "_range", *[F.col(f"{c}_{x}") for c in CLASSES for x in ("before", "all")])
+    )
+
+
+def inner_gaps(placed: DataFrame, opened: DataFrame, label: str) -> DataFrame:
+    """The gaps between neighbouring values inside the open ranges. Only their rows are shuffled, counted by value."""
+    place = ["node", "feature", "_range"]
+    order = Window.partitionBy(*place).orderBy("value")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    totals = [f"{c}_{x}" for c in CLASSES for x in ("before", "all")]
+    counted = placed.join(opened, place).groupBy(*place, "value").agg(*_class_counts(label), *[F.max(t).alias(t) for t in totals])
+    return counted.select(
+        *place, "value", F.lead("value").over(order).alias("value_next"), *CLASSES,
+        *[(F.col(f"{c}_before") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(f"{c}_before") for c in CLASSES],
+        *[f"{c}_all" for c in CLASSES],
+    ).filter("value_next is not null")
 
 
 def grow_tree(
@@ -129,9 +218,10 @@ def grow_tree(
 ) -> Tree:
     """Grow a tree with balanced class weights on the training rows with a label (gini criterion)."""
     rows = train.dropna(subset=[label])
-    limits = numeric_limits(rows, predictors)
     sizes = rows.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
     n0, n1 = sizes["n0"], sizes["n1"]
+    width = min(MOST_RANGES, max(LEAST_RANGES, math.isqrt(n0 + n1)))
+    limits = numeric_limits(rows, predictors, width)
     tree = Tree(tuple(predictors), ((n0 + n1) / (2 * n0) if n0 else 0.0, (n0 + n1) / (2 * n1) if n1 else 0.0))
     tree.nodes[ROOT] = Node(ROOT, (n0, n1))
     for depth in range(max_depth):
@@ -142,15 +232,11 @@ def grow_tree(
             break
         placed = stack(
             rows.withColumn("node", tree.node_of()).filter(F.col("node").isin(open_nodes)), predictors, ["node", label]
-        )
-        counts = placed.groupBy("node", "feature", "value").agg(
-            F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")
-        )
-        totals = running_totals(
-            counts, ["node", "feature"], "value", ["n0", "n1"], stacked_range(limits, predictors), following=True
-        )
+        ).withColumn("_range", stacked_range(limits, predictors))
         sizes = {n: tree.nodes[n].counts for n in open_nodes}
-        for best in _best_splits(totals, tree.weights, min_leaf, sizes).collect():
+        ranges = keep(ranged_counts(placed, label))
+        gaps = ranges.drop("least").unionByName(inner_gaps(placed, open_ranges(ranges, tree.weights, min_leaf, sizes), label))
+        for best in _best_splits(gaps, tree.weights, min_leaf, sizes).collect():
             node = tree.nodes[best["node"]]
             node.feature, node.threshold, node.missing_left = best["feature"], best["cut"], best["missing_left"]
             left, right = 2 * node.number, 2 * node.number + 1

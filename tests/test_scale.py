@@ -105,15 +105,21 @@ def test_values_are_counted_once_for_both_uses(spark, tmp_path):
 def test_feature_plan(tables):
     plan = features.customer_rollup(features.order_features(tables))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan and "SinglePartition" not in plan
+    assert "ObjectHashAggregate" not in plan  # no table of values inside an aggregate
 
 
-def test_levels_are_broadcast_only_when_few(spark, monkeypatch):
+def test_levels_are_broadcast_when_few_and_joined_by_shuffle_else(spark):
     df = spark.range(50).select((F.col("id") % 10).alias("g"), F.col("id").cast("double").alias("v"))
     rows = anova.levene(df, "g", "v").collect()
-    monkeypatch.setattr(ranks, "FEW_LEVELS", 3)
-    hinted = ranks.per_level(df, df, ["g"])._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in hinted.lower()
-    assert anova.levene(df, "g", "v").collect() == rows
+    medians = ranks.exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert "BroadcastHashJoin" in ranks.beside(df, medians, ["g"])._jdf.queryExecution().executedPlan().toString()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if the levels were many
+        assert "SortMergeJoin" in ranks.beside(df, medians, ["g"])._jdf.queryExecution().executedPlan().toString()
+        assert anova.levene(df, "g", "v").collect() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 class Named:
