@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,31 +28,62 @@ CORRELATED = [
 COMMON = 1000  # a value that holds more than this part of its feature's rows is common; a feature has fewer such values
 
 
-def _square(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """From one row with a column per pair to (var_x, var_y, r) rows for both orders and the diagonal."""
-    entries = [F.struct(F.lit(n).alias("var_x"), F.lit(n).alias("var_y"), F.lit(1.0).alias("r")) for n in names]
-    for a, b in combinations(names, 2):
-        for x, y in ((a, b), (b, a)):
-            entries.append(F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), F.col(f"{a}|{b}").alias("r")))
-    return pairs.select(F.inline(F.array(*entries)))
+def comoments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Per pair of columns, over the rows where both are known: ``x, y, n, r``. One pass for all pairs.
+
+    Sums of the columns and their products are taken per pattern of missing values, of which there are few however many rows; each
+    pair then adds up the patterns that miss neither. So a sum serves many pairs, and the aggregate stays small enough for
+    generated code. Values are taken from each column's mean, found in a pass before, which keeps the sums well conditioned; a
+    constant column is taken from its value, so that its variance is exactly 0. ``r`` is null for a constant and without rows.
+    """
+    names = list(dict.fromkeys(n for pair in pairs for n in pair))
+    number = {n: F.col(f"`{n}`").cast("double") for n in names}
+    ends = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(number.values()) for k, f in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+    centre = [ends[f"a{i}"] if ends[f"a{i}"] == ends[f"b{i}"] else ends[f"m{i}"] for i in range(len(names))]
+    at = {n: i for i, n in enumerate(names)}
+    missing = [F.when(c.isNull(), F.lit(1 << i).cast("decimal(38,0)") if i > 61 else F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(number.values())]
+    shifted = df.select(reduce(add, missing).alias("pattern"), *[(c - F.lit(centre[i] or 0.0)).alias(f"x{i}") for i, c in enumerate(number.values())])
+    products_ = sorted({(i, i) for i in range(len(names))} | {tuple(sorted((at[a], at[b]))) for a, b in pairs})
+    sums = shifted.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(len(names))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in products_],
+    )
+
+    def entry(a: str, b: str) -> Column:
+        i, j = at[a], at[b]
+        values = {"x": F.lit(a), "y": F.lit(b), "n": F.col("n"), "sx": F.col(f"s{i}"), "sy": F.col(f"s{j}"), "xx": F.col(f"p{i}_{i}"), "yy": F.col(f"p{j}_{j}")}
+        return F.struct(*[v.alias(k) for k, v in values.items()], F.col(f"p{min(i, j)}_{max(i, j)}").alias("xy"))
+
+    stacked = sums.select(F.inline(F.array(*[entry(a, b) for a, b in pairs])))  # a pattern that misses a column has no sums of it
+    both = F.col("xy").isNotNull()
+    total = stacked.groupBy("x", "y").agg(
+        F.coalesce(F.sum(F.when(both, F.col("n"))), F.lit(0)).alias("n"),
+        *[F.sum(F.when(both, F.col(c))).alias(c) for c in ("sx", "sy", "xx", "yy", "xy")],
+    )
+
+    def central(product_: str, a: str, b: str) -> Column:
+        return F.col(product_) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+
+    spread = F.sqrt(F.greatest(central("xx", "sx", "sx"), F.lit(0.0))) * F.sqrt(F.greatest(central("yy", "sy", "sy"), F.lit(0.0)))
+    return total.select("x", "y", "n", F.try_divide(central("xy", "sx", "sy"), spread).alias("r"))
+
+
+def _both_orders(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """From ``x, y, r`` of each pair to (var_x, var_y, r) rows for both orders and the diagonal."""
+    diagonal = [F.struct(F.lit(n).alias("var_x"), F.lit(n).alias("var_y"), F.lit(1.0).alias("r")) for n in names]
+    ways = [F.struct(F.col(a).alias("var_x"), F.col(b).alias("var_y"), "r") for a, b in (("x", "y"), ("y", "x"))]
+    return pairs.select(F.inline(F.array(*ways))).unionByName(pairs.sparkSession.range(1).select(F.inline(F.array(*diagonal))))
 
 
 def pearson_matrix(df: DataFrame, names: Sequence[str] = CORRELATED) -> DataFrame:
     """All pairs in one pass, each over the rows where both values are known."""
-    return _square(df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(names, 2)]), names)
+    return _both_orders(comoments(df, list(combinations(names, 2))), names)
 
 
 def pearson_target(df: DataFrame, target: str, names: Sequence[str] = CORRELATED) -> DataFrame:
     """Correlation of each feature with a target: r, number of pairs, two-sided p, mark; strongest first."""
-    others = [n for n in names if n != target]
-
-    def pair_stats(name: str) -> Column:
-        both = F.when(F.col(target).isNotNull() & F.col(name).isNotNull(), 1)
-        return F.struct(
-            F.lit(name).alias("variable"), F.corr(target, name).alias("r"), F.count(both).alias("n")
-        )
-
-    rows = df.agg(F.array(*[pair_stats(n) for n in others]).alias("rows")).select(F.inline("rows"))
+    rows = comoments(df, [(target, n) for n in names if n != target]).select(F.col("y").alias("variable"), "r", "n")
     t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
     return (
         rows.withColumn("p", F.when(F.abs("r") >= 1, F.lit(0.0)).otherwise(t_two_sided_of(t, F.col("n") - 2.0)))
@@ -127,10 +160,12 @@ def spearman_matrix(df: DataFrame, names: Sequence[str] = CORRELATED, key: str =
     scopes = null_scopes(df, names)
     ranks = feature_ranks(df, names, scopes, key)
 
-    def rho(a: str, b: str) -> Column:
-        return F.corr(_rank_name(a, b, scopes), _rank_name(b, a, scopes)).alias(f"{a}|{b}")
-
-    return _square(ranks.agg(*[rho(a, b) for a, b in combinations(names, 2)]), names)
+    pairs = {(_rank_name(a, b, scopes), _rank_name(b, a, scopes)): (a, b) for a, b in combinations(names, 2)}
+    found = comoments(ranks, list(pairs))
+    named = found.select(
+        *[F.substring_index(c, "~", 1).alias(c) for c in ("x", "y")], "r"
+    )
+    return _both_orders(named, names)
 
 
 def compare_methods(df: DataFrame, target: str = "avg_order_value", names: Sequence[str] = CORRELATED) -> DataFrame:

@@ -114,14 +114,17 @@ def order_top_category(t: Tables) -> DataFrame:
 
 
 def order_features(t: Tables) -> DataFrame:
-    """One row per delivered order with its customer, timings, money, score and payment."""
+    """One row per delivered order with its customer, timings, money, score and payment.
+
+    All joins by order come first, so tables stored by order are joined where they lie.
+    """
     customers = t.customers.filter(F.col("customer_unique_id").isNotNull())
     return (
         delivered(t.orders)
-        .join(customers, "customer_id", "left")
         .join(order_items_folded(t), "order_id", "left")
         .join(order_review(t.order_reviews), "order_id", "left")
         .join(order_payment(t.order_payments).drop("payment_value"), "order_id", "left")
+        .join(customers, "customer_id", "left")
         .withColumn(
             "delay_days",
             whole_days(F.col("order_estimated_delivery_date"), F.col("order_delivered_customer_date")),

@@ -159,6 +159,14 @@ def beside(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.select("*", *[only[c].alias(c) for c in groups.columns])
 
 
+def bracketed_rows(known: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str, shares: int) -> DataFrame:
+    """The rows inside a bracket, once for each bracket they are in. An end that is null is open."""
+    x = F.col(value)
+    inside = [F.coalesce(x >= F.col(f"_low{i}"), F.lit(True)) & F.coalesce(x <= F.col(f"_high{i}"), F.lit(True)) for i in range(shares)]
+    entry = [F.when(c, F.struct(F.lit(i).alias("_share"), F.col(f"_below{i}").alias("_below"))) for i, c in enumerate(inside)]
+    return beside(known, brackets, keys).filter(reduce(or_, inside)).select(*keys, value, "n", F.inline(F.array_compact(F.array(*entry))))
+
+
 ACCURACY = 10_000  # a bracket reaches over about 4 of so many rows of its group
 
 
@@ -196,10 +204,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict
             *[F.when(held(i), F.col(f"_below{i}")).otherwise(F.lit(0)).alias(f"_below{i}") for i in range(len(names))],
         )
     )
-    inside = [F.coalesce(x >= F.col(f"_low{i}"), F.lit(True)) & F.coalesce(x <= F.col(f"_high{i}"), F.lit(True)) for i in range(len(names))]
-    entry = [F.when(c, F.struct(F.lit(i).alias("_share"), F.col(f"_below{i}").alias("_below"))) for i, c in enumerate(inside)]
-    bracketed = beside(known, brackets, keys).filter(reduce(or_, inside)).select(*keys, value, "n", F.inline(F.array_compact(F.array(*entry))))
-    counted = bracketed.groupBy(*keys, "_share", value).agg(F.count(F.lit(1)).alias("_rows"), F.max("n").alias("n"), F.max("_below").alias("_below"))
+    near = bracketed_rows(known, brackets, keys, value, len(names))
+    counted = near.groupBy(*keys, "_share", value).agg(F.count(F.lit(1)).alias("_rows"), F.max("n").alias("n"), F.max("_below").alias("_below"))
     earlier = Window.partitionBy(*keys, "_share").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
 

@@ -31,6 +31,7 @@ MAX_DEPTH = 4
 MIN_SPLIT = 100
 MIN_LEAF = 50
 ROOT = 1
+CLASSES = ["n0", "n1"]
 LEAST_RANGES, MOST_RANGES = 64, 4096  # of a feature; the square root of the rows in between
 ROUNDING = 1e-9  # a bound may fall short of a purity computed in another order by this part
 
@@ -87,74 +88,65 @@ class Tree:
         return [g / total if total else 0.0 for g in gains]
 
 
-def _purity(counts: Sequence[Column], weights: tuple[float, float]) -> Column:
-    """Weighted purity of one side by its class counts; 0 for an empty side."""
-    w0, w1 = counts[0] * weights[0], counts[1] * weights[1]
-    return F.coalesce(F.try_divide(w0 * w0 + w1 * w1, w0 + w1), F.lit(0.0))
+def _purity(left: Sequence[str], weights: tuple[float, float]) -> str:
+    """SQL of the weighted purity of both sides by the class counts on the left; an empty side has 0."""
+    sides = []
+    for c0, c1 in (left, [f"(n{i}_node - {c})" for i, c in enumerate(left)]):
+        w0, w1 = f"({c0} * {weights[0]!r}D)", f"({c1} * {weights[1]!r}D)"
+        sides.append(f"coalesce(try_divide({w0} * {w0} + {w1} * {w1}, {w0} + {w1}), 0D)")
+    return " + ".join(sides)
 
 
-def _of_node(sizes: dict[int, tuple[int, int]]) -> list[Column]:
-    """The counts by class of a row's node, known and missing values together."""
-    return [F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c[i])])[F.col("node")] for i in (0, 1)]
+MISSING = [f"(n{i}_node - n{i}_all)" for i in (0, 1)]
 
 
-def _sides(weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> Column:
+def _sides(weights: tuple[float, float], min_leaf: int) -> Column:
     """The admissible splits at a gap, as an array: missing values on the right, on the left, or apart from all known ones."""
-    of_node = _of_node(sizes)
-    known = [F.col(f"n{i}_all") for i in (0, 1)]
-    below = [F.col(f"n{i}_before") + F.col(f"n{i}") for i in (0, 1)]
-    missing = [t - k for t, k in zip(of_node, known)]
-    some = missing[0] + missing[1] > 0
-    gap = F.col("value_next").isNotNull()
-    middle = F.col("value") / 2 + F.col("value_next") / 2
-    larger_left = 2 * (below[0] + below[1]) > of_node[0] + of_node[1]
-
-    def split(option: int, when: Column, cut: Column, left: list[Column], missing_left: Column) -> Column:
-        right = [t - c for t, c in zip(of_node, left)]
-        fits = when & (left[0] + left[1] >= min_leaf) & (right[0] + right[1] >= min_leaf)
-        return F.when(
-            fits,
-            F.struct(
-                F.lit(option).alias("option"), cut.alias("cut"), left[0].alias("left0"), left[1].alias("left1"),
-                right[0].alias("right0"), right[1].alias("right1"), missing_left.alias("missing_left"),
-                (_purity(left, weights) + _purity(right, weights)).alias("purity"),
-            ),
-        )
-
-    return F.array_compact(
-        F.array(
-            split(0, gap, middle, below, F.when(some, F.lit(False)).otherwise(larger_left)),
-            split(1, gap & some, middle, [b + m for b, m in zip(below, missing)], F.lit(True)),
-            split(2, ~gap & some, F.lit(float("inf")), known, F.lit(False)),
-        )
-    )
-
-
-def _best_splits(gaps: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    below = [f"(n{i}_before + n{i})" for i in (0, 1)]
+    some = f"{MISSING[0]} + {MISSING[1]} > 0"
+    larger_left = f"2 * ({below[0]} + {below[1]}) > n0_node + n1_node"
+
+    def split(option: int, when: str, cut: str, left: list[str], missing_left: str) -> str:
+        fits = f"{left[0]} + {left[1]} >= {min_leaf} AND n0_node + n1_node - {left[0]} - {left[1]} >= {min_leaf}"
+        values = {
+            "option": option, "cut": cut, "left0": left[0], "left1": left[1], "right0": f"n0_node - {left[0]}", "right1": f"n1_node - {left[1]}",
+            "missing_left": missing_left, "purity": _purity(left, weights),
+        }
+        return f"IF({when} AND {fits}, named_struct({', '.join(f"'{k}', {v}" for k, v in values.items())}), NULL)"
+
+    gap, middle = "value_next IS NOT NULL", "value / 2 + value_next / 2"
+    options = [
+        split(0, gap, middle, below, f"IF({some}, false, {larger_left})"),
+        split(1, f"{gap} AND {some}", middle, [f"({b} + {m})" for b, m in zip(below, MISSING)], "true"),
+        split(2, f"value_next IS NULL AND {some}", "double('infinity')", ["n0_all", "n1_all"], "false"),
+    ]
+    return F.expr(f"array_compact(array({', '.join(options)}))")
+
+
+def _best_splits(gaps: DataFrame, weights: tuple[float, float], min_leaf: int) -> DataFrame:
     """The best split of each node: largest weighted purity of both sides; then the first feature, the lowest value, and missing
-    values on the right before the left. ``sizes`` are the nodes' counts by class, known and missing values together."""
+    values on the right before the left."""
     best = F.max_by(
         F.struct("feature", "cut", "missing_left", "left0", "left1", "right0", "right1"),
         F.struct("purity", -F.col("feature"), -F.col("value"), -F.col("option")),
     )
     return (
-        gaps.select("node", "feature", "value", F.inline(_sides(weights, min_leaf, sizes)))
+        gaps.select("node", "feature", "value", F.inline(_sides(weights, min_leaf)))
         .groupBy("node")
         .agg(best.alias("best"))
         .select("node", "best.*")
     )
 
 
-CLASSES = ["n0", "n1"]
-
-
 def _class_counts(label: str) -> list[Column]:
     return [F.count_if(F.col(label) == i).alias(c) for i, c in enumerate(CLASSES)]
 
 
-def ranged_counts(placed: DataFrame, label: str) -> DataFrame:
+def ranged_counts(placed: DataFrame, label: str, sizes: dict[int, tuple[int, int]]) -> DataFrame:
     """Per (node, feature, range): class counts, smallest and largest value; counts before the range and in all, and the next range's
-    smallest value as ``value_next``, so a row is also the gap behind the range's largest value. One row a range."""
+    smallest value as ``value_next``, so a row is also the gap behind the range's largest value. One row a range. ``sizes`` are the
+    nodes' counts by class, known and missing values together."""
+    of_node = [F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, c[i])])[F.col("node")] for i in (0, 1)]
     whole = Window.partitionBy("node", "feature")
     order = whole.orderBy("_range")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -166,31 +158,28 @@ def ranged_counts(placed: DataFrame, label: str) -> DataFrame:
             F.lead("least").over(order).alias("value_next"),
             *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in CLASSES],
             *[F.sum(c).over(whole).alias(f"{c}_all") for c in CLASSES],
+            *[t.alias(f"{c}_node") for t, c in zip(of_node, CLASSES)],
         )
     )
 
 
-def open_ranges(ranges: DataFrame, weights: tuple[float, float], min_leaf: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
-    """The ranges in which a gap could be as good as the best gap between ranges of the same node, with their counts before and in all."""
-    of_node = _of_node(sizes)
-    missing = [t - F.col(f"{c}_all") for t, c in zip(of_node, CLASSES)]
-    before = [F.col(f"{c}_before") for c in CLASSES]
-    after = [b + F.col(c) for b, c in zip(before, CLASSES)]
+TOTALS = [f"{c}_{x}" for c in CLASSES for x in ("before", "all", "node")]
 
-    def purity(left: list[Column]) -> Column:
-        return _purity(left, weights) + _purity([t - c for t, c in zip(of_node, left)], weights)
 
+def open_ranges(ranges: DataFrame, weights: tuple[float, float], min_leaf: int) -> DataFrame:
+    """The ranges in which a gap could be as good as the best gap between ranges of the same node, with their counts before and in all."""
+    before, after = [[f"{c}_before" for c in CLASSES], [f"({c}_before + {c})" for c in CLASSES]]
     corners = [[x, y] for x in (before[0], after[0]) for y in (before[1], after[1])]
-    bound = F.greatest(*[purity(c) for c in corners], *[purity([x + m for x, m in zip(c, missing)]) for c in corners])
-    most_left = after[0] + after[1] + missing[0] + missing[1]
-    most_right = of_node[0] + of_node[1] - before[0] - before[1]
-    known = F.array_max(F.transform(_sides(weights, min_leaf, sizes), lambda s: s["purity"]))
-    best = F.max(known).over(Window.partitionBy("node"))
+    corners += [[f"({x} + {m})" for x, m in zip(c, MISSING)] for c in corners]
+    bound = f"greatest({', '.join(_purity(c, weights) for c in corners)})"
+    most_left = f"{after[0]} + {after[1]} + {MISSING[0]} + {MISSING[1]}"
+    most_right = f"n0_node + n1_node - {before[0]} - {before[1]}"
+    best = F.max(F.array_max(_sides(weights, min_leaf)["purity"])).over(Window.partitionBy("node"))
     return (
-        ranges.select("*", bound.alias("_bound"), best.alias("_best"))
-        .filter((F.col("least") < F.col("value")) & (most_left >= min_leaf) & (most_right >= min_leaf))
-        .filter(F.col("_best").isNull() | (F.col("_bound") >= F.col("_best") * (1 - ROUNDING)))
-        .select("node", "feature", "_range", *[F.col(f"{c}_{x}") for c in CLASSES for x in ("before", "all")])
+        ranges.select("*", F.expr(bound).alias("_bound"), best.alias("_best"))
+        .filter(f"least < value AND {most_left} >= {min_leaf} AND {most_right} >= {min_leaf}")
+        .filter(f"_best IS NULL OR _bound >= _best * (1 - {ROUNDING}D)")
+        .select("node", "feature", "_range", *TOTALS)
     )
 
 
@@ -199,12 +188,11 @@ def inner_gaps(placed: DataFrame, opened: DataFrame, label: str) -> DataFrame:
     place = ["node", "feature", "_range"]
     order = Window.partitionBy(*place).orderBy("value")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = [f"{c}_{x}" for c in CLASSES for x in ("before", "all")]
-    counted = placed.join(opened, place).groupBy(*place, "value").agg(*_class_counts(label), *[F.max(t).alias(t) for t in totals])
+    counted = placed.join(opened, place).groupBy(*place, "value").agg(*_class_counts(label), *[F.max(t).alias(t) for t in TOTALS])
     return counted.select(
         *place, "value", F.lead("value").over(order).alias("value_next"), *CLASSES,
         *[(F.col(f"{c}_before") + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(f"{c}_before") for c in CLASSES],
-        *[f"{c}_all" for c in CLASSES],
+        *[f"{c}_{x}" for c in CLASSES for x in ("all", "node")],
     ).filter("value_next is not null")
 
 
@@ -234,9 +222,9 @@ def grow_tree(
             rows.withColumn("node", tree.node_of()).filter(F.col("node").isin(open_nodes)), predictors, ["node", label]
         ).withColumn("_range", stacked_range(limits, predictors))
         sizes = {n: tree.nodes[n].counts for n in open_nodes}
-        ranges = keep(ranged_counts(placed, label))
-        gaps = ranges.drop("least").unionByName(inner_gaps(placed, open_ranges(ranges, tree.weights, min_leaf, sizes), label))
-        for best in _best_splits(gaps, tree.weights, min_leaf, sizes).collect():
+        ranges = keep(ranged_counts(placed, label, sizes))
+        gaps = ranges.drop("least").unionByName(inner_gaps(placed, open_ranges(ranges, tree.weights, min_leaf), label))
+        for best in _best_splits(gaps, tree.weights, min_leaf).collect():
             node = tree.nodes[best["node"]]
             node.feature, node.threshold, node.missing_left = best["feature"], best["cut"], best["missing_left"]
             left, right = 2 * node.number, 2 * node.number + 1

@@ -18,6 +18,7 @@ VALUE = "avg_order_value"
 FIXTURE_MIN_RATING = 3.3
 FIXTURE_ALPHA = 0.9  # on random test data no term is significant at 0.05
 FIXTURE_GATE = 1.0  # opens the gate whatever the test data
+FIXTURE_CLOSED = 0.0  # keeps the gate closed whatever the test data
 FIXTURE_PAIRS = 3  # fewer than are rejected at the test data's level
 FIXTURE_SAMPLE = 50  # below the number of rows of the smallest test data
 KEY = "customer_unique_id"
@@ -96,9 +97,13 @@ def _curve(ws: Workspace) -> DataFrame:
     return classify.curve_counts(ws.scored)
 
 
-def _column_curve(ws: Workspace) -> DataFrame:
+def _column_curve(ws: Workspace, following: bool = False) -> DataFrame:
     """A curve over a feature with many ties, in place of a model's score."""
-    return classify.curve_counts(ws.features, "avg_payment_installments")
+    return classify.curve_counts(ws.features, "avg_payment_installments", following=following)
+
+
+def _sampled(ws: Workspace, percent: float | dict) -> DataFrame:
+    return splits.sampled_holdout(ws.features, label=classify.LABEL, percent=percent)
 
 
 def _tree_scored(ws: Workspace) -> DataFrame:
@@ -125,6 +130,11 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "order_payment": lambda ws: rounded(features.order_payment(ws.tables.order_payments), 6),
     "order_top_category": lambda ws: features.order_top_category(ws.tables),
     "customer_features": lambda ws: settled(ws.features, 6, **MONEY),
+    "catalog_features": lambda ws: settled(features.customer_features(ws.keyed), 6, **MONEY),
+    "csv_features": lambda ws: settled(
+        features.customer_features(ws.from_csv).withColumn(KEY, F.col(KEY).cast("long")), 6, **MONEY
+    ),
+    "csv_row_counts": lambda ws: summaries.row_counts(ws.from_csv),
     "feature_preview": lambda ws: settled(summaries.preview(ws.features, KEY), 6, **MONEY),
     # summaries
     "repeat_share": lambda ws: rounded(summaries.repeat_share(ws.features), 6),
@@ -175,6 +185,7 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "tukey_pairs_payment": lambda ws: _tukey(ws, "preferred_payment"),
     "tukey_gated_state": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "state"), "state", alpha=FIXTURE_GATE)),
     "tukey_gated_payment": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "preferred_payment"), "preferred_payment", alpha=FIXTURE_GATE)),
+    "tukey_closed_state": lambda ws: _tukey_rounded(anova.tukey_if_significant(_factor(ws, "state"), "state", alpha=FIXTURE_CLOSED)),
     "tukey_rejected_state": lambda ws: _tukey_rounded(
         anova.rejected_pairs(anova.tukey(_factor(ws, "state"), "state"), FIXTURE_PAIRS, FIXTURE_ALPHA)
     ),
@@ -219,12 +230,17 @@ CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {
     "model_rows": lambda ws: rounded(classify.row_usage(ws.features), 6),
     "holdout_split": lambda ws: splits.holdout(ws.features, label="is_repeat").select(KEY, "is_repeat", "is_test"),
     "plain_split": lambda ws: splits.holdout(ws.features).select(KEY, "is_test"),
+    "sampled_split": lambda ws: _sampled(ws, {0: 30, 1: 50}).select(KEY, "is_repeat", "is_test"),
+    "sampled_shares": lambda ws: rounded(splits.sample_shares(_sampled(ws, splits.TEST_SHARE_PERCENT), classify.LABEL), 6),
     "stratified_folds": lambda ws: splits.stratified_folds(ws.features, "is_repeat").select(KEY, "is_repeat", "fold"),
     "class_weights": lambda ws: rounded(classify.class_weights(ws.class_split.filter("is_test = 0")), 6),
     "classifier_scores": lambda ws: rounded(ws.scored.select(KEY, "score", "predicted"), 6),
     "confusion": lambda ws: classify.confusion(ws.scored),
     "class_report": lambda ws: rounded(classify.class_report(classify.confusion(ws.scored)), 6),
     "roc_curve": lambda ws: rounded(classify.roc_curve(_curve(ws)), 6),
+    "roc_polyline": lambda ws: rounded(classify.roc_polyline(classify.curve_counts(ws.scored, following=True)), 6),
+    "roc_polyline_straight": lambda ws: rounded(classify.roc_polyline(classify.curve_counts(ws.scored, following=True), straight=True), 6),
+    "roc_polyline_tied": lambda ws: rounded(classify.roc_polyline(_column_curve(ws, following=True), straight=True), 6),
     "roc_auc": lambda ws: rounded(classify.roc_auc(_curve(ws)), 6),
     "youden": lambda ws: rounded(classify.youden(_curve(ws)), 6),
     "pr_curve": lambda ws: rounded(classify.pr_curve(_curve(ws)), 6),

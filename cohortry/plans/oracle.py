@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-from cohortry.operators import classify, correlation, regression, segments, tree
 
 FEATURES = """
 t_customers AS (
@@ -90,7 +89,8 @@ cf AS MATERIALIZED (
   FROM c_base b LEFT JOIN c_category k ON k.id = b.customer_unique_id
   LEFT JOIN c_payment p ON p.id = b.customer_unique_id LEFT JOIN c_state t ON t.id = b.customer_unique_id)"""
 
-HIGH, OFTEN, MUCH, PLAIN = segments.HIGH_VALUE, segments.HIGH_FREQUENCY, segments.HIGH_MONETARY, segments.ORDINARY
+# Fixed values, written out here so that a wrong one in the code cannot check itself.
+HIGH, OFTEN, MUCH, PLAIN = "高價值客戶", "高頻客戶", "高額客戶", "一般客戶"
 
 SEGMENTS = f"""
 fm AS MATERIALIZED (
@@ -365,7 +365,7 @@ def _long(name: str, source: str, columns: list[str]) -> str:
     return f"\n{name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
-OLS_X = list(regression.PREDICTORS)
+OLS_X = ["avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_item_count"]
 _K = len(OLS_X)
 _COMPLETE = " AND ".join(f"{x} IS NOT NULL" for x in [*OLS_X, "avg_order_value"])
 
@@ -462,7 +462,7 @@ co AS MATERIALIZED (
 
 # --- logistic models -------------------------------------------------------------------------------------------------
 
-LOGIT_X = list(classify.PREDICTORS)
+LOGIT_X = ["avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_order_value"]
 _L = len(LOGIT_X)
 _LOGIT_COMPLETE = " AND ".join(f"{x} IS NOT NULL" for x in LOGIT_X)
 LOGIT_DATA = f"""
@@ -536,6 +536,16 @@ cu AS MATERIALIZED (
 
 _ROC = """SELECT round(score, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM cu
 UNION ALL SELECT NULL, 0e0, 0e0"""
+# Steps to a point and from it by lag and lead; a step repeats the one before, or only points the same way.
+_STEPS_AROUND = """
+sa AS (
+  SELECT *, tp - lag(tp, 1, 0) OVER w AS up, fp - lag(fp, 1, 0) OVER w AS along, lead(tp) OVER w - tp AS next_up, lead(fp) OVER w - fp AS next_along,
+         row_number() OVER w AS place
+  FROM cu WINDOW w AS (ORDER BY score DESC))"""
+_POLYLINE = """SELECT round(score, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM sa
+WHERE {kept} OR next_up IS NULL UNION ALL SELECT NULL, 0e0, 0e0"""
+_REPEATED = _POLYLINE.format(kept="place = 1 OR up <> next_up OR along <> next_along")
+_STRAIGHT = _POLYLINE.format(kept="up * next_along <> along * next_up")
 _PR = """SELECT round(score, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / np, 6) AS recall FROM cu
 UNION ALL SELECT NULL, 1e0, 0e0"""
 _AUC = "sum((fp - lag_fp) / nn * (tp + lag_tp) / np / 2)"
@@ -607,9 +617,12 @@ fa AS MATERIALIZED (
 # --- tree ---------------------------------------------------------------------------------------------------------
 
 
+TREE_DEPTH, TREE_LEAF, TREE_SPLIT = 4, 50, 100
+
+
 def _tree() -> tuple[str, ...]:
     """Exact splits level by level: every gap between neighbouring values of every feature in every open node."""
-    xs = list(tree.PREDICTORS)
+    xs = LOGIT_X
     rows = "\ntd AS (SELECT customer_unique_id AS id, is_repeat AS y, " + ", ".join(xs) + " FROM cf)"
     stacked = " UNION ALL ".join(f"SELECT id, y, {f} AS f, {x} AS v FROM t0" for f, x in enumerate(xs))
     parts = [
@@ -620,7 +633,7 @@ def _tree() -> tuple[str, ...]:
         "\nwt AS (SELECT count(*) / (2.0 * count(*) FILTER (y = 0)) AS w0, count(*) / (2.0 * count(*) FILTER (y = 1)) AS w1 FROM t0)",
         "\nat0 AS MATERIALIZED (SELECT id, 1 AS node FROM t0)",
     ]
-    for depth in range(tree.MAX_DEPTH):
+    for depth in range(TREE_DEPTH):
         parts.append(f"""
 s{depth} AS MATERIALIZED (SELECT node, count(*) FILTER (y = 0) AS t0, count(*) FILTER (y = 1) AS t1 FROM at{depth} JOIN t0 USING (id) GROUP BY 1),
 k{depth} AS MATERIALIZED (
@@ -640,15 +653,15 @@ o{depth} AS MATERIALIZED (
   WHERE nv IS NULL AND t0 + t1 > a0 + a1),
 q{depth} AS MATERIALIZED (
   SELECT node, f, cut, ml FROM o{depth}, wt
-  WHERE x0 + x1 >= {tree.MIN_LEAF} AND t0 + t1 - x0 - x1 >= {tree.MIN_LEAF} AND t0 + t1 >= {tree.MIN_SPLIT} AND t0 > 0 AND t1 > 0
+  WHERE x0 + x1 >= {TREE_LEAF} AND t0 + t1 - x0 - x1 >= {TREE_LEAF} AND t0 + t1 >= {TREE_SPLIT} AND t0 > 0 AND t1 > 0
   QUALIFY row_number() OVER (PARTITION BY node ORDER BY
     ((x0 * w0) ** 2 + (x1 * w1) ** 2) / (x0 * w0 + x1 * w1)
     + (((t0 - x0) * w0) ** 2 + ((t1 - x1) * w1) ** 2) / ((t0 - x0) * w0 + (t1 - x1) * w1) DESC, f, v, o) = 1),
 at{depth + 1} AS MATERIALIZED (
   SELECT a.id, CASE WHEN q.node IS NULL THEN a.node WHEN coalesce(s.v <= q.cut, q.ml) THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
   FROM at{depth} a LEFT JOIN q{depth} q ON q.node = a.node LEFT JOIN st s ON s.id = a.id AND s.f = q.f)""")
-    cuts = " UNION ALL ".join(f"SELECT * FROM q{d}" for d in range(tree.MAX_DEPTH))
-    seen = " UNION ".join(f"SELECT id, node FROM at{d}" for d in range(tree.MAX_DEPTH + 1))
+    cuts = " UNION ALL ".join(f"SELECT * FROM q{d}" for d in range(TREE_DEPTH))
+    seen = " UNION ".join(f"SELECT id, node FROM at{d}" for d in range(TREE_DEPTH + 1))
     name = "CASE f " + " ".join(f"WHEN {f} THEN '{x}'" for f, x in enumerate(xs)) + " END"
     parts.append(f"""
 cuts AS MATERIALIZED ({cuts}),
@@ -663,15 +676,15 @@ tree AS MATERIALIZED (
 
 
 def _tree_scored() -> tuple[str, ...]:
-    xs = list(tree.PREDICTORS)
+    xs = LOGIT_X
     value = "CASE t.feature " + " ".join(f"WHEN '{x}' THEN {x}" for x in xs) + " END"
     out = [f"\nv0 AS MATERIALIZED (SELECT ts.*, 1 AS node FROM ts WHERE is_test = 1)"]
-    for d in range(tree.MAX_DEPTH):
+    for d in range(TREE_DEPTH):
         out.append(f"""
 v{d + 1} AS MATERIALIZED (
   SELECT v.* REPLACE (CASE WHEN t.feature IS NULL THEN v.node WHEN coalesce({value} <= cut, ml) THEN 2 * v.node ELSE 2 * v.node + 1 END AS node)
   FROM v{d} v JOIN tree t ON t.node = v.node)""")
-    out.append(f"\npr AS (SELECT v.y, prediction AS predicted FROM v{tree.MAX_DEPTH} v JOIN tree t ON t.node = v.node)")
+    out.append(f"\npr AS (SELECT v.y, prediction AS predicted FROM v{TREE_DEPTH} v JOIN tree t ON t.node = v.node)")
     return tuple(out)
 
 
@@ -707,7 +720,10 @@ qq AS MATERIALIZED (SELECT i, e AS residual, {_normal_quantile('p')} AS theoreti
 
 # --- correlation ----------------------------------------------------------------------------------------------------
 
-NAMES = list(correlation.CORRELATED)
+NAMES = [
+    "frequency", "avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_order_value",
+    "total_spent", "avg_item_count",
+]
 
 
 def _pearson(extra: str = "") -> str:
@@ -810,7 +826,7 @@ tw AS MATERIALIZED (
 
 def _queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["row_counts"] = _with(
+    q["row_counts"] = q["csv_row_counts"] = _with(
         " UNION ALL ".join(
             f"SELECT '{n}' AS \"table\", count(*) AS n FROM {t}"
             for n, t in (("orders", "t_orders"), ("customers", "t_customers"), ("order_items", "t_items"), ("order_reviews", "t_reviews"),
@@ -825,7 +841,7 @@ def _queries() -> dict[str, str]:
     q["order_top_category"] = _with("SELECT * FROM o_category")
     doubles = ["avg_delay_days", "avg_freight_ratio", "avg_review_score", "avg_payment_installments", "avg_order_value", "total_spent", "avg_item_count"]
     features = "SELECT * REPLACE (" + ", ".join(f"round({d} + 5e-10, {4 if d in ('avg_order_value', 'total_spent') else 6}) AS {d}" for d in doubles) + ") FROM cf"
-    q["customer_features"] = _with(features)
+    q["customer_features"] = q["catalog_features"] = q["csv_features"] = _with(features)
     q["feature_preview"] = _with(features + " ORDER BY customer_unique_id LIMIT 5")
     q["repeat_share"] = _with(
         "SELECT count(*) AS customers, CAST(sum(1 - is_repeat) AS BIGINT) AS single_n, CAST(sum(is_repeat) AS BIGINT) AS repeat_n, "
@@ -903,6 +919,7 @@ def _queries() -> dict[str, str]:
     q["kruskal_state"], q["kruskal_category"] = _kruskal_sql("state"), _kruskal_sql("favorite_category")
     q["tukey_stats_state"], q["tukey_stats_payment"] = _tukey_sql("state"), _tukey_sql("preferred_payment")
     q["tukey_gated_state"], q["tukey_gated_payment"] = _tukey_pairs_sql("state"), _tukey_pairs_sql("preferred_payment")  # open gates
+    q["tukey_closed_state"] = _tukey_pairs_sql("state", tail="WHERE (SELECT count(*) FROM s) < 0")  # no test passes at 0
     q["tukey_rejected_state"] = _tukey_pairs_sql(
         "state", more=", (SELECT count(*) FROM pq WHERE p < 0.9) AS rejected, (SELECT count(*) FROM pq) AS pairs",
         tail="WHERE p < 0.9 ORDER BY group1, group2 LIMIT 3",
@@ -1056,6 +1073,15 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
         f"SELECT customer_unique_id, CAST(row_number() OVER (ORDER BY {_HASH.format(key='customer_unique_id')}, customer_unique_id) "
         "<= ceil(count(*) OVER () * 30 / 100.0) AS INT) AS is_test FROM cf"
     )
+    draw = "('0x' || substr(" + _HASH.format(key="customer_unique_id") + ", 1, 8))::BIGINT"
+    q["sampled_split"] = _with(
+        f"SELECT customer_unique_id, is_repeat, CAST({draw} < CASE is_repeat WHEN 0 THEN 1288490189 ELSE 2147483648 END AS INT) AS is_test FROM cf"
+    )
+    q["sampled_shares"] = _with(
+        f"""SELECT is_repeat, n, test_n, round(100.0 * test_n / n, 6) AS percent,
+  round(100 * sqrt(test_n * 1e0 / n * (1 - test_n * 1e0 / n) / n), 6) AS percent_sd
+FROM (SELECT is_repeat, count(*) AS n, count(*) FILTER ({draw} < 1288490189) AS test_n FROM cf GROUP BY 1)"""
+    )
     q["stratified_folds"] = _with("SELECT id AS customer_unique_id, y AS is_repeat, fold FROM fo", all_rows, _folds("ar", "fo"))
     q["class_weights"] = _with(
         "SELECT y AS is_repeat, count(*) AS n, round((SELECT count(*) FROM sp WHERE is_test = 0) / (2.0 * count(*)), 6) AS weight "
@@ -1069,6 +1095,7 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
     q["class_report"] = _with(_REPORT, *_CLASSIFIER, _PREDICTED, _confusion("pr"), _PER_CLASS)
     curve = (*_CLASSIFIER, _curve("sc", "score"))
     q["roc_curve"], q["pr_curve"], q["pr_auc"] = _with(_ROC, *curve), _with(_PR, *curve), _with(_PR_AUC, *curve)
+    q["roc_polyline"], q["roc_polyline_straight"] = _with(_REPEATED, *curve, _STEPS_AROUND), _with(_STRAIGHT, *curve, _STEPS_AROUND)
     q["roc_auc"] = _with(f"SELECT round({_AUC}, 6) AS roc_auc FROM {_LAGS}", *curve)
     q["youden"] = _with(
         "SELECT round(score, 6) AS threshold, round(tp / np, 6) AS sensitivity, round(1 - fp / nn, 6) AS specificity "
@@ -1077,6 +1104,7 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
     )
     tied = (_FEATURE_SCORES, _curve("fs", "s"))
     q["roc_curve_tied"], q["pr_auc_tied"] = _with(_ROC, *tied), _with(_PR_AUC, *tied)
+    q["roc_polyline_tied"] = _with(_STRAIGHT, *tied, _STEPS_AROUND)
     folds = _fold_auc()
     q["fold_auc"] = _with("SELECT CAST(fold AS INT) AS fold, round(roc_auc, 6) AS roc_auc FROM fa", *folds)
     q["cv_auc"] = _with("SELECT round(avg(roc_auc), 6) AS mean_auc, round(2 * stddev_pop(roc_auc), 6) AS two_sd, count(*) AS folds FROM fa", *folds)
@@ -1092,7 +1120,7 @@ lf AS (SELECT count(*) AS n, sum(y * eta - greatest(eta, 0) - ln(1 + exp(-abs(et
         "SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 6) AS importance FROM ("
         "SELECT x AS feature, coalesce(sum(gain) / (SELECT sum(p.w * p.gini - l.w * l.gini - r.w * r.gini) FROM tree p "
         "JOIN tree l ON l.node = 2 * p.node JOIN tree r ON r.node = 2 * p.node + 1), 0) AS importance "
-        f"FROM (SELECT unnest({list(tree.PREDICTORS)}) AS x) LEFT JOIN (SELECT p.feature AS f, p.w * p.gini - l.w * l.gini - r.w * r.gini AS gain "
+        f"FROM (SELECT unnest({LOGIT_X}) AS x) LEFT JOIN (SELECT p.feature AS f, p.w * p.gini - l.w * l.gini - r.w * r.gini AS gain "
         "FROM tree p JOIN tree l ON l.node = 2 * p.node JOIN tree r ON r.node = 2 * p.node + 1) ON f = x GROUP BY 1)",
         *grown,
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.operators import anova, charts, classify, correlation, regression, segments, splits, summaries, tree
 from cohortry.plans.workspace import Workspace
-from cohortry.sources.sinks import write_results
+from cohortry.sources.sinks import publish_results, write_results
 from cohortry.sources.tables import SCHEMAS, load
 
 VALUE = "avg_order_value"
@@ -99,7 +99,7 @@ def linear_report(ws: Workspace) -> dict[str, DataFrame]:
 def logistic_report(ws: Workspace) -> dict[str, DataFrame]:
     spark = ws.features.sparkSession
     odds = classify.odds_table(spark, ws.logit)
-    confused, counts = classify.confusion(ws.scored), classify.curve_counts(ws.scored)
+    confused, counts = classify.confusion(ws.scored), classify.curve_counts(ws.scored, following=True)
     return {
         "rows": classify.row_usage(ws.features),
         "odds": odds,
@@ -111,6 +111,7 @@ def logistic_report(ws: Workspace) -> dict[str, DataFrame]:
         "class_report": classify.class_report(confused),
         "cross_validation": classify.cv_auc(ws.fold_auc),
         "roc_curve": classify.roc_curve(counts),
+        "roc_polyline": classify.roc_polyline(counts),
         "roc_auc": classify.roc_auc(counts),
         "best_threshold": classify.youden(counts),
         "pr_curve": classify.pr_curve(counts),
@@ -151,18 +152,26 @@ def write_reports(ws: Workspace, folder: str, only: list[str] | None = None, fmt
     return paths
 
 
+def publish_reports(ws: Workspace, folder: str, only: list[str] | None = None, fmt: str = "parquet") -> dict[str, str]:
+    """Publish the chosen analyses as one set: readers see the tables of one run, never some of it."""
+    tables = {f"{name}/{table}": df for name in only or REPORTS for table, df in REPORTS[name](ws).items()}
+    return publish_results(tables, folder, fmt)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Write the customer analyses as result tables.")
     parser.add_argument("--input", required=True)
     parser.add_argument("--format", choices=["csv", "parquet", "table"], default="csv")
     parser.add_argument("--output", required=True)
     parser.add_argument("--output-format", choices=["csv", "parquet"], default="parquet")
+    parser.add_argument("--publish", action="store_true", help="all tables as one set, switched at the end")
     parser.add_argument("--only", nargs="*", choices=sorted(REPORTS))
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("cohortry-reports").getOrCreate()
     names = {"csv": "{0}/{1}.csv", "parquet": "{0}/{1}", "table": "{0}.{1}"}[given.format]
     tables = load(spark, {n: names.format(given.input.rstrip("/"), n) for n in SCHEMAS}, given.format)
-    write_reports(Workspace(tables), given.output, given.only, given.output_format)
+    write = publish_reports if given.publish else write_reports
+    write(Workspace(tables), given.output, given.only, given.output_format)
 
 
 if __name__ == "__main__":

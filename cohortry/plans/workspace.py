@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortry.operators import anova, classify, features, regression, segments, splits, tree
-from cohortry.sources.scratch import keep
+from cohortry.sources.keyed import load_keyed, save_keyed
+from cohortry.sources.scratch import fresh_path, keep
 from cohortry.sources.star import star_tables
-from cohortry.sources.tables import Tables
+from cohortry.sources.tables import SCHEMAS, Tables, load
 
 
 class Workspace:
@@ -28,6 +29,24 @@ class Workspace:
         rolled = keep(features.customer_rollup(features.order_features(self.tables)))
         return features.fill_gaps(rolled, features.median_score(rolled))
 
+    @cached_property
+    def keyed(self) -> Tables:
+        """The base tables saved in the catalog by key and read back by name."""
+        spark = self.tables.orders.sparkSession
+        path = fresh_path(spark)
+        prefix = path.rsplit("/", 1)[1].replace("-", "_")
+        save_keyed(self.tables, prefix, path)
+        return load_keyed(spark, prefix)
+
+    @cached_property
+    def from_csv(self) -> Tables:
+        """The base tables written as CSV and scanned again."""
+        spark = self.tables.orders.sparkSession
+        path = fresh_path(spark)
+        for name, df in self.tables.named().items():
+            df.write.option("header", True).csv(f"{path}/{name}")
+        return load(spark, {name: f"{path}/{name}" for name in SCHEMAS}, "csv")
+
     def factor_rows(self, factor: str) -> DataFrame:
         """The rows a factor is tested on; its most frequent levels are looked up once."""
         if factor not in self._factors:
