@@ -1,28 +1,44 @@
 """Connected components of a graph given as rows, without collecting any of it.
 
 Alternating large-star and small-star steps (Kiveris et al. 2014): every step replaces each node's edges by edges to the
-smallest neighbour. Edges never multiply, a node's neighbourhood is only ever folded to its minimum, and each round is
-written to the shared folder, so plans stay short and a lost executor costs one round at most.
+smallest neighbour. Edges never multiply, and each round is written to the shared folder, so plans stay short and a lost executor costs
+one round at most.
+
+A node may have any number of neighbours, the smallest member of a group of copies for one. So a neighbourhood is never brought
+together: its edges lie in salted parts, each part is folded to its least member, the parts' minima are folded to the node's, and that goes
+back to the parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortry.sources.scratch import keep
 
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The edges with ``m``, the least ``v`` of their ``u``. Edges move by (u, salt); by ``u`` alone only one row a salt does."""
+    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    back = parts.select("u", "salt", F.min("part").over(Window.partitionBy("u")).alias("m"))  # at most SALTS rows a node
+    return dealt.join(back, ["u", "salt"]).select("u", "v", "m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    told = _with_least(both).select("u", "v", F.least("u", "m").alias("m"))
+    return told.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """Each node and its smaller neighbours are hung to the smallest of them."""
+    told = _with_least(edges)
+    hung = told.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung.unionByName(told.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

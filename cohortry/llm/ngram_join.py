@@ -4,8 +4,8 @@
 2. Each representative gets MinHash values over its five-word shingles. Representatives that agree in all values of some
    band are joined by an edge to the band bucket's smallest member (linear in the bucket, hot buckets included), and
    connected components of these edges hold every pair that shares a bucket, and more.
-3. A component is cut into blocks of bounded size; each pair of blocks is one unit of work. Within a unit, pairs are
-   compared a few MinHash values at a time. With m of n values equal and a uniform prior, the similarity's posterior is
+3. A large component is cut into blocks of bounded size, members of a bucket together where it can be; two blocks are one unit of work if
+   some bucket has members in both. Within a unit, pairs are compared a few MinHash values at a time. With m of n values equal and a uniform prior, the similarity's posterior is
    Beta(m + 1, n - m + 1); a pair is dropped once P(similarity >= threshold) falls below the tolerance. Every pair that
    survives all values is verified on the full shingle sets.
 4. A unit returns one row per member that has links: its number of links and the smallest member it is connected to in the
@@ -15,17 +15,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.bloom import build, key_hash
-from cohortry.llm.common import free_name, share, ship_by_value, small_batches, with_arrow_column, word_text
+from cohortry.llm.common import free_name, share, ship_by_value, small_batches, word_text
 from cohortry.llm.components import connected
 from cohortry.sources.scratch import keep
 
@@ -87,39 +86,36 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _digest(words: str) -> bytes:
-    return blake2b(words.encode(), digest_size=16).digest()
+def digest_of(words: Column) -> Column:
+    """16 bytes of the sha256 of a text's words."""
+    return F.substring(F.unhex(F.sha2(words.cast("binary"), 256)), 1, 16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _WordHash()
     for b in small_batches(batches):
-        digests, sizes, bands = [], [], []
-        for text in b.column(1).to_pylist():
+        sizes, bands = [], []
+        for text in b.column(2).to_pylist():
             s = shingle_set(text.split(), hashes)
-            digests.append(_digest(text))
             sizes.append(len(s))
             bands.append(band_keys(min_hashes(s)) if len(s) else np.empty(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
         flat = np.concatenate([np.empty(0, np.int64), *bands])
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+            [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
             names=["doc_id", "digest", "shingles", "bands"],
         )
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles and MinHash values of the rows whose text is the one meant (ids may repeat with other texts)."""
+    """Shingles and MinHash values of the texts."""
     hashes = _WordHash()
-    names = ["component", "chunks", "chunk", "node", "copies"]
+    names = ["chunk", "node", "copies"]
     for b in small_batches(batches):
-        words, wanted = b.column("words").to_pylist(), b.column("digest").to_pylist()
-        take = [i for i, (w, d) in enumerate(zip(words, wanted)) if _digest(w) == d]
-        sets = [shingle_set(words[i].split(), hashes) for i in take]
-        kept = b.take(pa.array(take, pa.int64()))
+        sets = [shingle_set(t.split(), hashes) for t in b.column("words").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                *[kept.column(c) for c in names],
+                *[b.column(c) for c in names],
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([min_hashes(s).tobytes() for s in sets], pa.binary()),
             ],
@@ -205,31 +201,41 @@ def _unit(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_text(F.col(f"`{text_col}`")).alias("words")).filter("doc_id is not null")
+    words = word_text(F.col(f"`{text_col}`"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), words.alias("words")).select("doc_id", digest_of(F.col("words")).alias("digest"), "words")
 
 
-def _possible(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids and texts of the documents with a wanted id, and a few more: what a Bloom filter of these ids lets through.
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digest, words`` of the wanted representatives (``doc_id, digest``), one row each.
 
-    Only these texts are shuffled by the join that follows, instead of all.
+    A Bloom filter of their ids holds the other texts back before anything is shuffled; rows without an id pass if a wanted one has none.
+    Copies are folded where they lie, so a text that stands under one id, or none, any number of times is sent once a task.
     """
-    ids = wanted.select(F.col("doc_id").alias("key"))
+    ids = wanted.filter("doc_id is not null").select(F.col("doc_id").alias("key"))
     shared = share(docs.sparkSession, build(ids, wanted.count(), 0.01, 8, FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted_ids = shared()
         for b in batches:
-            passes = wanted_ids.passes(b.column(2).to_numpy(zero_copy_only=False))
+            passes = wanted_ids.passes(b.column(2).to_numpy(zero_copy_only=False)) | b.column(0).is_null().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(passes)).select(["doc_id", "text"])
 
     two = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return two.withColumn("h", key_hash(F.col("doc_id"), 8)).mapInArrow(run, two.schema)
+    if wanted.filter("doc_id is null").isEmpty():
+        two = two.filter("doc_id is not null")
+    possible = two.withColumn("h", key_hash(F.col("doc_id"), 8)).mapInArrow(run, two.schema)
+    return _keyed(possible, "doc_id", "text").groupBy("digest").agg(F.first("words").alias("words"))
 
 
 def _id_field(docs: DataFrame, id_col: str) -> T.StructField:
     return T.StructField("doc_id", next(f.dataType for f in docs.schema.fields if f.name == id_col))
 
 
+def _blocks_for() -> Column:
+    """Aggregate: how many blocks members call for, by their number and their shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """Sketches of all documents (doc_id, digest), and the representatives with links and class: digest, class, n_links."""
     keyed = _keyed(docs, id_col, text_col)
@@ -237,7 +243,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     sketches = keep(keyed.mapInArrow(_sketch, T.StructType([_id_field(docs, id_col), *fields])))
     grouped = (
         sketches.filter("shingles > 0")
-        .groupBy("digest")
+        .groupBy("digest")  # the least known id: min passes over nulls
         .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
     )
     reps = keep(grouped.withColumn("node", F.monotonically_increasing_id()))
@@ -247,28 +253,34 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     near = banded.join(shared, "key").select(F.col("node").alias("u"), "v")
     members = connected(near).select("node", F.col("root").alias("component")).join(reps.drop("bands"), "node")
     members = keep(members)
-    size = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("shingles").alias("w"))
-    chunks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    placed = keep(
-        members.join(size.select("component", chunks.alias("chunks")), "component").select(
-            "component", "chunks", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "node", "copies", "doc_id", "digest"
-        )
+    size = members.groupBy("component").agg(_blocks_for().alias("blocks"))
+    whole = members.join(size.filter("blocks = 1"), "component").select(
+        F.xxhash64("component", F.lit(-1)).alias("chunk"), "node", "copies", "doc_id", "digest"
     )
-    signed = _keyed(_possible(docs, placed, id_col, text_col), "doc_id", "text").join(placed, "doc_id").mapInArrow(
-        _signatures, "component long, chunks int, chunk int, node long, copies long, shingles binary, signature binary"
+    large = members.join(size.filter("blocks > 1").select("component"), "component")
+    near_by = keep(near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).groupBy("u").agg(F.min("v").alias("home")))
+    homed = large.join(near_by, large["node"] == near_by["u"]).drop("u")
+    parts = homed.groupBy("home").agg(_blocks_for().alias("parts"))
+    cut = homed.join(parts, "home").select(
+        F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("chunk"), "node", "copies", "doc_id", "digest"
     )
-    units = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "copies", "shingles", "signature"
-    )
-    links = keep(
-        units.groupBy("component", "lo", "hi").applyInArrow(lambda t: _unit(t, threshold, tolerance), "node long, root long, links long")
+    cut = keep(cut)
+    placed = keep(whole.unionByName(cut))
+    met = banded.join(shared.select("key"), "key").join(cut.select("node", "chunk"), "node").select("key", "chunk").distinct()
+    pairs = met.select("key", F.col("chunk").alias("lo")).join(met.select("key", F.col("chunk").alias("hi")), "key").filter("lo <= hi")
+    pairs = keep(pairs.select("lo", "hi").distinct().unionByName(whole.select(F.col("chunk").alias("lo"), F.col("chunk").alias("hi")).distinct()))
+    sides = pairs.select("lo", "hi", F.col("lo").alias("chunk")).unionByName(pairs.filter("lo < hi").select("lo", "hi", F.col("hi").alias("chunk")))
+    signed = _texts(docs, placed, id_col, text_col).join(placed.drop("doc_id"), "digest").mapInArrow(
+        _signatures, "chunk long, node long, copies long, shingles binary, signature binary"
     )
+    units = signed.join(sides, "chunk")
+    links = keep(units.groupBy("lo", "hi").applyInArrow(lambda t: _unit(t, threshold, tolerance), "node long, root long, links long"))
 
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked_reps = reps.select("node", "digest", "doc_id", "copies").join(total, "node", "left").join(roots, "node", "left")
     linked_reps = linked_reps.withColumn("root", F.coalesce("root", "node"))
-    first = linked_reps.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("class"))
+    first = linked_reps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("class"))
     decided = keep(
         linked_reps.join(first, "root").select(
             "digest", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
@@ -283,54 +295,43 @@ def jaccard_classes(
     """One row per document: its id, ``class_id`` (smallest id among the documents it is linked to, directly or through
     others) and ``n_links`` (number of other documents with similarity of at least the threshold).
 
-    Every row is a document: a repeated row is a copy of the first. A null or wordless text has no links and is its own
-    class. A text of fewer than five words is one shingle. Rows with a null id take no part and come back with a null class
-    and no links. Other columns are not read, whatever their names. An empty table gives an empty result.
+    Every row is a document: a repeated row is a copy of the first, and rows of one id with different texts are told apart by these. A
+    null or wordless text has no links and is its own class. A text of fewer than five words is one shingle. Rows with a
+    null id take part like any others; a class without any other id has a null one. Other columns are not read, whatever their
+    names. An empty table gives an empty result.
     """
     sketches, decided = _classes(docs, id_col, text_col, threshold, tolerance)
-    out = sketches.join(decided, "digest", "left").select(
+    return sketches.join(decided, "digest", "left").select(
         F.col("doc_id").alias(id_col),
-        F.coalesce("class.doc_id", "doc_id").alias("class_id"),
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    nameless = docs.filter(F.col(f"`{id_col}`").isNull()).select(F.col(f"`{id_col}`").alias(id_col))
-    return out.unionByName(nameless.select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """The documents without near copies: of each class the one with the smallest id stays, whole rows, same columns.
+    """The documents without near copies: of each class one stays, that with the smallest id, whole rows, same columns.
 
-    Of equal ids within a class one row stays. Rows with a null id, a null text or no words always stay.
+    Rows without an id are compared like the others and stay only where their class has no id at all. Of rows with equal id and words
+    one stays. Rows with a null text or without words always stay.
     """
     sketches, decided = _classes(docs, id_col, text_col, threshold, tolerance)
-    key = free_name(docs.columns, "_doc")
-    verdict = sketches.join(decided, "digest", "left").withColumn(
-        "stays", F.col("class").isNull() | (F.col("class") == F.struct("doc_id", "digest"))
-    )
-    lost = keep(verdict.filter("not stays").select(F.col("doc_id").alias(key)).distinct())
-    repeated = keep(sketches.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(key)))
-    named = F.col(f"`{id_col}`") == F.col(key)
-    if repeated.isEmpty():
-        return docs.join(lost, named, "left_anti")
-    plain = docs.join(lost.unionByName(repeated).distinct(), named, "left_anti")
-    return plain.unionByName(_repeated_ids(docs.join(repeated, named, "left_semi"), verdict, id_col, text_col))
-
-
-def _repeated_ids(docs: DataFrame, verdict: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows that share an id are told apart by their text: of rows with equal id and words, one stays if their class keeps them."""
     mark = free_name(docs.columns, "_digest")
-    marked = with_arrow_column(
-        docs,
-        [word_text(F.col(f"`{text_col}`"))],
-        lambda: lambda cols: pa.array([_digest(t) for t in cols[0].to_pylist()], pa.binary()),
-        T.StructField(mark, T.BinaryType()),
+    marked = docs.withColumn(mark, digest_of(word_text(F.col(f"`{text_col}`"))))
+    fate = sketches.join(decided, "digest", "left").filter("class is not null").select(
+        F.col("doc_id").alias("_k1"),
+        F.col("digest").alias("_k2"),
+        ((F.col("class.digest") == F.col("digest")) & F.col("class.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays"),
     )
-    chosen = verdict.filter("stays").select(F.col("doc_id").alias("_c_id"), F.col("digest").alias("_c_digest")).distinct()
-    staying = marked.join(chosen, (F.col(f"`{id_col}`") == F.col("_c_id")) & (F.col(mark) == F.col("_c_digest")), "left_semi")
+    counted = keep(fate.groupBy("_k1", "_k2", "stays").agg(F.count("*").alias("n")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_k1")) & (F.col(mark) == F.col("_k2"))
+    left = marked.join(counted.filter("not stays").select("_k1", "_k2"), same, "left_anti")
+    repeated = counted.filter("stays and n > 1").select("_k1", "_k2")
+    if repeated.isEmpty():
+        return left.drop(mark)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = staying.groupBy(F.col(f"`{id_col}`").alias("_k1"), F.col(mark).alias("_k2")).agg(
+    one = left.join(repeated, same, "left_semi").groupBy(F.col(f"`{id_col}`").alias("_k1"), F.col(mark).alias("_k2")).agg(
         F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
     )
-    return one.select("_row.*")
+    return left.join(repeated, same, "left_anti").drop(mark).unionByName(one.select("_row.*"))

@@ -6,7 +6,7 @@ import pytest
 from cohortry.llm import ngram_join as J
 from cohortry.llm.components import connected
 
-from .helpers import classes_by_brute_force, shingles_of
+from .helpers import classes_by_brute_force, shingles_of, words_of
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(400)]
@@ -27,6 +27,7 @@ LONG = text(150)
 ROWS = [
     *[(i, edited(LONG, RNG.randrange(0, 4))) for i in range(24)], (100, LONG), (101, LONG.upper() + "!"), (102, text(60)), (103, text(60)),
     (104, "tiny text"), (105, "tiny, text."), (106, "tiny"), (107, None), (108, ""), (109, " ?! "), (107, None), (110, text(30_000)), (None, LONG), (102, "other words under one id"),
+    (None, "nobody's words twice here"), (None, "nobody's words twice here"), (None, "Nobody s words, twice here!"), (120, "four times the same"), (120, "four times the same"),
 ]
 
 
@@ -34,13 +35,12 @@ def frame(spark, rows=ROWS):
     return spark.createDataFrame([(*r, 1, "n") for r in rows], "doc_id long, text string, node int, class string").repartition(3)
 
 
-def named(rows):
-    return [r for r in rows if r[0] is not None]
-
-
 def expected(rows):
-    found = classes_by_brute_force(named(rows))
-    return sorted([(named(rows)[i][0], c, n) for i, (c, n) in found.items()] + [(-1, -1, 0) for r in rows if r[0] is None])
+    """(id, class id, links), -1 for null. The class id is the least known id."""
+    big = 1 << 40
+    found = classes_by_brute_force([(big if i is None else i, t) for i, t in rows])
+    back = lambda i: -1 if i is None or i == big else i
+    return sorted((back(rows[i][0]), back(c), n) for i, (c, n) in found.items())
 
 
 def test_classes_as_by_brute_force(spark):
@@ -64,14 +64,43 @@ def test_one_of_each(spark):
     df = frame(spark)
     kept = J.one_of_each(df)
     assert kept.columns == df.columns
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept.collect())
-    classes = classes_by_brute_force(named(ROWS))
-    want = {(-1, LONG)}
-    for i, (id_, t) in enumerate(named(ROWS)):
-        if classes[i][0] == id_ or not shingles_of(t):
-            want.add((id_, t or ""))
-    assert [g for g in got if g[0] not in (107, 108, 109)] == sorted(w for w in want if w[0] not in (107, 108, 109))
-    assert {107, 108, 109} <= {g[0] for g in got}
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], " ".join(words_of(r["text"]))) for r in kept.collect())
+    assert len(got) == len(set(got)) + 1  # the two rows of 107 without words
+    want = set()
+    by_row = classes_by_brute_force([((1 << 40) if i is None else i, t) for i, t in ROWS])
+    for k, (id_, t) in enumerate(ROWS):
+        if by_row[k][0] == ((1 << 40) if id_ is None else id_) or not shingles_of(t):
+            want.add((-1 if id_ is None else id_, " ".join(words_of(t))))
+    assert set(got) == want
+
+
+def test_different_texts_under_one_id(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(400)]
+    rows = [(7, t) for t in texts for _ in range(2)] + [(None, t) for t in texts[:50]] + [(None, "one text without an id " * 3)] * 400
+    got = sorted(tuple(-1 if v is None else v for v in r) for r in J.jaccard_classes(frame(spark, rows)).collect())
+    assert got == sorted([(7, 7, 2 if i < 50 else 1) for i in range(400) for _ in range(2)] + [(-1, 7, 2)] * 50 + [(-1, -1, 399)] * 400)
+    kept = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in J.one_of_each(frame(spark, rows)).collect())
+    assert kept == sorted([(7, t) for t in texts] + [(-1, "one text without an id " * 3)])
+
+
+def test_a_chain_is_not_compared_all_against_all(spark, monkeypatch):
+    """Texts that share words with the next one only: blocks meet where a bucket joins them, and no link is lost."""
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", 4)
+    words = [f"c{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(160)]
+    seen, own = [], J.keep
+
+    def watched(df):
+        kept = own(df)
+        if kept.columns == ["lo", "hi"]:
+            seen.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(J, "keep", watched)
+    got = sorted(tuple(r) for r in J.jaccard_classes(frame(spark, rows)).collect())
+    assert got == expected(rows) and max(r[2] for r in got) == 2
+    assert seen[0] < 0.3 * 40 * 41 / 2  # blocks of 4 of 160, each with each, would be 820
 
 
 def test_empty_table(spark):
