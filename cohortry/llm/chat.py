@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "</turn>\n"
 LOSS_ROLE = "assistant"
 REPLACING = ("message", "edit", "regenerate", "delete")
+DRAFT_CHARS = 16  # of a text, in the drafts of a log made from a table
 IN_TEXT = [("\\", "\\b"), ("#", "\\h"), ("<", "\\l")]
 IN_ROLE = [*IN_TEXT, (":", "\\c"), ("\n", "\\n")]
 
@@ -41,30 +42,31 @@ def unescape(text: Column, pairs: list[tuple[str, str]] = IN_TEXT) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages ``conv_id, message, first_seq, role, text`` of a log ``conv_id, message, seq, kind, role, text``.
 
-    Events count in order of ``seq`` (any orderable type, nulls first), equal ones in order of their text. A null kind opens a
+    Events count in order of ``seq`` (any orderable type, nulls first); of one seq, replacing events come before deltas, and each kind in
+    order of its text. Events equal in message, seq, kind and text are one event that was delivered again. A null kind opens a
     message; null texts are empty; the role is the last known one, else empty. A message whose last replacing event deletes
     it, and has no deltas after it, is gone. Null conversations and messages are groups of their own.
     """
     group = Window.partitionBy("conv_id", "message")
-    read = events.select(
-        "conv_id", "message", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")
-    )
-    replaces = F.col("kind").isin(*REPLACING)
+    kind = F.coalesce("kind", F.lit("message"))
+    replaces = kind.isin(*REPLACING)
+    spoken = F.when(kind == "delete", F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+    event = F.struct("seq", F.when(replaces, 0).otherwise(1).alias("rank"), spoken.alias("text"), kind.alias("kind"))
+    read = events.select("conv_id", "message", "seq", "role", event.alias("event"), replaces.alias("replaces"))
     rows = read.select(
         "*",
-        F.max(F.when(replaces, F.struct("seq", "text"))).over(group).alias("_last"),
+        F.max(F.when(F.col("replaces"), F.col("event"))).over(group).alias("_last"),
         F.min(F.struct("seq")).over(group).alias("_first"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(group).alias("_role"),
     )
-    alive = rows.filter(F.col("_last").isNull() | (F.struct("seq", "text") >= F.col("_last")))
-    parts = F.sort_array(F.collect_list(F.struct("seq", F.when(F.col("kind") == "delete", F.lit("")).otherwise(F.col("text")).alias("text"))))
+    alive = rows.filter(F.col("_last").isNull() | (F.col("event") >= F.col("_last")))
     return (
         alive.groupBy("conv_id", "message")
         .agg(
             F.first("_first.seq").alias("first_seq"),
             F.coalesce(F.first("_role.role"), F.lit("")).alias("role"),
-            F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"),
-            F.bool_and(F.col("kind") == "delete").alias("_gone"),
+            F.array_join(F.sort_array(F.collect_set("event"))["text"], "").alias("text"),
+            F.bool_and(F.col("event.kind") == "delete").alias("_gone"),
         )
         .filter("not _gone")
         .drop("_gone")
@@ -117,20 +119,36 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def table_events(conversations: DataFrame) -> DataFrame:
-    """A conversation table (conv_id, turn, role, text) as an event log.
+    """A conversation table (conv_id, turn, role, text) as the event log of how it might have come about.
 
-    Every row opens a message; the answers of the assistant arrive in two parts, the second as a delta. Rows of one turn are
-    messages of their own, in order of role and text; equal rows too.
+    An answer of the assistant is opened with a first attempt and a delta, regenerated, and completed by a delta; its opening is
+    delivered twice. Any other row is opened as a draft and edited to its text, and goes with a second message that is opened,
+    streamed to and deleted. Rows of one turn are messages of their own, in order of role and text; equal rows too.
     """
     same_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("message", F.struct(F.col("turn"), F.row_number().over(same_turn).alias("copy")))
+    rows = rows.withColumn("copy", F.row_number().over(same_turn))
     half = (F.length("text") / 2).cast("int")
-    whole = F.struct(F.lit(0).alias("part"), F.lit("message").alias("kind"), F.col("role").alias("role"), F.col("text").alias("text"))
-    opened = F.struct(F.lit(0).alias("part"), F.lit("message").alias("kind"), F.col("role").alias("role"), F.substr("text", F.lit(1), half).alias("text"))
-    more = F.struct(F.lit(1).alias("part"), F.lit("delta").alias("kind"), F.col("role").alias("role"), F.substr("text", half + 1).alias("text"))
-    events = F.when(F.col("role") == LOSS_ROLE, F.array(opened, more)).otherwise(F.array(whole))
-    return rows.select("conv_id", "message", F.inline(events)).select(
+    draft = F.substr("text", F.lit(1), F.lit(DRAFT_CHARS))
+
+    def event(part: int, kind: str, text: Column, dropped: bool = False) -> Column:
+        place = -F.col("copy") if dropped else F.col("copy")
+        return F.struct(
+            F.struct(F.col("turn"), place.alias("copy")).alias("message"), F.lit(part).alias("part"), F.lit(kind).alias("kind"),
+            (F.col("role") if kind == "message" else F.lit(None).cast("string")).alias("role"), text.alias("text"),
+        )
+
+    nothing = F.lit(None).cast("string")
+    answer = [
+        event(0, "message", draft), event(0, "message", draft), event(1, "delta", F.lit(" and so on")), event(2, "regenerate", F.substr("text", F.lit(1), half)),
+        event(3, "delta", F.substr("text", half + 1)),
+    ]
+    other = [
+        event(0, "message", draft), event(1, "edit", F.col("text")), event(0, "message", F.lit("never"), True), event(1, "delta", F.lit(" mind"), True),
+        event(2, "delete", nothing, True),
+    ]
+    events = F.when(F.col("role") == LOSS_ROLE, F.array(*answer)).otherwise(F.array(*other))
+    return rows.select("conv_id", F.inline(events)).select(
         "conv_id", "message", F.struct("message.turn", "message.copy", "part").alias("seq"), "kind", "role", "text"
     )
 

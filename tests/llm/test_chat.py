@@ -58,3 +58,35 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").filter("turn < 3")
     plan = C.chat_digests(spark.range(3).selectExpr("id conv_id", "id turn", "'user' role", "'t' text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and df.count() > 0
+
+
+def folded(spark, log):
+    df = spark.createDataFrame([("c", *e) for e in log], "conv_id string, message string, seq int, kind string, role string, text string")
+    return {r["message"]: r["text"] for r in C.fold_events(df.repartition(3)).collect()}
+
+
+def test_redelivered_and_simultaneous_events(spark):
+    opened = ("a", 1, "message", "user", "Hi")
+    assert folded(spark, [opened, opened]) == {"a": "Hi"}
+    delta = ("a", 2, "delta", None, "y")
+    assert folded(spark, [opened, delta, delta]) == {"a": "Hiy"}
+    assert folded(spark, [("a", 1, "message", "user", "b"), ("a", 1, "delta", None, "a")]) == {"a": "ba"}  # the opening comes first
+    assert folded(spark, [opened, ("a", 3, "delta", None, "x"), ("a", 3, "edit", None, "z")]) == {"a": "zx"}
+    assert folded(spark, [opened, ("a", 2, "delete", None, "ignored"), ("a", 2, "delete", None, "ignored")]) == {}
+    assert folded(spark, [opened, ("a", 2, "delete", None, None), ("a", 3, "delta", None, "back")]) == {"a": "back"}
+    assert folded(spark, [("a", 1, "message", "user", "x"), ("a", 2, "delta", None, "y"), ("a", 3, "delta", None, "y")]) == {"a": "xyy"}
+
+
+def test_a_shuffled_and_redelivered_log_gives_the_same(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    log = C.table_events(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    again = log.unionByName(log.filter(F.pmod(F.xxhash64("seq", "text"), F.lit(3)) < 2)).orderBy(F.xxhash64("text", "seq", "conv_id"))
+    plain, redelivered = (sorted(map(str, C.render(C.fold_events(x)).collect())) for x in (log, again))
+    assert plain == redelivered
+
+
+def test_the_log_of_a_table_folds_to_the_table(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    got = sorted((str(r["conv_id"]), str(r["first_seq"]["turn"]), r["role"], r["text"]) for r in C.fold_events(C.table_events(df)).collect())
+    assert got == sorted((str(c), str(t), role or "", text or "") for c, t, role, text in ROWS)
