@@ -107,9 +107,32 @@ def field(header: Column, name: str) -> Column:
 
 
 def original_records(archive: DataFrame) -> DataFrame:
-    """``record``: the bytes of each record as they would stand in a ``.warc`` file, without the two line ends that close it."""
+    """``record, payload``: the bytes of each record as they would stand in a ``.warc`` file, without the two line ends that close it, and
+    the full payload it stands for."""
     whole = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.col("header")).otherwise(F.concat("header", "payload"))
-    return archive.select(whole.alias("record"))
+    return archive.select(whole.alias("record"), "payload")
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """``header, http, payload``: the parts of each record, cut at its first two empty lines; a revisit has the payload it stands for.
+
+    The block (``http`` and ``body``) must have the declared Content-Length in bytes; a response's body must be the payload, a
+    revisit's must be empty; the block's own Content-Length must be the payload's. Anything else raises.
+    """
+    text = F.col("record").cast("string")
+    cut = records.select(F.substring_index(text, END, 1).alias("header"), text.alias("_text"), "payload")
+    block = F.substr("_text", F.length("header") + len(END) + 1)
+    cut = cut.select("header", block.alias("_block"), "payload")
+    cut = cut.select("header", F.substring_index("_block", END, 1).alias("http"), "_block", "payload")
+    cut = cut.select("header", "http", F.substr("_block", F.length("http") + len(END) + 1).alias("body"), "_block", "payload")
+    declared = field(F.col("header"), "Content-Length").cast("long")
+    own = F.regexp_extract("http", r"\r\nContent-Length: (\d+)", 1).cast("long")
+    expected = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
+    right = (
+        (F.octet_length("_block") == declared) & (own == F.octet_length("payload")) & (F.col("body").cast("binary") == expected)
+    )
+    payload = F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a record is not as long as it declares")))
+    return cut.select("header", "http", payload.alias("payload"))
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 20_000) -> None:
@@ -147,13 +170,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """The pages written to an archive in the shared folder and read back from its records.
 
-    ``page_id, payload_bytes, payload_digest, record_type, refers_to``, one row per page; all values come from the archive. The payload's
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to``, one row per page. Every record is rebuilt from its header and
+    payload, cut into its parts and checked against its declared lengths; all values come from these. The payload's
     SHA-1 must be the one in the header. Repeated rows each have their row, null ids a null id. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark)
     write_archive(pages, folder, id_col, url_col, body_col)
-    back = read_archive(spark, folder).withColumn("sha1", payload_digest(F.col("payload")))
+    back = parsed(original_records(read_archive(spark, folder))).withColumn("sha1", payload_digest(F.col("payload")))
     header = F.col("header")
     same = F.concat(F.lit("sha1:"), "sha1") == field(header, "WARC-Payload-Digest")
     number = lambda name: F.regexp_extract(field(header, name), r"^<urn:x-page:(-?\d+)>$", 1)

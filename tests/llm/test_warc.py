@@ -56,3 +56,14 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.archived_pages(pages(spark, [])).count() == 0
+
+
+def test_records_that_are_not_as_declared_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/x", "body of one"), (2, "http://a/y", "body of one"), (3, None, "")], "page_id long, url string, html string")
+    W.write_archive(pages, str(tmp_path / "a"))
+    records = W.original_records(W.read_archive(spark, str(tmp_path / "a")))
+    assert W.parsed(records).count() == 3 and {bytes(r["payload"]) for r in W.parsed(records).collect()} == {b"body of one", b""}
+    text = F.col("record").cast("string")
+    for damaged in (F.concat(text, F.lit("!")), F.replace(text, F.lit("Content-Length: 11"), F.lit("Content-Length: 12")), F.replace(text, F.lit("body"), F.lit("bode"))):
+        with pytest.raises(Exception, match="not as long as it declares"):
+            W.parsed(records.withColumn("record", damaged.cast("binary"))).collect()
