@@ -61,8 +61,13 @@ def with_arrow_column(
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """Broadcast an object whose class executors need not know. The result, called in a task, gives it back."""
+    return lend(spark, value)[0]
+
+
+def lend(spark: SparkSession, value: Any) -> tuple[Callable[[], Any], Callable[[], None]]:
+    """As ``share``, with a function that frees the broadcast once the job that used it is done."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: cloudpickle.loads(packed.value)
+    return lambda: cloudpickle.loads(packed.value), packed.destroy
 
 
 def ship_by_value(module: str) -> None:

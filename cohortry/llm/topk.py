@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortry.llm.common import share, ship_by_value
-from cohortry.sources.scratch import keep
+from cohortry.llm.common import lend, ship_by_value
+from cohortry.sources.scratch import fresh_path, keep
 
 ship_by_value(__name__)
 
@@ -27,6 +27,7 @@ QUERY_EVERY = 50
 K = 5
 QUERY_BLOCK = 4096
 CANDIDATE_ROWS = 8192
+LONGEST_SQUARE = 2.0**63 * 0.999
 
 
 def quantised(vector: Column) -> Column:
@@ -39,6 +40,11 @@ def is_finite(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, fine), F.lit(False))
 
 
+def _square(vector: Column) -> Column:
+    """Upper bound of the square of a quantised vector's length. No sum of products of two vectors, nor any part of it, passes the greatest."""
+    return F.aggregate(vector, F.lit(0.0), lambda total, x: total + F.pow(F.abs(x.cast("double")) * SCALE + 1, F.lit(2.0)))
+
+
 class Queries:
     """A block of queries as sparse rows."""
 
@@ -117,32 +123,38 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     Vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null id. An empty vector
     scores 0 everywhere. Rows with the query's id are its own; other repeated rows are candidates each, and appear as often.
-    Of several query rows with one id the greatest vector asks. Scores are 64-bit integers. Queries without any other row, and
-    empty tables, give no rows. Other columns are not read.
+    Of several query rows with one id the greatest vector asks. Scores are 64-bit integers; vectors so long that a score could pass
+    them raise ``OverflowError``. Queries without any other row, and empty tables, give no rows. Other columns are not read.
+    Each block of queries is a job of its own whose result is written to the shared folder, so neither the plan nor the driver grows with
+    the number of blocks.
     """
     spark, vector = rows.sparkSession, F.col(f"`{vector_col}`")
-    usable = rows.filter(is_finite(vector) & F.col(f"`{id_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").cast("long").alias("vec_id"), quantised(vector).alias("v")
-    )
-    asked = keep(usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v")))
-    blocks = -(-asked.count() // QUERY_BLOCK)
-    found = None
-    for i in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).orderBy("vec_id").collect()
-        part = usable.mapInArrow(_search(share(spark, Queries(block)), k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    fine = rows.filter(is_finite(vector) & F.col(f"`{id_col}`").isNotNull())
+    longest = fine.agg(F.max(_square(vector))).first()[0] or 0.0
+    if longest >= LONGEST_SQUARE:
+        raise OverflowError("scores of these vectors may pass 64 bits")
+    usable = fine.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), quantised(vector).alias("v"))
+    asked = usable.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
+    blocks = max(1, -(-rows.filter(F.col(f"`{id_col}`") % every == 0).count() // QUERY_BLOCK))
+    dealt = keep(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartitionByRange("block"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = fresh_path(spark)
+    for i in range(blocks):
+        queries, free = lend(spark, Queries(dealt.filter(F.col("block") == i).orderBy("vec_id").collect()))
+        part = usable.mapInArrow(_search(queries, k), "query_id long, vec_id long, score long")
+        ranked = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(found)
+        free()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(found)
 
 
 SQL = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x::DOUBLE) OR isinf(x::DOUBLE))) = 0),
+q AS (SELECT vec_id, max(v) AS v FROM v WHERE vec_id % {QUERY_EVERY} = 0 GROUP BY vec_id),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0),
+  FROM q JOIN v c ON c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
 """

@@ -37,3 +37,30 @@ def test_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(K, "CANDIDATE_ROWS", 7)
     rows = [*BASE, *ODD]
     assert sorted(tuple(r) for r in K.top_k(frame(spark, rows).repartition(5)).collect()) == brute_force(rows)
+
+
+def test_many_blocks_leave_the_plan_alone(spark, monkeypatch):
+    rows = [(50 * i, [float(i % 7), float(i % 5 - 2)]) for i in range(60)]
+    one = K.top_k(frame(spark, rows))
+    monkeypatch.setattr(K, "QUERY_BLOCK", 5)
+    many = K.top_k(frame(spark, rows))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(many) == size(one) == 1
+    assert sorted(tuple(r) for r in many.collect()) == brute_force(rows)
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    with pytest.raises(OverflowError):
+        K.top_k(frame(spark, [(0, [1e17, 1.0]), (1, [1e17, 1.0])]))
+    assert K.top_k(frame(spark, [(0, [1e6, 1.0]), (1, [1e6, -1.0])])).count() == 1
+
+
+def test_sql_has_the_same_rule_for_repeated_ids(spark):
+    import duckdb
+
+    rows = [r for r in [*BASE, *ODD, (100, [8.0, 99.0])] if r[0] is not None]
+    got = sorted(tuple(r) for r in K.top_k(frame(spark, rows)).collect())
+    db = duckdb.connect()
+    table = frame(spark, rows).select("vec_id", "embedding").toArrow()
+    db.register("embeddings", table)
+    assert sorted(db.execute(K.SQL).fetchall(), key=lambda r: (r[0], r[1])) == got
