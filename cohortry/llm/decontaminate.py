@@ -34,7 +34,7 @@ SCORE = 0.6  # share of the item's own score
 OVERLAP = 0.8  # share of the n-grams of the question, and of the answer
 NGRAM = 5
 EDITS = 0.2  # share of the words of an item that may be replaced, left out or added in an edited copy
-LEAST_STRIDE = 64  # passages are two strides long; a stride is no shorter than the longest item
+LEAST_STRIDE = 64  # passages are two strides long; an item's stride is the least of 64, 128, 256, … that is no shorter than it
 BLOCK_ITEMS = 4
 SHARD_POSTINGS = 2_000_000  # postings of the index broadcast at a time
 CHUNK_WORDS = 400_000
@@ -45,11 +45,18 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(word_text(text), " "), lambda w: w != "")
 
 
+def _stride(words: Column) -> Column:
+    return F.when(words <= LEAST_STRIDE, F.lit(LEAST_STRIDE)).otherwise(
+        LEAST_STRIDE * F.pow(F.lit(2), F.length(F.bin(F.floor((words - 1) / LEAST_STRIDE)))).cast("int")
+    )
+
+
 def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The items (slot, item_id, words, question, answer) and the postings (slot, term, impact).
 
     The answer is the last sentence, the question what precedes it; a single sentence is all question. Repeated rows are one
     item, rows of one id with different texts are items of the same id. Rows without an id or without words take no part.
+    Both carry ``stride``, half the length of the passages that an item is looked for in.
     """
     text = F.col("text")
     named = items.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("text")).filter("item_id is not null").distinct()
@@ -61,7 +68,9 @@ def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text
             _words(text).alias("words"),
             F.when(F.col("cut"), _words(F.regexp_extract(text, LAST_SENTENCE, 1))).otherwise(_words(text)).alias("question"),
             F.when(F.col("cut"), _words(F.regexp_extract(text, LAST_SENTENCE, 2))).otherwise(F.array().cast("array<string>")).alias("answer"),
-        ).filter(F.size("words") > 0)
+        )
+        .filter(F.size("words") > 0)
+        .withColumn("stride", _stride(F.size("words")))
     )
     whole = slots.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("len")).first()
     n, mean = whole["n"], whole["len"] or 1.0
@@ -70,9 +79,9 @@ def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     weight = (
         F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
     )
-    weighed = keep(tf.join(df, "term").select("slot", "term", weight.alias("w")))
+    weighed = keep(tf.join(df, "term").select("slot", _stride(F.col("len")).alias("stride"), "term", weight.alias("w")))
     own = weighed.groupBy("slot").agg(F.sum("w").alias("own"))
-    postings = keep(weighed.join(own, "slot").select("slot", "term", F.floor(F.col("w") / F.col("own") * ONE + 0.5).cast("long").alias("impact")))
+    postings = keep(weighed.join(own, "slot").select("slot", "stride", "term", F.floor(F.col("w") / F.col("own") * ONE + 0.5).cast("long").alias("impact")))
     return slots, postings
 
 
@@ -243,26 +252,27 @@ def _chunks(texts: list[str]):
 def with_leaks(docs: DataFrame, items: DataFrame, name: str, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, edits: float = 0.0) -> DataFrame:
     """The documents with an array column ``name`` of (item_id, score, question_overlap, answer_overlap).
 
-    The index is broadcast in shards of at most about ``SHARD_POSTINGS`` postings; each shard is one more step over the same
+    Items are looked for in passages of twice their own stride, so a long item does not widen the passages of others. The index is
+    broadcast in shards of one stride and at most about ``SHARD_POSTINGS`` postings; each shard is one more step over the same
     rows, without an exchange. ``edits`` is the share of an item's words that may be edited in a copy. A null, empty or wordless
     text leaks nothing. Every row is judged by its text alone.
     """
     spark = docs.sparkSession
     slots, postings = build_index(items, item_id, item_text)
-    count, longest = postings.count(), slots.agg(F.max(F.size("words"))).first()[0] or 0
-    shards, stride = -(-count // SHARD_POSTINGS), max(LEAST_STRIDE, longest)
+    sizes = postings.groupBy("stride").count().orderBy("stride").collect()  # strides double: one row per doubling
+    shards = [(r["stride"], i, n) for r in sizes for n in [-(-r["count"] // SHARD_POSTINGS)] for i in range(n)]
     id_type = slots.schema["item_id"].dataType
     hit = T.StructType(
         [T.StructField("item_id", id_type), T.StructField("score", T.LongType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())]
     )
     columns, parts = docs.columns, []
     words = word_text(F.col(f"`{text_col}`"))
-    for i in range(shards):
-        mine = F.pmod(F.xxhash64("slot"), F.lit(shards)) == i
+    for stride, i, n in shards:
+        mine = (F.col("stride") == stride) & (F.pmod(F.xxhash64("slot"), F.lit(n)) == i)
         shard = make_shard(
             slots.filter(mine).select("slot", "item_id", "words", "question", "answer").collect(), postings.filter(mine).collect(), stride, score
         )
-        part = free_name([*columns, name, *parts], f"_leaks{i}")
+        part = free_name([*columns, name, *parts], f"_leaks{len(parts)}")
         docs = with_arrow_column(docs, [words], _finder(share(spark, shard), edits), T.StructField(part, T.ArrayType(hit)))
         parts.append(part)
     found = F.concat(*[F.col(f"`{p}`") for p in parts]) if parts else F.array().cast(T.ArrayType(hit))
@@ -329,20 +339,21 @@ parts AS (SELECT row_number() OVER (ORDER BY item_id, text) AS slot, item_id, {_
     CASE WHEN regexp_extract(text, {_CUT}, 1) <> '' THEN {_sql_words(f'regexp_extract(text, {_CUT}, 2)')} ELSE []::VARCHAR[] END AS answer
   FROM named),
 items AS (SELECT slot, item_id, len(words) AS n, words, {_sql_grams('question')} AS question, {_sql_grams('answer')} AS answer FROM parts WHERE len(words) > 0),
-whole AS (SELECT count(*) AS n, avg(n) AS mean, greatest({LEAST_STRIDE}, max(n)) AS s FROM items),
+whole AS (SELECT count(*) AS n, avg(n) AS mean FROM items),
+strided AS (SELECT *, CASE WHEN n <= {LEAST_STRIDE} THEN {LEAST_STRIDE} ELSE {LEAST_STRIDE} * (1 << length(bin((n - 1) // {LEAST_STRIDE}))) END AS s FROM items),
 tf AS (SELECT slot, n AS len, term, count(*) AS tf FROM (SELECT slot, n, unnest(words) AS term FROM items) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 weighed AS (SELECT slot, term, ln(1 + (whole.n - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * len / mean)) AS w
   FROM tf JOIN df USING (term) CROSS JOIN whole),
-postings AS (SELECT slot, term, floor(w / sum(w) OVER (PARTITION BY slot) * {ONE} + 0.5)::BIGINT AS impact FROM weighed),
+postings AS (SELECT slot, s, term, floor(w / sum(w) OVER (PARTITION BY slot) * {ONE} + 0.5)::BIGINT AS impact FROM weighed JOIN strided USING (slot)),
 docs AS (SELECT doc_id, row_number() OVER () AS row_no, {_sql_words("coalesce(text, '')")} AS words FROM documents),
-passages AS (SELECT doc_id, row_no, k, words[k * s + 1 : k * s + 2 * s] AS words
-  FROM (SELECT doc_id, row_no, words, s, unnest(generate_series(0, greatest(ceil((len(words) - 2 * s) / s::DOUBLE), 0)::BIGINT)) AS k FROM docs CROSS JOIN whole)),
-terms AS (SELECT DISTINCT row_no, k, term FROM (SELECT row_no, k, unnest(words) AS term FROM passages)),
-scored AS (SELECT row_no, k, slot, sum(impact)::BIGINT AS score FROM terms JOIN postings USING (term) GROUP BY ALL HAVING sum(impact) >= {-int(-SCORE * ONE // 1)}),
-bodies AS (SELECT doc_id, row_no, k, ' ' || array_to_string(words, ' ') || ' ' AS body FROM passages),
+passages AS (SELECT doc_id, row_no, s, k, words[k * s + 1 : k * s + 2 * s] AS words
+  FROM (SELECT doc_id, row_no, words, s, unnest(generate_series(0, greatest(ceil((len(words) - 2 * s) / s::DOUBLE), 0)::BIGINT)) AS k FROM docs CROSS JOIN (SELECT DISTINCT s FROM strided))),
+terms AS (SELECT DISTINCT row_no, s, k, term FROM (SELECT row_no, s, k, unnest(words) AS term FROM passages)),
+scored AS (SELECT row_no, s, k, slot, sum(impact)::BIGINT AS score FROM terms JOIN postings USING (s, term) GROUP BY ALL HAVING sum(impact) >= {-int(-SCORE * ONE // 1)}),
+bodies AS (SELECT doc_id, row_no, s, k, ' ' || array_to_string(words, ' ') || ' ' AS body FROM passages),
 judged AS (SELECT doc_id, item_id, score, {_sql_overlap('i.question')} AS q, {_sql_overlap('i.answer')} AS a
-  FROM scored JOIN bodies p USING (row_no, k) JOIN items i USING (slot))
+  FROM scored JOIN bodies p USING (row_no, s, k) JOIN items i USING (slot))
 SELECT doc_id, item_id, max(score) AS score, max(q) AS question_overlap, max(a) AS answer_overlap
 FROM judged WHERE q >= {OVERLAP} AND a >= {OVERLAP} GROUP BY ALL
 """

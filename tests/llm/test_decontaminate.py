@@ -34,7 +34,7 @@ def brute_force(docs, items):
     """All passages against all items with floating-point BM25 and plain sets."""
     named = {(i, t): words_of(t) for i, t in items if i is not None and words_of(t)}
     n, mean = len(named), sum(map(len, named.values())) / len(named)
-    stride = max(D.LEAST_STRIDE, max(map(len, named.values())))
+    strides = {key: next(s for s in (D.LEAST_STRIDE << e for e in range(60)) if s >= len(ws)) for key, ws in named.items()}
     df = Counter(w for ws in named.values() for w in set(ws))
     weights = {}
     for key, ws in named.items():
@@ -46,9 +46,10 @@ def brute_force(docs, items):
     out = {}
     for doc, text in docs:
         ws = words_of(text)
-        for k in range(max(-(-(len(ws) - 2 * stride) // stride), 0) + 1):
-            passage = ws[k * stride : k * stride + 2 * stride]
-            for (item, body), w in weights.items():
+        for (item, body), w in weights.items():
+            stride = strides[item, body]
+            for k in range(max(-(-(len(ws) - 2 * stride) // stride), 0) + 1):
+                passage = ws[k * stride : k * stride + 2 * stride]
                 score = sum(w.get(t, 0) for t in set(passage))
                 if score < D.SCORE * D.ONE:
                     continue
@@ -97,6 +98,30 @@ def test_generated_documents_as_by_brute_force(spark):
     assert got == want and len(got) > 0
 
 
+def test_a_long_item_changes_no_other(spark):
+    """Answer and question of an item 600 words apart are no leak, whatever else is in the benchmark; the long item is found."""
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000))
+    apart = "eight nine ten " + " ".join(f"between{i}" for i in range(600)) + " one two three four five six seven."
+    docs = [(1, apart), (2, f"{FILLER} {long} {FILLER}"), (3, long[: len(long) // 2]), (4, ITEMS[2][1]), (5, f"{FILLER} {ITEMS[0][1]}")]
+    alone, more = found(spark, docs), found(spark, docs, [*ITEMS, (9, long)])
+    assert set(alone) == {(4, 3), (5, 1)} and set(more) == {*alone, (2, 9)}
+    assert more == brute_force(docs, [*ITEMS, (9, long)])
+
+
+def test_sql_with_items_of_all_lengths(spark):
+    import duckdb
+
+    rng = random.Random(9)
+    items = [*ITEMS, *[(20 + n, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))) for n in (63, 64, 65, 128, 129, 300)]]
+    docs = [*DOCS, *[(100 + i, f"{FILLER} {t} {FILLER}") for i, (_, t) in enumerate(items) if t]]
+    db = duckdb.connect()
+    db.register("documents", spark.createDataFrame(docs, "doc_id long, text string").toArrow())
+    db.register("benchmark", spark.createDataFrame(items, "item_id long, text string").toArrow())
+    want = {tuple(r[:2]): tuple(r[2:]) for r in db.execute(D.SQL).fetchall()}
+    assert want == found(spark, docs, items) == brute_force(docs, items) and len(want) >= 12
+
+
 def test_empty_tables(spark):
     assert found(spark, docs=[]) == {}
     assert found(spark, items=[]) == {}
