@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import tails
 from cohortry.functions.columns import ALPHA
+from cohortry.functions.gram import MOST_SUMS, product_sums
 from cohortry.operators.ranks import numeric_limits, range_of, running_totals
 from cohortry.operators.regression import INTERCEPT, mark_of
 from cohortry.operators.splits import FOLDS, stratified_folds
@@ -71,10 +72,11 @@ def population_scale(df: DataFrame, predictors: Sequence[str] = PREDICTORS) -> S
 # --- fitting ---------------------------------------------------------------------------------------------------
 
 
-def _newton_sums(rows: DataFrame, names: Sequence[str], beta: Sequence[Column]) -> DataFrame:
-    """Per model the sums one Newton step needs: log-likelihood, gradient and the upper half of the information.
+def _newton_sums(rows: DataFrame, names: Sequence[str], beta: Sequence[Column]) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+    """Per model what one Newton step needs: log-likelihood, gradient and information.
 
-    The linear predictor, and what follows from it, are computed once per row below the aggregation.
+    The linear predictor, and what follows from it, are computed once per row below the aggregation. More sums than generated code
+    takes are formed as blocks of products.
     """
     terms = [beta[0], *[b * F.col(n) for b, n in zip(beta[1:], names)]]
     staged = (
@@ -88,12 +90,20 @@ def _newton_sums(rows: DataFrame, names: Sequence[str], beta: Sequence[Column])
             F.expr("w * p * (1 - p)").alias("curve"),
         )
     )
+    k = len(names)
+    if (k + 1) * (k + 4) // 2 + 1 > MOST_SUMS:
+        blocks = product_sums(staged, "model", ["curve", "gap", "l"], names)
+        return [(m, float(rest[1, 0]), rest[0], information) for m, (information, rest) in blocks.items()]
     x = ["1D", *names]
     sums = ["sum(l) AS ll"]
     for i, xi in enumerate(x):
         sums.append(f"sum(gap * {xi}) AS g{i}")
-        sums += [f"sum(curve * {xi} * {x[j]}) AS h{i}_{j}" for j in range(i, len(x))]
-    return staged.groupBy("model").agg(*[F.expr(e) for e in sums])
+        sums += [f"sum(curve * {xi} * {x[j]}) AS h{i}_{j}" for j in range(i, k + 1)]
+    out = []
+    for row in staged.groupBy("model").agg(*[F.expr(e) for e in sums]).collect():
+        upper = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+        out.append((row["model"], row["ll"], np.array([row[f"g{i}"] for i in range(k + 1)]), upper))
+    return out
 
 
 class NotConverged(RuntimeError):
@@ -115,8 +125,7 @@ def newton_fits(
 
     ``model`` gives the models a row trains, as an array of indices; by default the single model 0. ``weight`` is an
     array with the row's weight in each model. Every step is one
-    aggregation grouped by model, so all models share its pass over the data, and only (k + 1)(k + 4) / 2 + 1 sums per
-    model reach the driver. The intercept is not penalised. Returns coefficients (intercept first), information matrix
+    aggregation grouped by model, so all models share its pass over the data, and only sums, about k^2 a model, reach the driver. The intercept is not penalised. Returns coefficients (intercept first), information matrix
     and log-likelihood per model. A step that lowers the likelihood is halved. A fit that has not settled after ``steps``
     steps, or whose classes a predictor separates, raises ``NotConverged``.
     """
@@ -149,18 +158,15 @@ def _climb(
     for _ in range(steps):
         current = [F.element_at(F.lit([float(v) for v in beta[:, i]]), F.col("model") + 1) for i in range(k + 1)]
         moved = 0.0
-        for row in _newton_sums(per_model, names, current).collect():
-            m = row["model"]
-            objective = row["ll"] - beta[m] @ ridge @ beta[m] / 2
+        for m, ll, gradient, curvature in _newton_sums(per_model, names, current):
+            objective = ll - beta[m] @ ridge @ beta[m] / 2
             if objective < best[m] - 1e-12 * abs(best[m]):
                 beta[m] = (beta[m] + before[m]) / 2
                 moved = math.inf
                 continue
-            for i in range(k + 1):
-                for j in range(i, k + 1):
-                    information[m, i, j] = information[m, j, i] = row[f"h{i}_{j}"]
-            gradient = np.array([row[f"g{i}"] for i in range(k + 1)]) - ridge @ beta[m]
-            likelihood[m], best[m], before[m] = row["ll"], objective, beta[m].copy()
+            information[m] = curvature
+            gradient = gradient - ridge @ beta[m]
+            likelihood[m], best[m], before[m] = ll, objective, beta[m].copy()
             if not np.linalg.cond(information[m] + ridge) < SINGULAR:
                 raise NotConverged(f"model {m}: singular information; predictors separate the classes or repeat each other")
             step = np.linalg.solve(information[m] + ridge, gradient)

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from cohortry.functions import tails
 from cohortry.functions.columns import ALPHA, SIGNIFICANCE_MARKS, normal_quantile
+from cohortry.functions.gram import MOST_SUMS, product_sums
 from cohortry.operators.ranks import key_limits, range_of, value_positions
 
 TARGET = "avg_order_value"
@@ -102,22 +103,28 @@ def complete_rows(df: DataFrame, predictors: Sequence[str] = PREDICTORS, target:
 
 
 def fit_linear(df: DataFrame, predictors: Sequence[str] = PREDICTORS, target: str = TARGET) -> LinearFit:
-    """One aggregation over the complete rows; the small system is solved where its moments arrive."""
+    """One aggregation over the complete rows; the small system is solved where its moments arrive.
+
+    With more moments than generated code takes, a first pass finds the means and a second the products of deviations from them.
+    """
     names = [*predictors, target]
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-    row = (
-        complete_rows(df, predictors, target)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-            *[F.covar_samp(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
-        )
-        .first()
-    )
-    cov = np.zeros((len(names), len(names)))
+    k, rows = len(names), complete_rows(df, predictors, target)
+    n, means = F.count(F.lit(1)).alias("n"), [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]
+    pairs = list(combinations_with_replacement(range(k), 2))
+    if 1 + k + len(pairs) > MOST_SUMS:
+        row = rows.agg(n, *means).first()
+        mean = [row[f"m{i}"] for i in range(k)]
+        shifted = [(F.col(c) - F.lit(m)).cast("double").alias(f"d{i}") for i, (c, m) in enumerate(zip(names, mean))]
+        one = rows.select(F.lit(0).alias("key"), F.lit(1.0).alias("w"), *shifted)
+        products, _ = product_sums(one, "key", ["w"], [f"d{i}" for i in range(k)])[0]
+        rest = products[0, 1:] / row["n"]  # what rounding left in the means
+        cov = (products[1:, 1:] - row["n"] * np.outer(rest, rest)) / (row["n"] - 1)
+        return LinearFit(target, tuple(predictors), row["n"], np.array(mean) + rest, cov)
+    row = rows.agg(n, *means, *[F.covar_samp(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((k, k))
     for i, j in pairs:
         cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    return LinearFit(target, tuple(predictors), row["n"], np.array([row[f"m{i}"] for i in range(len(names))]), cov)
+    return LinearFit(target, tuple(predictors), row["n"], np.array([row[f"m{i}"] for i in range(k)]), cov)
 
 
 def coefficient_table(spark: SparkSession, fit: LinearFit) -> DataFrame:
