@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import decontaminate, ngram_join, packing, quality
+from cohortry.llm import decontaminate, ngram_join, packing, quality, token_counts
 from cohortry.sources.scratch import keep
 
 
@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its bucket, batch and slot."""
-    return packing.pack(docs)
+    """One row per piece of a document, with its bucket, batch and slot; lengths in pieces of the vocabulary."""
+    return packing.pack(docs, vocabulary=token_counts.VOCABULARY)
 
 
 STAGES = [

@@ -1,7 +1,9 @@
 """The stages by brute force, each on what its predecessor kept."""
 
+import functools
+
 import corpus_pipeline as P
-from cohortry.llm import quality
+from cohortry.llm import quality, token_counts
 
 from .helpers import classes_by_brute_force, words_of
 from .test_decontaminate import brute_force as leaks_by_brute_force
@@ -31,7 +33,18 @@ def test_stages_by_brute_force(spark):
     assert sorted(ids["decontamination"]) == sorted(unique - leaking) and leaking
     assert set(ids["packing"]) == unique - leaking
     tokens = {r["doc_id"]: r["n"] for r in results["packing"].groupBy("doc_id").sum("n_tokens").withColumnRenamed("sum(n_tokens)", "n").collect()}
-    assert all(tokens[i] == len(rows[i].split()) for i in unique - leaking)
+    vocabulary = set(token_counts.read_ranks())
+    longest = max(map(len, vocabulary))
+
+    @functools.cache
+    def pieces_by_hand(word):
+        n, at = 0, 0
+        while at < len(word):
+            at = next(e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocabulary)
+            n += 1
+        return n
+
+    assert all(tokens[i] == sum(pieces_by_hand(b" " + w.encode()) for w in rows[i].split()) for i in unique - leaking)
     assert [words_of(rows[i]) for i in unique - leaking]
 
 
