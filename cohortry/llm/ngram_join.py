@@ -319,12 +319,15 @@ def one_of_each(
     sketches, decided = _classes(docs, id_col, text_col, threshold, tolerance)
     mark = free_name(docs.columns, "_digest")
     marked = docs.withColumn(mark, digest_of(word_text(F.col(f"`{text_col}`"))))
-    fate = sketches.join(decided, "digest", "left").filter("class is not null").select(
-        F.col("doc_id").alias("_k1"),
-        F.col("digest").alias("_k2"),
-        ((F.col("class.digest") == F.col("digest")) & F.col("class.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays"),
+    folded = sketches.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))  # first, so that the join may split a digest of many copies
+    counted = keep(
+        folded.join(decided.select("digest", "class"), "digest").select(
+            F.col("doc_id").alias("_k1"),
+            F.col("digest").alias("_k2"),
+            ((F.col("class.digest") == F.col("digest")) & F.col("class.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays"),
+            "n",
+        )
     )
-    counted = keep(fate.groupBy("_k1", "_k2", "stays").agg(F.count("*").alias("n")))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("_k1")) & (F.col(mark) == F.col("_k2"))
     left = marked.join(counted.filter("not stays").select("_k1", "_k2"), same, "left_anti")
     repeated = counted.filter("stays and n > 1").select("_k1", "_k2")
