@@ -4,8 +4,10 @@ Overlapping heuristic labellers vote good, bad or abstain on every document. The
 vote is bad) are estimated without any true label by expectation-maximisation over the counts of vote patterns, of which there
 are at most 3 ** (number of labellers), whatever the size of the corpus. Abstaining says nothing about the class. Each labeller
 looks for one kind of junk, so in most bad documents most of them vote good; what the model may assume is that they seldom
-accuse good text. That is a prior on the rate of false alarms, weighing as much as the corpus. The posterior of each pattern
-labels a bounded sample, on which a linear scorer over hashed features is trained; the scorer judges every document.
+accuse good text. That is a prior on the rate of false alarms, weighing as much as the corpus: it decides what the two classes are. It
+also draws the rates it is about towards itself, so once the classes have settled, ``rates`` are counted from them without it. The
+posterior of each pattern labels a bounded sample, on which a linear scorer over hashed features is trained; the scorer judges every
+document.
 """
 
 from __future__ import annotations
@@ -130,10 +132,15 @@ def hashed_features(stats: dict[str, float], raw: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(bad), and for each class (0 good, 1 bad) and labeller the share of bad votes among its votes."""
+    """P(bad), and for each class (0 good, 1 bad) and labeller the share of bad votes among its votes.
+
+    ``accuses`` holds the shares that posteriors are formed with, the prior on false alarms included; ``rates`` the shares that these
+    posteriors find in the votes, without it.
+    """
 
     prior: float
     accuses: np.ndarray
+    rates: np.ndarray
 
     def posterior(self, pattern: np.ndarray) -> np.ndarray:
         """P(good) of vote patterns."""
@@ -146,14 +153,16 @@ def fit_label_model(pattern: np.ndarray, counts: np.ndarray, tolerance: float =
     """Expectation-maximisation over pattern counts."""
     n, v = counts.astype(float), votes_of(pattern)
     accuse, acquit = (v == BAD).astype(float), (v == GOOD).astype(float)
-    model = LabelModel(0.1, np.repeat([[FALSE_ALARMS], [0.4]], len(LABELLERS), axis=1))
+    start = np.repeat([[FALSE_ALARMS], [0.4]], len(LABELLERS), axis=1)
+    model = LabelModel(0.1, start, start)
     for _ in range(most):
         good = model.posterior(pattern)
         weights = np.stack([good * n, (1 - good) * n])
         bad_votes, good_votes = weights @ accuse + 0.5, weights @ acquit + 0.5
+        rates = bad_votes / (bad_votes + good_votes)
         bad_votes[0] += FALSE_ALARMS * n.sum()
         good_votes[0] += (1 - FALSE_ALARMS) * n.sum()
-        after = LabelModel((weights[1].sum() + 0.5) / (n.sum() + 1), bad_votes / (bad_votes + good_votes))
+        after = LabelModel((weights[1].sum() + 0.5) / (n.sum() + 1), bad_votes / (bad_votes + good_votes), rates)
         moved = max(abs(after.prior - model.prior), float(np.abs(after.accuses - model.accuses).max()))
         model = after
         if moved < tolerance:

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from cohortry.llm import quality as Q
 
@@ -32,6 +35,67 @@ def test_label_model_as_by_rows():
     assert ((model.posterior(pattern) < 0.5) == bad).mean() > 0.99
 
 
+def votes_at(rng, n, alarms):
+    """Bad rows, one in seven, and votes: labellers accuse bad rows at rates from 0.3 to 0.9, good ones at the rates given."""
+    k = len(Q.LABELLERS)
+    bad = rng.random(n) < 0.14
+    accused = rng.random((n, k)) < np.where(bad[:, None], np.linspace(0.3, 0.9, k)[None, :], np.asarray(alarms)[None, :])
+    return bad, np.where(rng.random((n, k)) < 0.1, Q.ABSTAIN, np.where(accused, Q.BAD, Q.GOOD))
+
+
+def fitted(votes):
+    pattern = votes @ (3 ** np.arange(len(Q.LABELLERS) - 1, -1, -1))
+    unique, counts = np.unique(pattern, return_counts=True)
+    return pattern, Q.fit_label_model(unique, counts)
+
+
+@pytest.mark.parametrize("rate", [0.002, 0.01, 0.02, 0.05, 0.1])
+def test_false_alarms_outweigh_their_prior(rate):
+    """A labeller that accuses more good documents than the prior says is estimated at what it does."""
+    alarms = np.full(len(Q.LABELLERS), 0.002)
+    alarms[3] = rate
+    bad, votes = votes_at(np.random.default_rng(17), 60_000, alarms)
+    pattern, model = fitted(votes)
+    assert np.abs(model.rates[0] - alarms).max() < 0.001 + 0.03 * rate
+    assert np.abs(model.rates[1] - np.linspace(0.3, 0.9, len(alarms))).max() < 0.03
+    called = model.posterior(pattern) < 0.5
+    assert called[~bad].mean() < 0.005 and called[bad].mean() > 0.97
+
+
+def by_definition(rows, alarm=0.002):
+    """The label model row by row and vote by vote, in plain numbers: P(good) of each row, rates of bad votes by class without the prior."""
+    k, n = len(rows[0]), len(rows)
+    share, rates = 0.1, {"good": [alarm] * k, "bad": [0.4] * k}
+
+    def chance(row, kind):
+        return math.prod(r if v == "b" else 1 - r for v, r in zip(row, rates[kind]) if v != "-")
+
+    found = {}
+    for _ in range(250):
+        good = [(1 - share) * g / ((1 - share) * g + share * b) for g, b in ((chance(r, "good"), chance(r, "bad")) for r in rows)]
+        share = (sum(1 - p for p in good) + 0.5) / (n + 1)
+        for kind, part, extra in (("good", good, n), ("bad", [1 - p for p in good], 0)):
+            told = [[sum(p for p, r in zip(part, rows) if r[j] == letter) + 0.5 for letter in "bg"] for j in range(k)]
+            found[kind] = [b / (b + g) for b, g in told]
+            rates[kind] = [(b + alarm * extra) / (b + g + extra) for b, g in told]
+    return good, found
+
+
+def test_posteriors_by_brute_force():
+    alarms = [0.002, 0.03, 0.002, 0.002, 0.05, 0.002, 0.002]
+    _, votes = votes_at(np.random.default_rng(23), 400, alarms)
+    pattern, model = fitted(votes)
+    good, rates = by_definition(["".join("-gb"[v] for v in row) for row in votes])
+    assert np.allclose(model.posterior(pattern), good, atol=1e-5)
+    assert np.allclose(model.rates, [rates["good"], rates["bad"]], atol=1e-5)
+
+
+def test_label_scores_of_the_query_by_brute_force(spark):
+    rows = Q.quality_scores(spark.read.parquet(f"{BASE}/documents.parquet")).filter("votes is not null").select("votes", "label_score").collect()
+    good, _ = by_definition([r["votes"] for r in rows])
+    assert np.allclose([r["label_score"] for r in rows], good, atol=1e-4)
+
+
 def test_scorer_learns_a_linear_rule():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 40)).astype(np.float32) / 6
