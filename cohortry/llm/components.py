@@ -20,12 +20,17 @@ from cohortry.sources.scratch import keep
 SALTS = 64
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str, by: str) -> DataFrame:
+    """The rows with ``name``, the least ``value`` of their ``key``. Rows move by (key, salt of ``by``); by ``key`` alone only one row a salt does."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(key, "salt").agg(F.min(value).alias("part"))
+    back = parts.select(key, "salt", F.min("part").over(Window.partitionBy(key)).alias(name))  # at most SALTS rows a key
+    return dealt.join(back, [key, "salt"]).drop("salt")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
-    """The edges with ``m``, the least ``v`` of their ``u``. Edges move by (u, salt); by ``u`` alone only one row a salt does."""
-    dealt = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
-    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("part"))
-    back = parts.select("u", "salt", F.min("part").over(Window.partitionBy("u")).alias("m"))  # at most SALTS rows a node
-    return dealt.join(back, ["u", "salt"]).select("u", "v", "m")
+    """The edges with ``m``, the least ``v`` of their ``u``."""
+    return with_least(edges.select("u", "v"), "u", "v", "m", "v")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

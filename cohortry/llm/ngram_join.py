@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from cohortry.llm.bloom import build, key_hash
 from cohortry.llm.common import free_name, share, ship_by_value, small_batches, word_text
-from cohortry.llm.components import connected
+from cohortry.llm.components import connected, with_least
 from cohortry.sources.scratch import keep
 
 WORDS = 5
@@ -280,12 +280,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     roots = connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     linked_reps = reps.select("node", "digest", "doc_id", "copies").join(total, "node", "left").join(roots, "node", "left")
     linked_reps = linked_reps.withColumn("root", F.coalesce("root", "node"))
-    first = linked_reps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("class"))
-    decided = keep(
-        linked_reps.join(first, "root").select(
-            "digest", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-        )
-    )
+    named = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    told = with_least(linked_reps.select("root", named.alias("name"), "digest", "copies", "links"), "root", "name", "class", "digest")
+    decided = keep(told.select("digest", "class", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     return sketches.select("doc_id", "digest"), decided
 
 
