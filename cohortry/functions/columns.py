@@ -29,7 +29,8 @@ def whole_days(start: Column, end: Column) -> Column:
 def most_counted(value: str | Column, rows: str) -> Column:
     """Aggregate over counted values: the one with the most ``rows``, nulls ignored, smallest value on a tie, null when there is none."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.min_by(value, F.when(value.isNotNull(), F.struct(-F.col(rows), value)))
+    ranked = F.struct((-F.col(rows)).alias("order"), value.alias("value"))  # the value is held and sent once
+    return F.min(F.when(value.isNotNull(), ranked))["value"]
 
 
 def on_grid(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,32 @@ def delivered(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("order_status") == DELIVERED)
 
 
+MASK_BITS = 1 << 27  # 64 a row, so at most 2 million rows are broadcast, however many keys there are
+
+
+def held_back(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows without most of those whose key is not wanted, nothing shuffled; rows of a wanted key all stay, a null key is never wanted.
+
+    Each wanted key marks a bit, and the words that hold a mark are broadcast. A row stays if the bit of its key is marked, so some
+    with another key stay too, more of them the more keys are wanted: a join by key must follow. Rows keep their partitioning. Keys of
+    two types, which a join may still match, have other bits: then all rows stay.
+    """
+    if rows.schema[key].dataType != wanted.schema[key].dataType:
+        return rows
+    bit = F.pmod(F.xxhash64(key), F.lit(MASK_BITS))
+    marks = wanted.select(key).filter(F.col(key).isNotNull()).distinct().select(F.shiftright(bit, 6).alias("_word"), bit.alias("_bit"))
+    words = marks.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_marks"))
+    placed = rows.filter(F.col(key).isNotNull()).withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    marked = placed.join(F.broadcast(words), "_word").filter(F.expr("shiftright(_marks, cast(_bit & 63 as int)) & 1L") == 1)
+    return marked.select(*rows.columns)
+
+
+def of_orders(t: Tables, orders: DataFrame) -> Tables:
+    """The bundle with few items, reviews and payments of other orders, so that folds by order shuffle about what the orders need."""
+    names = ("order_items", "order_reviews", "order_payments")
+    return replace(t, **{n: held_back(getattr(t, n), "order_id", orders) for n in names})
+
+
 def order_summary(items: DataFrame) -> DataFrame:
     """Per order: price sum, freight sum and number of items."""
     return items.groupBy("order_id").agg(
@@ -116,14 +144,16 @@ def order_top_category(t: Tables) -> DataFrame:
 def order_features(t: Tables) -> DataFrame:
     """One row per delivered order with its customer, timings, money, score and payment.
 
-    All joins by order come first, so tables stored by order are joined where they lie.
+    Rows of other orders are held back before anything is folded. All joins by order come first, so tables stored by order are
+    joined where they lie.
     """
     customers = t.customers.filter(F.col("customer_unique_id").isNotNull())
+    orders = delivered(t.orders)
+    own = of_orders(t, orders)
     return (
-        delivered(t.orders)
-        .join(order_items_folded(t), "order_id", "left")
-        .join(order_review(t.order_reviews), "order_id", "left")
-        .join(order_payment(t.order_payments).drop("payment_value"), "order_id", "left")
+        orders.join(order_items_folded(own), "order_id", "left")
+        .join(order_review(own.order_reviews), "order_id", "left")
+        .join(order_payment(own.order_payments).drop("payment_value"), "order_id", "left")
         .join(customers, "customer_id", "left")
         .withColumn(
             "delay_days",

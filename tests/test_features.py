@@ -160,3 +160,17 @@ def test_parquet_and_catalog_scans(spark, tables, tmp_path):
     from_views = load(spark, {n: f"scan_{n}" for n in SCHEMAS}, "table")
     assert sorted(map(str, fx.customer_features(from_files).collect())) == expected
     assert sorted(map(str, fx.customer_features(from_views).collect())) == expected
+
+
+def test_rows_of_other_orders_are_held_back(spark, tables):
+    orders = spark.range(0, 40_000, 40).select(F.col("id").alias("order_id"))
+    rows = spark.range(40_000).select(F.when(F.col("id") < 39_990, F.col("id")).alias("order_id"), F.lit("x").alias("note"))
+    kept = fx.held_back(rows, "order_id", orders.union(orders).union(spark.sql("SELECT CAST(NULL AS BIGINT)")))
+    assert kept.columns == rows.columns and kept.filter("order_id % 40 = 0").count() == 1000
+    assert kept.count() < 1500 and kept.filter("order_id IS NULL").isEmpty()
+    assert "Exchange hashpartitioning(order_id" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert fx.held_back(rows.withColumn("order_id", F.col("order_id").cast("int")), "order_id", orders).count() == 40_000
+    own = fx.of_orders(tables, fx.delivered(tables.orders))
+    assert {r["order_id"] for r in own.order_items.collect()} == {"o1", "o2", "o6"}  # o4 is shipped, not delivered
+    plan = fx.order_features(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("bit_or") >= 1
