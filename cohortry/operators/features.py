@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import UNKNOWN, most_counted, on_grid, whole_days
 from cohortry.operators.ranks import exact_quantiles
+from cohortry.sources.scratch import keep
 from cohortry.sources.tables import Tables
 
 DELIVERED = "delivered"
@@ -225,7 +226,7 @@ def median_score(rolled: DataFrame) -> float | None:
 
 
 def customer_features(t: Tables) -> DataFrame:
-    """The 13-column feature table. Computes the median score while building, so persist the result's input or use
-    :class:`cohortry.plans.workspace.Workspace`, which does, when several analyses share it."""
-    rolled = customer_rollup(order_features(t))
+    """The 13-column feature table. The rollup is kept, since the median score and the result both read it. Use
+    :class:`cohortry.plans.workspace.Workspace` when several analyses share the table."""
+    rolled = keep(customer_rollup(order_features(t)))
     return fill_gaps(rolled, median_score(rolled))

@@ -26,8 +26,7 @@ class Workspace:
 
     @cached_property
     def features(self) -> DataFrame:
-        rolled = keep(features.customer_rollup(features.order_features(self.tables)))
-        return features.fill_gaps(rolled, features.median_score(rolled))
+        return features.customer_features(self.tables)
 
     @cached_property
     def keyed(self) -> Tables:

@@ -174,3 +174,19 @@ def test_rows_of_other_orders_are_held_back(spark, tables):
     assert {r["order_id"] for r in own.order_items.collect()} == {"o1", "o2", "o6"}  # o4 is shipped, not delivered
     plan = fx.order_features(tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("bit_or") >= 1
+
+
+def test_features_are_rolled_up_once(spark, tables, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = tables.orders.coalesce(1).mapInArrow(counted, tables.orders.schema)
+    once = fx.replace(tables, orders=rows)
+    fx.order_features(once).collect()
+    scans, start = seen.value, seen.value
+    fx.customer_features(once).collect()
+    assert seen.value - start == scans  # the median and the result read the kept rollup
