@@ -13,6 +13,10 @@ from cohortry.sources.star import star_tables
 from cohortry.sources.tables import SCHEMAS, Tables, load
 
 
+CSV_RECORDS = 1_000_000  # most records of a file
+FAST = {"zlib.compress.level": "BEST_SPEED"}
+
+
 class Workspace:
     """Everything derived from one set of base tables that more than one analysis reads.
 
@@ -39,11 +43,11 @@ class Workspace:
 
     @cached_property
     def from_csv(self) -> Tables:
-        """The base tables written as CSV and scanned again."""
+        """The base tables written as CSV and scanned again. A compressed file is one task of the scan, so files are bounded."""
         spark = self.tables.orders.sparkSession
         path = fresh_path(spark)
         for name, df in self.tables.named().items():
-            df.write.option("header", True).csv(f"{path}/{name}")
+            df.write.options(header=True, compression="gzip", maxRecordsPerFile=CSV_RECORDS, **FAST).csv(f"{path}/{name}")
         return load(spark, {name: f"{path}/{name}" for name in SCHEMAS}, "csv")
 
     def factor_rows(self, factor: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators import features
-from cohortry.plans import reports
+from cohortry.plans import reports, workspace
 from cohortry.plans.workspace import Workspace
 from cohortry.sources import keyed, sinks
 from cohortry.sources.star import star_tables
@@ -79,3 +79,15 @@ def test_reports_as_a_set(spark, tmp_path):
     read = sinks.read_results(spark, str(tmp_path))
     assert set(read) == set(paths) and {n.split("/")[0] for n in read} == {"segments", "comparison"}
     assert read["segments/segments"].count() >= 1
+
+
+@needs_data
+def test_csv_copies_are_compressed_files_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(workspace, "CSV_RECORDS", 500)
+    tables = star_tables(spark, BASE)
+    back = Workspace(tables).from_csv
+    for name, df in back.named().items():
+        files = df.inputFiles()
+        assert all(f.endswith(".csv.gz") for f in files) and len(files) >= tables.named()[name].count() / 500, name
+    want = tables.order_items.select([F.col(c).cast(t) for c, t in back.order_items.dtypes])
+    assert want.exceptAll(back.order_items).isEmpty() and back.order_items.exceptAll(want).isEmpty()  # doubles to the last bit
