@@ -4,12 +4,15 @@
 2. Each representative gets MinHash values over its five-word shingles. Representatives that agree in all values of some
    band are joined by an edge to the band bucket's smallest member (linear in the bucket, hot buckets included), and
    connected components of these edges hold every pair that shares a bucket, and more.
-3. A large component is cut into blocks of bounded size, members of a bucket together where it can be; two blocks are one unit of work if
-   some bucket has members in both. Within a unit, pairs are compared a few MinHash values at a time. With m of n values equal and a uniform prior, the similarity's posterior is
+3. A large component is dealt into groups by buckets. Each group has a *centre*, a set of shingles, and its members lie in *rings* by
+   what they share with it. Exact bounds by these counts tell of two rings that all pairs between them are links, which are then counted
+   and not made, or that none is.
+4. Rings are cut into blocks of bounded size; two blocks are one unit of work if some bucket has members in both and the bounds leave their rings
+   open. Within a unit, pairs are compared a few MinHash values at a time. With m of n values equal and a uniform prior, the similarity's posterior is
    Beta(m + 1, n - m + 1); a pair is dropped once P(similarity >= threshold) falls below the tolerance. Every pair that
    survives all values is verified on the full shingle sets.
-4. A unit returns one row per member that has links: its number of links and the smallest member it is connected to in the
-   unit. Pairs are never rows. Components of these rows are the classes.
+5. A unit returns one row per member that has links: its number of links and the smallest member it is connected to in the
+   unit. Pairs are never rows. Components of these rows, and of the links that were counted, are the classes.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cohortry.llm.bloom import build, key_hash
 from cohortry.llm.common import free_name, share, ship_by_value, small_batches, word_text
@@ -35,6 +39,8 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 misses every band with probability (1 - 0.8
 STEP = 16  # MinHash values compared at a time
 BLOCK_MEMBERS = 64
 BLOCK_SHINGLES = 1_000_000
+SCALE = 1_000_000  # the threshold is compared in whole millionths
+LEVELS = 1024  # steps of nearness to a centre, so many for the part a text may share with it
 CACHED_WORDS = 100_000
 FILTER_BITS = 1 << 27  # most bits (16 MB) of the filter that holds back texts without candidates
 
@@ -110,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles and MinHash values of the texts."""
     hashes = _WordHash()
-    names = ["chunk", "node", "copies"]
+    names = ["node", "copies"]
     for b in small_batches(batches):
         sets = [shingle_set(t.split(), hashes) for t in b.column("words").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -161,7 +167,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l, sig_r, same:
     """Boolean matrix of the pairs with Jaccard similarity of at least the threshold."""
     out = np.zeros((len(left), len(right)), bool)
     nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    scale, least = 1_000_000, round(threshold * 1_000_000)
+    scale, least = SCALE, round(threshold * SCALE)
     fits = np.minimum(nl[:, None], nr[None, :]) * scale >= least * np.maximum(nl[:, None], nr[None, :])
     i, j = surviving_pairs(sig_l, sig_r, np.nonzero(np.triu(fits, 1) if same else fits), threshold, tolerance)
     if len(i):
@@ -200,6 +206,96 @@ def _unit(table: pa.Table, threshold: float, tolerance: float) -> pa.Table:
     return pa.table({"node": nodes[has], "root": nodes[root[has]], "links": (found * copies[None, :]).sum(axis=1)[has].astype(np.int64)})
 
 
+def _centre(table: pa.Table) -> pa.Table:
+    """The shingles that more than half of a group's sampled members hold. Any set would give right bounds; this one is near to many."""
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    values, n = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.table({"home": table.column("home")[:1], "centre": pa.array([values[2 * n > len(sets)].tobytes()], pa.binary())})
+
+
+def _nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles each member shares with its centre, and the size of that."""
+    for b in small_batches(batches):
+        both, sizes = [], []
+        for one, centre in zip(b.column("set"), b.column("centre")):
+            a, c = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(centre.as_py() or b"", np.uint64)
+            both.append(len(np.intersect1d(a, c, assume_unique=True)))
+            sizes.append(len(c))
+        kept = ["home", "node", "copies", "shingles"]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(c) for c in kept], pa.array(both, pa.int64()), pa.array(sizes, pa.int64())], names=[*kept, "inside", "size"]
+        )
+
+
+def _rings(homed: DataFrame, signed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members ``node, copies, home, ring, chunk`` of large components, and ``home, ring, other, all``: the rings that need no comparison, all linked or none.
+
+    Of n shingles of a member, i lie in the centre of c and x outside. Two members share at least i + i' - c, at most i + x' or i' + x.
+    They are linked if S * shared >= L * (n + n'), with L the threshold and S one more, in whole numbers. With f = S * i - L * n and g = S * x - L * n:
+    they are if f + f' >= S * c, and are not if f + g' < 0 or f' + g < 0. Rings are ranges of f and tell with their extremes.
+    """
+    least = round(threshold * SCALE)
+    whole = SCALE + least
+    parts = homed.groupBy("home").agg(_blocks_for().alias("parts"))
+    dealt = homed.join(parts, "home").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.join(signed.select("node", F.col("shingles").alias("set")), "node")
+    # one part of each group is an even sample of at most about a block; the centre goes to each part, not to one task
+    centres = dealt.filter("part = 0").select("home", F.col("set").alias("shingles")).groupBy("home").applyInArrow(_centre, "home long, centre binary")
+    sent = centres.join(parts, "home").select("home", "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = dealt.join(sent, ["home", "part"], "left").select("home", "node", "copies", "shingles", "set", "centre")
+    told = near.mapInArrow(_nearness, "home long, node long, copies long, shingles long, inside long, size long").select(
+        "home",
+        "node",
+        "copies",
+        "shingles",
+        (F.col("size") * whole).alias("enough"),
+        (F.col("inside") * whole - F.col("shingles") * least).alias("f"),
+        ((F.col("shingles") - F.col("inside")) * whole - F.col("shingles") * least).alias("g"),
+    )
+    step = F.floor(F.col("f") * LEVELS / F.col("enough")).cast("int")
+    told = keep(told.withColumn("level", F.when(F.col("enough") > 0, F.greatest(step, F.lit(-LEVELS))).otherwise(0)))
+    levels = told.groupBy("home", "level").agg(
+        F.count("*").alias("members"),
+        F.sum("shingles").alias("shingles"),
+        F.sum("copies").alias("copies"),
+        F.max("enough").alias("enough"),
+        F.min("f").alias("f0"),
+        F.max("f").alias("f1"),
+        F.max("g").alias("g1"),
+    )
+    before = Window.partitionBy("home").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand levels a group at most
+    filled = [F.floor(F.coalesce(F.sum(c).over(before), F.lit(0)) / n) for c, n in (("members", BLOCK_MEMBERS), ("shingles", BLOCK_SHINGLES))]
+    levels = keep(levels.withColumn("ring", (filled[0] + filled[1]).cast("long")))
+    rings = levels.groupBy("home", "ring").agg(
+        F.greatest(F.ceil(F.sum("members") / BLOCK_MEMBERS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"),
+        F.sum("copies").alias("copies"),
+        F.max("enough").alias("enough"),
+        F.min("f0").alias("f0"),
+        F.max("f1").alias("f1"),
+        F.max("g1").alias("g1"),
+    )
+    placed = told.join(levels.select("home", "level", "ring"), ["home", "level"]).join(rings.select("home", "ring", "parts"), ["home", "ring"])
+    cut = placed.select(
+        "node", "copies", "home", "ring", F.xxhash64("home", "ring", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("chunk")
+    )
+    to = rings.select("home", F.col("ring").alias("other"), F.col("copies").alias("others"), *[F.col(c).alias(f"{c}_") for c in ("f0", "f1", "g1")])
+    every, none = F.expr("f0 + f0_ >= enough and enough > 0"), F.expr("f1 + g1_ < 0 or f1_ + g1 < 0")
+    decided = rings.join(to, "home").select("home", "ring", "other", "others", every.alias("all"), none.alias("none")).filter("all or none")
+    return keep(cut), keep(decided.select("home", "ring", "other", "others", "all"))
+
+
+def _sure_links(cut: DataFrame, decided: DataFrame) -> DataFrame:
+    """``node, root, links`` of the pairs of rings that are linked throughout.
+
+    A ring that is linked to any other is linked to the nearest one, and this one within itself: so all hang on one member of it.
+    """
+    linked_rings = decided.filter("all").groupBy("home", "ring").agg(F.sum("others").alias("others"), F.max(F.col("ring") == F.col("other")).alias("own"))
+    top = linked_rings.groupBy("home").agg(F.max("ring").alias("ring"))
+    root = cut.join(top, ["home", "ring"]).groupBy("home").agg(F.min("node").alias("root"))
+    found = cut.join(linked_rings.join(root, "home"), ["home", "ring"])
+    return found.select("node", "root", (F.col("others") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = word_text(F.col(f"`{text_col}`"))
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), words.alias("words")).select("doc_id", digest_of(F.col("words")).alias("digest"), "words")
@@ -254,27 +350,31 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, tole
     members = connected(near).select("node", F.col("root").alias("component")).join(reps.drop("bands"), "node")
     members = keep(members)
     size = members.groupBy("component").agg(_blocks_for().alias("blocks"))
-    whole = members.join(size.filter("blocks = 1"), "component").select(
-        F.xxhash64("component", F.lit(-1)).alias("chunk"), "node", "copies", "doc_id", "digest"
+    whole = members.join(size.filter("blocks = 1"), "component").select(F.xxhash64("component", F.lit(-1)).alias("chunk"), "node")
+    signed = keep(
+        _texts(docs, members, id_col, text_col).join(members.select("node", "copies", "digest"), "digest").mapInArrow(
+            _signatures, "node long, copies long, shingles binary, signature binary"
+        )
     )
-    large = members.join(size.filter("blocks > 1").select("component"), "component")
+    large = members.join(size.filter("blocks > 1").select("component"), "component").select("node", "copies", "shingles")
     near_by = keep(near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).groupBy("u").agg(F.min("v").alias("home")))
-    homed = large.join(near_by, large["node"] == near_by["u"]).drop("u")
-    parts = homed.groupBy("home").agg(_blocks_for().alias("parts"))
-    cut = homed.join(parts, "home").select(
-        F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("chunk"), "node", "copies", "doc_id", "digest"
-    )
-    cut = keep(cut)
-    placed = keep(whole.unionByName(cut))
+    heads = near_by.select("home").distinct().join(near_by.select(F.col("u").alias("home"), F.col("home").alias("head")), "home")
+    homed = large.join(near_by.withColumnRenamed("u", "node"), "node").join(heads, "home")
+    homed = keep(homed.select("node", "copies", "shingles", F.col("head").alias("home")))
+    cut, decided = _rings(homed, signed, threshold)
+    placed = keep(whole.unionByName(cut.select("chunk", "node")))
     met = banded.join(shared.select("key"), "key").join(cut.select("node", "chunk"), "node").select("key", "chunk").distinct()
     pairs = met.select("key", F.col("chunk").alias("lo")).join(met.select("key", F.col("chunk").alias("hi")), "key").filter("lo <= hi")
-    pairs = keep(pairs.select("lo", "hi").distinct().unionByName(whole.select(F.col("chunk").alias("lo"), F.col("chunk").alias("hi")).distinct()))
+    at = cut.select("chunk", "home", "ring").distinct()
+    sided = pairs.select("lo", "hi").distinct().join(at.withColumnRenamed("chunk", "lo"), "lo")
+    sided = sided.join(at.select(F.col("chunk").alias("hi"), F.col("home").alias("home_"), F.col("ring").alias("other")), "hi")
+    known = decided.select("home", F.col("home").alias("home_"), "ring", "other")
+    open_ = sided.join(known, ["home", "home_", "ring", "other"], "left_anti").select("lo", "hi")
+    pairs = keep(open_.unionByName(whole.select(F.col("chunk").alias("lo"), F.col("chunk").alias("hi")).distinct()))
     sides = pairs.select("lo", "hi", F.col("lo").alias("chunk")).unionByName(pairs.filter("lo < hi").select("lo", "hi", F.col("hi").alias("chunk")))
-    signed = _texts(docs, placed, id_col, text_col).join(placed.drop("doc_id"), "digest").mapInArrow(
-        _signatures, "chunk long, node long, copies long, shingles binary, signature binary"
-    )
-    units = signed.join(sides, "chunk")
-    links = keep(units.groupBy("lo", "hi").applyInArrow(lambda t: _unit(t, threshold, tolerance), "node long, root long, links long"))
+    units = signed.join(placed, "node").join(sides, "chunk")
+    compared = units.groupBy("lo", "hi").applyInArrow(lambda t: _unit(t, threshold, tolerance), "node long, root long, links long")
+    links = keep(compared.unionByName(_sure_links(cut, decided)))
 
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected(links.select(F.col("node").alias("u"), F.col("root").alias("v")))

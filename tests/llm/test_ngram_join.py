@@ -103,6 +103,48 @@ def test_a_chain_is_not_compared_all_against_all(spark, monkeypatch):
     assert seen[0] < 0.3 * 40 * 41 / 2  # blocks of 4 of 160, each with each, would be 820
 
 
+def units_of(spark, monkeypatch, rows):
+    """The result and the number of units of work."""
+    seen, own = [], J.keep
+
+    def watched(df):
+        kept = own(df)
+        if kept.columns == ["lo", "hi"]:
+            seen.append(kept.count())
+        return kept
+
+    with monkeypatch.context() as m:
+        m.setattr(J, "keep", watched)
+        m.setattr(J, "BLOCK_MEMBERS", 8)
+        return sorted(tuple(r) for r in J.jaccard_classes(frame(spark, rows)).collect()), seen[0]
+
+
+def test_units_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch):
+    """All are links by what they share with their centre, so none is compared: there were 4 times the units for twice the members."""
+    rng, units = random.Random(8), []
+    base = [rng.choice(WORDS) for _ in range(200)]
+    for n in (200, 400):
+        rows = [(i, " ".join(base[: (at := rng.randrange(200))] + [f"x{i % (n - 20)}"] + base[at + 1 :])) for i in range(n)]
+        got, made = units_of(spark, monkeypatch, rows)
+        assert got == [(i, 0, n - 1) for i in range(n)]
+        units.append(made)
+    assert units[1] <= 2.5 * max(units[0], 4)
+
+
+def test_rings_near_and_far_from_the_centre_as_by_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    bases = [[rng.choice(WORDS) for _ in range(n)] for n in (120, 60)]
+    bases.append(bases[0][:90] + [rng.choice(WORDS) for _ in range(40)])  # shares buckets with the first, but no link
+    rows = []
+    for i in range(330):
+        w = list(bases[i % 3])
+        for _ in range(min(int(rng.expovariate(0.4)), 14)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS[: 40 if i % 2 else 400])
+        rows += [(i, " ".join(w + WORDS[: rng.choice((0, 0, 0, 15))]))] * rng.choice((1, 1, 1, 2))
+    got, made = units_of(spark, monkeypatch, rows)
+    assert got == expected(rows) and made > 10
+
+
 def test_empty_table(spark):
     assert J.jaccard_classes(frame(spark, []).coalesce(1)).count() == 0
     assert J.one_of_each(frame(spark, [])).count() == 0
