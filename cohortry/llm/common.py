@@ -41,22 +41,23 @@ def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_arrow_column(
     df: DataFrame, inputs: Sequence[Column], start: Callable[[], Callable[[list[pa.Array]], pa.Array]], field: T.StructField
 ) -> DataFrame:
-    """Append a column computed by a Python function on Arrow batches; all columns of the table pass through.
+    """Append a column computed by a Python function on Arrow arrays; all columns of the table pass through.
 
-    ``start`` runs once a task and returns the function from the input arrays of a batch to the array of the new column.
-    No row moves: the plan has no exchange.
+    ``start`` runs once a task and returns the function from the input arrays of at most ``BATCH_ROWS`` rows to the array of the
+    new column. Only the inputs go to Python and only the new column comes back; Spark holds the other columns meanwhile. No row
+    moves: the plan has no exchange. The function counts as not deterministic, so that no plan computes the column twice.
     """
-    own = len(df.columns)
-    temporary = [free_name(df.columns, f"_in{i}") for i in range(len(inputs))]
-    names = [*df.columns, field.name]
+    several = len(inputs) > 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compute = start()
-        for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns[:own], compute(b.columns[own:])], names=names)
+        for b in batches:
+            cols = [*b] if several else [b]
+            for at in range(0, len(cols[0]), BATCH_ROWS):
+                yield compute([c.slice(at, BATCH_ROWS) for c in cols])
 
-    wide = df.select("*", *[c.alias(t) for c, t in zip(inputs, temporary)])
-    return wide.mapInArrow(run, T.StructType([*df.schema.fields, field]))
+    made = F.arrow_udf(run, field.dataType).asNondeterministic()
+    return df.select("*", made(*inputs).alias(field.name))
 
 
 def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
